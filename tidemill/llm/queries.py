@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import html_extraction, license_scans, quality_rules, secret_scans, sentencepiece_sampling, token_counts, toxicity
+from tidemill.llm import decontamination, html_extraction, license_scans, quality_rules, secret_scans, sentencepiece_sampling, substring_dedup, token_counts, toxicity
 from tidemill.llm.tables import table
 
 
@@ -32,6 +32,14 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_sampling.sample(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digests(table(spark, sf_dir, "documents"))
 
@@ -45,6 +53,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_license_scans, op4_sentencepiece, op7_quality_rules, op8_html_extraction, op10_toxicity)
+    f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_license_scans, op4_sentencepiece, op5_decontamination, op6_substring_dedup, op7_quality_rules, op8_html_extraction, op10_toxicity)
 }
 ORACLES: dict[str, str] = {}
