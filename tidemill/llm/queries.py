@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import decontamination, html_extraction, license_scans, quality_rules, secret_scans, sentencepiece_sampling, substring_dedup, token_counts, toxicity
+from tidemill.llm import decontamination, html_extraction, jaccard_join, license_scans, quality_rules, secret_scans, sentencepiece_sampling, substring_dedup, token_counts, toxicity
 from tidemill.llm.tables import table
 
 
@@ -48,11 +48,15 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_license_scans, op4_sentencepiece, op5_decontamination, op6_substring_dedup, op7_quality_rules, op8_html_extraction, op10_toxicity)
+    f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_license_scans, op4_sentencepiece, op5_decontamination, op6_substring_dedup, op7_quality_rules, op8_html_extraction, op9_jaccard_join, op10_toxicity)
 }
 ORACLES: dict[str, str] = {}
