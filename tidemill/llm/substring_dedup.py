@@ -37,7 +37,7 @@ from tidemill.llm.tables import stored
 from tidemill.llm.textbatch import Words, mix, segment_hash, slices, utf8, words_of
 
 SPAN, K = 50, 25
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 4 << 20
 MAX_BROADCAST_ROWS = 1_000_000
 _CODES = 1_100_000  # characters that stand for words; hits are verified, so words may share one
 
