@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.components import components
-from tidemill.llm.tables import stored
+from tidemill.llm.tables import discard, stored
 from tidemill.llm.textbatch import mix, segment_hash, slices, words_of
 
 K = 4
@@ -115,11 +115,16 @@ def _fits(n1: str, p1: str, n2: str, p2: str) -> str:
 
 def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) with d = 1 - Jaccard, and whether they link."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "involved")
-    sets = stored(docs.join(_few(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_contents, "doc_id long, tokens array<long>").dropDuplicates(["doc_id"]), "sets")
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
+    hubs = pairs.select(F.col("a").alias("doc_id")).distinct()
+    ids = stored(hubs.union(pairs.select("b")).distinct(), "involved")
+    sets = stored(docs.join(_few(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_contents, "doc_id long, tokens array<long>"), "sets")
+    left = sets.join(_few(hubs), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
-    return both.select("a", "b", (1 - F.col("i") / (F.col("s") - F.col("i"))).alias("d"), (100 * F.col("i") >= PERCENT * (F.col("s") - F.col("i"))).alias("link"))
+    found = both.select("a", "b", (1 - F.col("i") / (F.col("s") - F.col("i"))).alias("d"), (100 * F.col("i") >= PERCENT * (F.col("s") - F.col("i"))).alias("link"))
+    out = stored(found.groupBy("a", "b").agg(F.min("d").alias("d"), F.bool_or("link").alias("link")), "compared")
+    discard(ids, sets)
+    return out
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -139,10 +144,12 @@ def join(docs: DataFrame) -> DataFrame:
 
     # Lists of two sets at least, with the hub and its size and position.
     postings = fresh.mapInArrow(_prefixes(hot), index)
-    hubs = postings.groupBy("h").agg(F.min(F.struct("doc", "n", "pos")).alias("hub"), F.max("doc").alias("most")).where("hub.doc < most").select("h", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
+    hubs = postings.groupBy("h").agg(F.min("doc").alias("hub"), F.max("doc").alias("most")).where("hub < most").select("h", "hub")
     lists = stored(postings.join(hubs, "h"), "lists")
-    stars = lists.where(f"doc <> hub AND {_fits('n', 'pos', 'hub_n', 'hub_pos')}").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    answers = stored(_compared(docs, stored(stars, "stars")), "answers")
+    hub = lists.where("doc = hub").groupBy("h").agg(F.max("n").alias("hub_n"), F.min("pos").alias("hub_pos"))
+    stars = stored(lists.where("doc <> hub").join(hub, "h").where(_fits("n", "pos", "hub_n", "hub_pos")).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
+    answers = _compared(docs, stars)
+    discard(stars)
     links = answers.where("link").select("a", "b")
     parts = components(links)
 
@@ -153,13 +160,15 @@ def join(docs: DataFrame) -> DataFrame:
     placed = stored(placed, "placed")
     open_lists = placed.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h")
     left = stored(placed.join(open_lists, "h", "left_semi"), "open")
+    discard(lists, placed)
     x, y = left.alias("x"), left.alias("y")
     far = f"coalesce(abs(x.d - y.d) > {1 - PERCENT / 100 + 1e-9}, false)"
     pairs = x.join(y, F.expr(f"x.h = y.h AND x.doc < y.doc AND x.c <> y.c AND {_fits('x.n', 'x.pos', 'y.n', 'y.pos')} AND NOT {far}")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     pairs = stored(pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    late = stored(_compared(docs, pairs).where("link").select("a", "b"), "late") if pairs.limit(1).count() else None
-    if late is not None and late.limit(1).count():
-        parts = components(links.union(late))
+    discard(left)
+    if pairs.limit(1).count():
+        late = _compared(docs, pairs).where("link").select("a", "b")
+        parts = components(links.union(late)) if late.limit(1).count() else parts
 
     named = sets.select("doc_id", "n").join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node"))
     return named.join(parts, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
