@@ -336,7 +336,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", 2 << 20):
                 n = counter(tokenizer).counts(texts_of(part, "t"))
                 _, off = utf8(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], [key, "n_bytes", "n_tokens", "over_limit"])
