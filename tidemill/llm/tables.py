@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,9 +31,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of ``stored`` that nothing later reads."""
+    """Deletes tables of ``stored`` that nothing later reads, and the shuffle files behind them.
+
+    Spark deletes shuffle files once the driver has collected the plans they belong to.
+    """
     for df in tables:
         spark = df.sparkSession
         for file in df.inputFiles()[:1]:
             path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
