@@ -30,15 +30,16 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.textbatch import mix, segment_hash, slices, utf8
 
-MAX_ROWS = 1200
+MAX_ROWS = 700
 BUCKETS = 1 << 18
-DIM = 8
+DIM = 4
 SPAN = 6
 TOP = 2
 NGRAMS = (3, 4, 5)
 EPOCHS = 30
 RATE = 0.3
 DECAY = 0.99
+PIECE = 20_000
 FOLDS = 5
 
 _FOLD = np.zeros(256, np.uint64)
@@ -172,11 +173,13 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
     V = rng.normal(0, 1.0, DIM).astype(np.float32)
     c = np.float32(0)
     mE, vE, mV, vV, mc, vc = np.zeros_like(E), np.zeros_like(E), np.zeros_like(V), np.zeros_like(V), 0.0, 0.0
-    some = many > 0
+    has = np.flatnonzero(many)
     for step in range(1, epochs + 1):
         W = np.zeros((m + 1, DIM), np.float32)
-        if len(local):
-            W[:-1][some] = np.add.reduceat(E[local], lead[some], axis=0)
+        for a in range(0, len(has), PIECE):  # words in pieces, so that gathered vectors stay few
+            own = has[a : a + PIECE]
+            low, high = lead[own[0]], lead[own[-1]] + many[own[-1]]
+            W[own] = np.add.reduceat(E[local[low:high]], lead[own] - low, axis=0)
         W[:-1] /= size
         H = W[grid].mean(axis=1)
         z = H @ V + c
