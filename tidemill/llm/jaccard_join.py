@@ -7,8 +7,9 @@ A document is the set of its ``K``-word shingles; two link when
 2. Index: all sets are ordered alike, rare shingles first (the frequent ones are
    counted over all documents; the order affects cost only).  Similar sets share a
    shingle of their prefixes, so only prefixes are indexed, with position and size.
-3. Answers of hubs: each list of the index has its smallest set as hub; the other
-   sets of the list are compared with it.  Links of hubs already make most components.
+3. Answers of hubs: each list of the index has its smallest set as hub; every set is
+   compared with the smallest hub of its lists, one comparison for each set.  Links of
+   hubs already make most components.
 4. Skipping: a list whose sets are in one component is done.  In the others only
    pairs of two components are left, and only those that sizes and positions allow
    (sets of a list are visited as far as their position lets them reach the overlap)
@@ -147,7 +148,7 @@ def join(docs: DataFrame) -> DataFrame:
     hubs = postings.groupBy("h").agg(F.min("doc").alias("hub"), F.max("doc").alias("most")).where("hub < most").select("h", "hub")
     lists = stored(postings.join(hubs, "h"), "lists")
     hub = lists.where("doc = hub").groupBy("h").agg(F.max("n").alias("hub_n"), F.min("pos").alias("hub_pos"))
-    stars = stored(lists.where("doc <> hub").join(hub, "h").where(_fits("n", "pos", "hub_n", "hub_pos")).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
+    stars = stored(lists.where("doc <> hub").join(hub, "h").where(_fits("n", "pos", "hub_n", "hub_pos")).groupBy(F.col("doc").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "stars")
     answers = _compared(docs, stars)
     discard(stars)
     links = answers.where("link").select("a", "b")
