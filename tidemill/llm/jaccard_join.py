@@ -16,7 +16,11 @@ A document is the set of its ``K``-word shingles; two link when
    and that the answers of the hub do not rule out: with d = 1 - Jaccard, a metric,
    d(s, t) >= |d(s, hub) - d(t, hub)|, so a set's answer is derived from the answers of
    a similar set instead of being computed.
-5. Remaining pairs are compared; components follow from all links.
+5. Sketches: bit i of a set's sketch is the parity of its shingles with hash i.  Two
+   sketches differ in at most as many bits as the sets differ in shingles, so pairs
+   with more differing bits than a link allows are ruled out, exactly, before any
+   set is read; no row is made for them.
+6. Remaining pairs are compared; components follow from all links.
 
 Nothing is dropped: a pair is skipped only if it cannot link or is connected already.
 
@@ -41,6 +45,7 @@ from tidemill.llm.textbatch import mix, segment_hash, slices, words_of
 
 K = 4
 PERCENT = 85
+SKETCH = ["s0", "s1", "s2", "s3"]  # columns of 64 bits
 HOT_FROM = 32
 HOT_MOST = 200_000
 MAX_BROADCAST_ROWS = 1_000_000
@@ -72,7 +77,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for salt in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)))))
                 sums.append(mix(total[first[1:]] - total[first[:-1]]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), *map(pa.array, sums)], ["doc_id", "n", "a", "b"])
+            bits = 64 * len(SKETCH)
+            seen = np.bincount(row * bits + (mix(h) % np.uint64(bits)).astype(np.int64), minlength=part.num_rows * bits)
+            parity = np.packbits((seen & 1).astype(np.uint8).reshape(part.num_rows, bits), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), *map(pa.array, sums), *(pa.array(np.ascontiguousarray(parity[:, k])) for k in range(len(SKETCH)))], ["doc_id", "n", "a", "b", *SKETCH])
 
 
 def _prefixes(hot: np.ndarray | None):
@@ -114,6 +122,12 @@ def _fits(n1: str, p1: str, n2: str, p2: str) -> str:
     return f"100 * least({n1}, {n2}) >= {PERCENT} * greatest({n1}, {n2}) AND {100 + PERCENT} * least({n1} - {p1}, {n2} - {p2}) >= {need}"
 
 
+def _near(x: str, y: str) -> str:
+    """Whether the sketches of x and y leave a link possible: their differing bits are at most the differing shingles."""
+    bits = " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in SKETCH)
+    return f"{100 + PERCENT} * ({bits}) <= {100 - PERCENT} * ({x}.n + {y}.n)"
+
+
 def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) with d = 1 - Jaccard, and whether they link."""
     hubs = pairs.select(F.col("a").alias("doc_id")).distinct()
@@ -132,7 +146,8 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sets = stored(docs.mapInArrow(_describe, "doc_id long, n long, a long, b long"), "described")
+    sets = stored(docs.mapInArrow(_describe, f"doc_id long, n long, a long, b long, {', '.join(f'{s} long' for s in SKETCH)}"), "described")
+    sketches = sets.select("doc_id", "n", *SKETCH)
     firsts = sets.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("most")).where("node < most").select("a", "b", "node")
     copies = stored(sets.where("n > 0").join(firsts, ["a", "b"]).where("doc_id > node").groupBy("doc_id").agg(F.min("node").alias("node")), "copies")
     fresh = docs.join(_few(copies.select("doc_id")), "doc_id", "left_anti").select("doc_id", "text")
@@ -148,7 +163,11 @@ def join(docs: DataFrame) -> DataFrame:
     hubs = postings.groupBy("h").agg(F.min("doc").alias("hub"), F.max("doc").alias("most")).where("hub < most").select("h", "hub")
     lists = stored(postings.join(hubs, "h"), "lists")
     hub = lists.where("doc = hub").groupBy("h").agg(F.max("n").alias("hub_n"), F.min("pos").alias("hub_pos"))
-    stars = stored(lists.where("doc <> hub").join(hub, "h").where(_fits("n", "pos", "hub_n", "hub_pos")).groupBy(F.col("doc").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "stars")
+    stars = stored(lists.where("doc <> hub").join(hub, "h").where(_fits("n", "pos", "hub_n", "hub_pos")).groupBy(F.col("doc").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "hubs")
+    hopeful = stars.join(sketches.alias("x"), F.expr("x.doc_id = b")).join(sketches.alias("y"), F.expr(f"y.doc_id = a AND {_near('x', 'y')}")).select("a", "b").distinct()
+    nearest = stored(hopeful, "stars")
+    discard(stars)
+    stars = nearest
     answers = _compared(docs, stars)
     discard(stars)
     links = answers.where("link").select("a", "b")
@@ -160,11 +179,12 @@ def join(docs: DataFrame) -> DataFrame:
     placed = lists.join(own, "doc", "left").join(known, ["hub", "doc"], "left").select("h", "doc", "n", "pos", F.coalesce("component", "doc").alias("c"), F.when(F.col("doc") == F.col("hub"), 0.0).otherwise(F.col("d")).alias("d"))
     placed = stored(placed, "placed")
     open_lists = placed.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h")
-    left = stored(placed.join(open_lists, "h", "left_semi"), "open")
+    left = placed.join(open_lists, "h", "left_semi").drop("n").join(sketches.withColumnRenamed("doc_id", "doc"), "doc")
+    left = stored(left, "open")
     discard(lists, placed)
     x, y = left.alias("x"), left.alias("y")
     far = f"coalesce(abs(x.d - y.d) > {1 - PERCENT / 100 + 1e-9}, false)"
-    pairs = x.join(y, F.expr(f"x.h = y.h AND x.doc < y.doc AND x.c <> y.c AND {_fits('x.n', 'x.pos', 'y.n', 'y.pos')} AND NOT {far}")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    pairs = x.join(y, F.expr(f"x.h = y.h AND x.doc < y.doc AND x.c <> y.c AND {_fits('x.n', 'x.pos', 'y.n', 'y.pos')} AND NOT {far} AND {_near('x', 'y')}")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     pairs = stored(pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     discard(left)
     if pairs.limit(1).count():
