@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.textbatch import mix, segment_hash, slices, texts_of, utf8
 
-SLICE = 6 << 20
+SLICE = 2 << 20
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 _PREFIX_BITS = 20
 _G1, _G2, _G3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
