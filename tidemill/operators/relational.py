@@ -49,3 +49,26 @@ def cooldown(df: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
         lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= seconds), F.concat(kept, F.array(t))).otherwise(kept),
     )
     return df.groupBy(key).agg(F.count("*").alias("n_seen"), F.size(fold).cast("long").alias("n_sent"))
+
+
+def runs(df: DataFrame, key: str, order: Sequence[Column], value: str) -> DataFrame:
+    """Each run of equal neighbouring values per key: value, its number ``run`` from 1, and its length ``n``."""
+    w = Window.partitionBy(key).orderBy(*order)
+    changed = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1)
+    marked = df.withColumn("__new", changed).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(key, "run").agg(F.first(value).alias(value), F.count("*").alias("n"))
+
+
+def illegal_moves(df: DataFrame, key: str, order: Sequence[Column], state: str, allowed: Sequence[tuple[str, str]]) -> DataFrame:
+    """Moves from one state of a key to its next that are not in ``allowed``, a fixed table."""
+    w = Window.partitionBy(key).orderBy(*order)
+    moves = df.withColumn("was", F.lag(state).over(w)).where("was IS NOT NULL")
+    edges = df.sparkSession.createDataFrame(list(allowed), f"was string, {state} string")
+    return moves.join(F.broadcast(edges), ["was", state], "left_anti")
+
+
+def lapses(df: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
+    """Rows more than ``seconds`` after the one before of the same key: an expired lease."""
+    w = Window.partitionBy(key).orderBy(at)
+    t = F.col(at).cast("timestamp").cast("long")
+    return df.withColumn("gap", t - F.lag(t).over(w)).where(F.col("gap") > seconds)

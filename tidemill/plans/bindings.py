@@ -108,3 +108,44 @@ def geo_distance(spark, d):
 @_query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1")
 def latest_per_key(spark, d):
     return R.first_wins(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [F.desc("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey")
+
+
+_RUNS = "SELECT user_id, run, min(event_type) AS event_type, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, run"
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return R.runs(table(spark, d, "events"), "user_id", [F.col("ts"), F.col("event_id")], "event_type")
+
+
+@_query(_RUNS)
+def unchanged_run_length(spark, d):
+    return _runs(spark, d).select("user_id", "run", "event_type", "n")
+
+
+@_query(f"SELECT user_id, CAST(count(*) AS BIGINT) AS n_streaks, max(n) AS longest FROM ({_RUNS}) WHERE event_type = 'error' AND n >= 3 GROUP BY user_id")
+def fail_streaks(spark, d):
+    long = _runs(spark, d).where("event_type = 'error' AND n >= 3")
+    return long.groupBy("user_id").agg(F.count("*").alias("n_streaks"), F.max("n").alias("longest"))
+
+
+@_query("SELECT event_id, was, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE was IS NOT NULL AND NOT (was = 'view' AND event_type = 'click') AND NOT (was = 'click' AND event_type = 'purchase')")
+def transitions_illegal(spark, d):
+    moves = R.illegal_moves(table(spark, d, "events"), "user_id", [F.col("ts"), F.col("event_id")], "event_type", [("view", "click"), ("click", "purchase")])
+    return moves.select("event_id", "was", "event_type")
+
+
+@_query("SELECT event_id, gap FROM (SELECT event_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events)) WHERE gap > 600")
+def lease_gaps(spark, d):
+    return R.lapses(table(spark, d, "events"), "user_id", "ts", 600).select("event_id", "gap")
+
+
+@_query("SELECT p_partkey FROM part WHERE p_name ILIKE '%al%' OR p_brand ILIKE '%al%' OR p_type ILIKE '%al%'")
+def multi_search(spark, d):
+    return table(spark, d, "part").where("p_name ILIKE '%al%' OR p_brand ILIKE '%al%' OR p_type ILIKE '%al%'").select("p_partkey")
+
+
+@_query("SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n_orders, CAST(count(o_orderkey) FILTER (o_orderstatus = 'F') AS BIGINT) AS n_closed FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def deletion_impact(spark, d):
+    # Counted before the join, so a hot customer is merged map-side.
+    n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.count_if(F.col("o_orderstatus") == "F").alias("n_closed"))
+    return table(spark, d, "customer").select("c_custkey").join(n, "c_custkey", "left").na.fill(0, ["n_orders", "n_closed"])
