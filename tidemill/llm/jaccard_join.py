@@ -19,7 +19,8 @@ A document is the set of its ``K``-word shingles; two link when
 5. Sketches: bit i of a set's sketch is the parity of its shingles with hash i.  Two
    sketches differ in at most as many bits as the sets differ in shingles, so pairs
    with more differing bits than a link allows are ruled out, exactly, before any
-   set is read; no row is made for them.
+   set is read; no row is made for them.  A long sketch, whose bits grow with the set,
+   rules out pairs of large sets in the same way.
 6. Remaining pairs are compared; components follow from all links.
 
 Nothing is dropped: a pair is skipped only if it cannot link or is connected already.
@@ -46,6 +47,7 @@ from tidemill.llm.textbatch import mix, segment_hash, slices, words_of
 K = 4
 PERCENT = 85
 SKETCH = ["s0", "s1", "s2", "s3"]  # columns of 64 bits
+FOLD_BITS = 2  # bits of the long sketch for each shingle, at least
 HOT_FROM = 32
 HOT_MOST = 200_000
 MAX_BROADCAST_ROWS = 1_000_000
@@ -80,7 +82,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = 64 * len(SKETCH)
             seen = np.bincount(row * bits + (mix(h) % np.uint64(bits)).astype(np.int64), minlength=part.num_rows * bits)
             parity = np.packbits((seen & 1).astype(np.uint8).reshape(part.num_rows, bits), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), *map(pa.array, sums), *(pa.array(np.ascontiguousarray(parity[:, k])) for k in range(len(SKETCH)))], ["doc_id", "n", "a", "b", *SKETCH])
+            # The long sketch: a power of two of words, with at least FOLD_BITS bits for each shingle.
+            words = (1 << np.ceil(np.log2(np.maximum(1, FOLD_BITS * n / 64))).astype(np.int64)).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(words)))
+            bit = 64 * ends[row] + (mix(h) & (64 * words[row] - 1).astype(np.uint64)).astype(np.int64)
+            long = np.packbits((np.bincount(bit, minlength=64 * ends[-1]) & 1).astype(np.uint8)).view(np.int64)
+            folds = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(long))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), *map(pa.array, sums), *(pa.array(np.ascontiguousarray(parity[:, k])) for k in range(len(SKETCH))), folds], ["doc_id", "n", "a", "b", *SKETCH, "fold"])
 
 
 def _prefixes(hot: np.ndarray | None):
@@ -128,6 +136,27 @@ def _near(x: str, y: str) -> str:
     return f"{100 + PERCENT} * ({bits}) <= {100 - PERCENT} * ({x}.n + {y}.n)"
 
 
+def _folded(mine: str, other: str) -> str:
+    """The long sketch ``mine`` at the length of ``other`` if that is half: bit i of the half is the parity of bits i and i + half."""
+    half = f"(size({mine}) div 2)"
+    return f"CASE WHEN size({mine}) > size({other}) THEN zip_with(slice({mine}, 1, {half}), slice({mine}, {half} + 1, {half}), (p, q) -> p ^ q) ELSE {mine} END"
+
+
+def _nearer(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (a, b), of sets whose sizes allow a link, without those that the long sketches rule out.
+
+    Such sizes differ by less than half, so the sketches have one length or one has twice the other's.
+    """
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
+    few = sets.join(_few(ids), "doc_id", "left_semi")
+    x, y = (few.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("fold").alias(f"fold_{k}")) for k in "ab")
+    differ = f"aggregate(zip_with({_folded('fold_a', 'fold_b')}, {_folded('fold_b', 'fold_a')}, (p, q) -> bit_count(p ^ q)), 0, (sum, v) -> sum + v)"
+    out = pairs.join(x, "a").join(y, "b").where(f"{100 + PERCENT} * {differ} <= {100 - PERCENT} * (n_a + n_b)").select("a", "b").distinct()
+    out = stored(out, "nearer")
+    discard(ids)
+    return out
+
+
 def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) with d = 1 - Jaccard, and whether they link."""
     hubs = pairs.select(F.col("a").alias("doc_id")).distinct()
@@ -146,7 +175,7 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sets = stored(docs.mapInArrow(_describe, f"doc_id long, n long, a long, b long, {', '.join(f'{s} long' for s in SKETCH)}"), "described")
+    sets = stored(docs.mapInArrow(_describe, f"doc_id long, n long, a long, b long, {', '.join(f'{s} long' for s in SKETCH)}, fold array<long>"), "described")
     sketches = sets.select("doc_id", "n", *SKETCH)
     firsts = sets.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("most")).where("node < most").select("a", "b", "node")
     copies = stored(sets.where("n > 0").join(firsts, ["a", "b"]).where("doc_id > node").groupBy("doc_id").agg(F.min("node").alias("node")), "copies")
@@ -187,6 +216,9 @@ def join(docs: DataFrame) -> DataFrame:
     pairs = x.join(y, F.expr(f"x.h = y.h AND x.doc < y.doc AND x.c <> y.c AND {_fits('x.n', 'x.pos', 'y.n', 'y.pos')} AND NOT {far} AND {_near('x', 'y')}")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     pairs = stored(pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     discard(left)
+    nearer = _nearer(sets, pairs)
+    discard(pairs)
+    pairs = nearer
     if pairs.limit(1).count():
         late = _compared(docs, pairs).where("link").select("a", "b")
         parts = components(links.union(late)) if late.limit(1).count() else parts
