@@ -72,3 +72,19 @@ def lapses(df: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy(at)
     t = F.col(at).cast("timestamp").cast("long")
     return df.withColumn("gap", t - F.lag(t).over(w)).where(F.col("gap") > seconds)
+
+
+def quality_profile(df: DataFrame, valid: Column, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """One row: counts of rows, of valid and of rejected ones, rows that repeat a key, and the share of rows with each field.
+
+    Null validity counts as rejected; shares of an empty table are null.  Rows are merged
+    by key first, so copies of one key are summed map-side.
+    """
+    ok = F.count_if(valid).alias("n_valid")
+    by_key = df.groupBy(*key).agg(F.count("*").alias("__n"), ok, *(F.count(f).alias(f"__has_{f}") for f in fields))
+    total = F.sum("__n")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return by_key.agg(
+        count(total).alias("n"), count(F.sum("n_valid")).alias("n_valid"), count(total - F.sum("n_valid")).alias("n_rejected"), count(total - F.count("*")).alias("n_repeated"),
+        *(F.round(F.sum(f"__has_{f}") / total, 6).alias(f"share_{f}") for f in fields),
+    )

@@ -149,3 +149,8 @@ def deletion_impact(spark, d):
     # Counted before the join, so a hot customer is merged map-side.
     n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.count_if(F.col("o_orderstatus") == "F").alias("n_closed"))
     return table(spark, d, "customer").select("c_custkey").join(n, "c_custkey", "left").na.fill(0, ["n_orders", "n_closed"])
+
+
+@_query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (event_type <> 'error') AS BIGINT) AS n_valid, CAST(count(*) FILTER (NOT coalesce(event_type <> 'error', false)) AS BIGINT) AS n_rejected, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events)) AS BIGINT) AS n_repeated, round(count(event_type)::DOUBLE / count(*), 6) AS share_event_type, round(count(user_id)::DOUBLE / count(*), 6) AS share_user_id FROM events")
+def quality_profile(spark, d):
+    return R.quality_profile(table(spark, d, "events"), F.col("event_type") != "error", ["user_id", "event_type"], ["event_type", "user_id"])
