@@ -93,6 +93,19 @@ def test_leaks(spark):
     assert [(r["doc_id"], r["item_id"], r["kind"]) for r in decontamination.leaks(docs, items).collect()] == [(1, 1, "reparameterised")]
 
 
+def test_leaks_verbatim(spark):
+    long = "what " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(58))
+    texts = ["Find the next number: 2, 6, 12, 20, 30, 42, 56, 72", "What is 12 + 34 + 56 + 78 + 90 + 11?", "What is the capital of France?", long]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    held = [(i, f"Here, {t} And more.") for i, t in enumerate(texts[:3])] + [(3, "so " + " ".join(long.split()[10:35]) + " etc"), (4, "Find the next number: 1, 5, 7, 20, 31, 42, 57, 70"), (5, "the capital of France is")]
+    clean = [(6, "What is 12 + 34 + 56 + 78 + 90 + 12?"), (7, "The capital of France"), (8, "so " + " ".join(long.split()[10:22]) + " etc"), (9, None)]
+    got = decontamination.leaks(frame(spark, held + clean), items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got) == [(0, 0, "exact"), (1, 1, "exact"), (2, 2, "exact"), (3, 3, "excerpt"), (4, 0, "reparameterised")]
+    assert sorted(r["doc_id"] for r in decontamination.keep_clean(frame(spark, held + clean), items).collect()) == [5, 6, 7, 8, 9]
+    zero = spark.createDataFrame([(1, "what is 0 + 0 + 0 + 0 + 0 + 0")], "item_id long, text string")
+    assert decontamination.leaks(frame(spark, [(1, "what is 5 + 0 + 0 + 0 + 0 + 0")]), zero).collect() == []
+
+
 def test_substring_dedup(spark, texts, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 60_000)
     rng = random.Random(2)

@@ -10,13 +10,19 @@ item by the same value wherever it stands.
 * names: a capital followed by lower case, after a lower-case letter or comma and a space
 * units: the fixed words of ``UNITS`` after a number
 
-Benchmark windows must hold ``MIN_WORDS`` words that are no placeholders.  They are
-broadcast only if counted to be few; so are the ids of documents whose slots are
-read.  Otherwise both are shuffle joins.
-
-Defined results: null and empty texts and items match nothing, nor do items of fewer
-than K words; repeated rows of one doc_id count as one document; an item matches once
-for each id; other columns pass through ``keep_clean``.
+Benchmark windows with ``MIN_WORDS`` words that are no placeholders match by template,
+and all windows match word for word, so that verbatim copies of numbers and names are
+found too.  Coverage is the better of two: matched windows of all windows, or of those
+that may match by template.  Items of fewer than K words match as a whole, word for
+word, however few these are.  A stretch of ``EXCERPT`` words of an item whose windows
+all stand in the document word for word is a leak at any coverage.
+
+Benchmark windows are broadcast only if counted to be few; so are the ids of documents
+whose slots are read.  Otherwise both are shuffle joins.
+
+Defined results: null and empty texts and items match nothing; repeated rows of one
+doc_id count as one document; an item matches once for each id; other columns pass
+through ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ from tidemill.llm.tables import stored
 K = 8
 MIN_WORDS = 4
 MIN_COVERAGE = 0.5
+EXCERPT = 13
 MAX_BROADCAST_ROWS = 1_000_000
 
 # Unit words.
@@ -61,10 +68,15 @@ def template(text: Column) -> Column:
     return F.split(F.lower(F.regexp_replace(F.regexp_replace(named, r"\d+", "0"), _UNIT, "$1§")), _CUT)
 
 
-def windows(words: Column) -> Column:
-    """Hashes of all K-word windows of a template, in order; empty for shorter ones."""
+def exact_words(text: Column) -> Column:
+    """raw_words with the digit 0 as a letter of its own: no number looks like the placeholder 0."""
+    return F.split(F.lower(F.translate(_plain(text), "0", "\ua66e")), _CUT)
+
+
+def windows(words: Column, k: int = K) -> Column:
+    """Hashes of all k-word windows, in order; empty for shorter ones."""
     n = F.size(words)
-    return F.when(n >= K, F.transform(F.sequence(F.lit(1), F.greatest(n - K + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, K)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -72,35 +84,64 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, words as template (t) and as they are (r), and the number of empty words before them."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    inner = lambda words: F.filter(words, lambda w: w != "")
+    lead = (F.element_at(template(text), 1) == "").cast("int")  # positions count an empty word before a leading mark
+    return benchmark.where(F.col("item_id").isNotNull()).select("item_id", inner(template(text)).alias("t"), inner(exact_words(text)).alias("r"), lead.alias("lead"))
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, ipos, n_windows, h) of all windows that may match."""
-    words = F.filter(template(F.coalesce(F.col("text"), F.lit(""))), lambda w: w != "")
-    lead = (F.element_at(template(F.col("text")), 1) == "").cast("int")  # positions count an empty word before a leading mark
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words.alias("t"), lead.alias("lead"))
-    each = items.select("item_id", F.size(windows(F.col("t"))).alias("n_windows"), "t", "lead", F.posexplode_outer(windows(F.col("t"))).alias("ipos", "h"))
-    plain = F.size(F.filter(F.slice("t", F.col("ipos") + 1, K), lambda w: ~w.isin("_", "0", "§", "")))
-    return each.where((plain >= MIN_WORDS) & F.col("h").isNotNull()).select("item_id", (F.col("ipos") + F.col("lead")).alias("ipos"), "n_windows", "h")
+    """(item_id, ipos, n_windows, n_rich, rich, raw, h): windows as they are (raw), and as templates where these are rich in plain words."""
+    items = _items(benchmark)
+    rich = lambda i: F.size(F.filter(F.slice("t", i, K), lambda w: ~w.isin("_", "0", "§"))) >= MIN_WORDS
+    places = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - K + 1, F.lit(1))), lambda i: F.struct(rich(i).alias("rich"), F.xxhash64(F.slice("t", i, K)).alias("th"), F.xxhash64(F.slice("r", i, K)).alias("rh")))
+    long = items.where(F.size("t") >= K).withColumn("places", places)
+    each = long.select("item_id", "lead", F.size("places").alias("n_windows"), F.size(F.filter("places", lambda p: p["rich"])).alias("n_rich"), F.posexplode("places").alias("ipos", "p"))
+    keys = F.array(F.struct(F.lit(True).alias("raw"), F.col("p.rh").alias("h")), F.when(F.col("p.rich") & (F.col("p.th") != F.col("p.rh")), F.struct(F.lit(False).alias("raw"), F.col("p.th").alias("h"))))
+    rows = each.select("item_id", (F.col("ipos") + F.col("lead")).alias("ipos"), "n_windows", "n_rich", F.col("p.rich").alias("rich"), F.explode(keys).alias("k")).where(F.col("k").isNotNull())
+    short = items.where(F.size("t").between(1, K - 1)).select("item_id", F.col("lead").alias("ipos"), F.lit(1).alias("n_windows"), F.lit(0).alias("n_rich"), F.lit(False).alias("rich"), F.lit(True).alias("raw"), F.xxhash64("r").alias("h"))
+    return rows.select("item_id", "ipos", "n_windows", "n_rich", "rich", "k.raw", "k.h").unionByName(short)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows, n_matched and at (document and item positions) of every pair with a common window."""
+    """doc_id, item_id, n_windows, n_matched, n_run (consecutive windows found word for word) and at of every pair with a common window."""
     known = _few(benchmark_windows(benchmark))
-    sets = docs.select("doc_id", template(F.col("text")).alias("t")).select("doc_id", windows(F.col("t")).alias("w"))
+    lengths = sorted(r[0] for r in _items(benchmark).select(F.size("r").alias("n")).where(F.col("n").between(1, K - 1)).distinct().collect())
+    sets = docs.select("doc_id", template(F.col("text")).alias("t"), exact_words(F.col("text")).alias("r"))
+    sets = sets.select("doc_id", windows(F.col("t")).alias("w"), windows(F.col("r")).alias("e"), *(windows(F.col("r"), k).alias(f"e{k}") for k in lengths))
+    exact = F.zip_with("w", "e", lambda a, b: F.when(a.isNull() | (a != b), b))  # windows without placeholders are the same
+    sets = sets.select("doc_id", F.concat("w", exact, *(f"e{k}" for k in lengths)).alias("w"))
     # The outer form: of a plain explode the optimizer would infer a filter that evaluates the windows anew.
     each = sets.select("doc_id", F.posexplode_outer("w").alias("dpos", "h"))
     hits = each.join(known, "h")
     # One place in the document for each window of the item: bounded by the item, even if a text repeats it.
-    once = hits.groupBy("doc_id", "item_id", "ipos").agg(F.min("dpos").alias("dpos"), F.max("n_windows").alias("n_windows"))
-    return once.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.count("*").alias("n_matched"), F.collect_list(F.struct("dpos", "ipos")).alias("at"))
+    # Only templates with placeholders are no raw windows, and these come first in w: dpos is their place.
+    once = hits.groupBy("doc_id", "item_id", "ipos").agg(F.min(F.struct((~F.col("raw")).alias("loose"), "dpos")).alias("at"), F.max("n_windows").alias("n_windows"), F.max("n_rich").alias("n_rich"), F.max("rich").alias("rich"))
+    pairs = once.groupBy("doc_id", "item_id").agg(
+        F.max("n_windows").alias("n_all"), F.max("n_rich").alias("n_rich"), F.count("*").alias("m_all"), F.count_if("rich").alias("m_rich"),
+        F.collect_list(F.struct("at.loose", "at.dpos", "ipos")).alias("at"),
+    )
+    by_template = F.col("m_rich") * F.col("n_all") > F.col("m_all") * F.col("n_rich")
+    run = F.aggregate(
+        F.array_sort(F.transform(F.filter("at", lambda m: ~m["loose"]), lambda m: m["ipos"])),
+        F.struct(F.lit(-2).alias("last"), F.lit(0).alias("n"), F.lit(0).alias("best")),
+        lambda acc, p: F.struct(p.alias("last"), F.when(p == acc["last"] + 1, acc["n"] + 1).otherwise(1).alias("n"), F.greatest(acc["best"], F.when(p == acc["last"] + 1, acc["n"] + 1).otherwise(1)).alias("best")),
+        lambda acc: acc["best"],
+    )
+    return pairs.select("doc_id", "item_id", F.when(by_template, F.col("n_rich")).otherwise(F.col("n_all")).alias("n_windows"), F.when(by_template, F.col("m_rich")).otherwise(F.col("m_all")).alias("n_matched"), run.alias("n_run"), "at")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """One row for each (doc_id, item_id) whose coverage reaches min_coverage, with its slots compared.
+    """One row for each (doc_id, item_id) whose coverage reaches min_coverage or that has an excerpt, with its slots compared.
 
-    kind: exact (all slots alike), reparameterised (other values, consistently) or
-    partial (values contradict each other).
+    kind: exact (all slots alike), reparameterised (other values, consistently), excerpt
+    (coverage below min_coverage or values that contradict each other, but EXCERPT words
+    in a row word for word) or partial (values contradict each other).
     """
-    found = stored(matches(docs, benchmark).where(F.col("n_matched") >= min_coverage * F.col("n_windows")), "leaks")
+    covered, excerpt = F.col("n_matched") >= min_coverage * F.col("n_windows"), F.col("n_run") >= EXCERPT - K + 1
+    found = stored(matches(docs, benchmark).where(covered | excerpt), "leaks")
     ids = _few(found.select("doc_id").distinct())
     rows = docs.join(ids, "doc_id", "left_semi").select("doc_id", raw_words(F.col("text")).alias("d")).dropDuplicates(["doc_id"])
     items = benchmark.select("item_id", raw_words(F.col("text")).alias("i"), template(F.col("text")).alias("t")).dropDuplicates(["item_id"])
@@ -109,7 +150,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
             F.transform(
                 "at",
                 lambda m: F.filter(
-                    F.transform(F.sequence(F.lit(1), F.lit(K)), lambda j: F.struct(F.get(F.col("t"), m["ipos"] + j - 1).alias("t"), F.get(F.col("i"), m["ipos"] + j - 1).alias("i"), F.get(F.col("d"), m["dpos"] + j - 1).alias("d"))),
+                    F.transform(F.sequence(F.lit(1), F.lit(K)), lambda j: F.struct(F.get(F.col("t"), m["ipos"] + j - 1).alias("t"), F.get(F.col("i"), m["ipos"] + j - 1).alias("i"), F.when(m["loose"], F.get(F.col("d"), m["dpos"] + j - 1)).otherwise(F.get(F.col("i"), m["ipos"] + j - 1)).alias("d"))),
                     lambda s: s["t"].rlike("[_0§]"),
                 ),
             )
@@ -121,11 +162,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
     consistent = F.size("slots") == F.size(values)
     return out.select(
         "doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "n_matched", F.round(F.col("n_matched") / F.col("n_windows"), 6).alias("coverage"),
-        F.size("slots").cast("long").alias("n_slots"), consistent.alias("consistent"), F.when(same, "exact").when(consistent, "reparameterised").otherwise("partial").alias("kind"),
+        F.size("slots").cast("long").alias("n_slots"), consistent.alias("consistent"), F.when(covered & same, "exact").when(covered & consistent, "reparameterised").when(excerpt, "excerpt").otherwise("partial").alias("kind"),
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """Rows of docs without a benchmark item, exact or re-parameterised, unchanged."""
+    """Rows of docs without a benchmark item, exact, re-parameterised or as an excerpt, unchanged."""
     bad = stored(leaks(docs, benchmark, min_coverage).where("kind <> 'partial' OR coverage >= 0.9").select("doc_id").distinct(), "leaked")
     return docs.join(_few(bad), "doc_id", "left_anti").select(docs.columns)
