@@ -60,6 +60,17 @@ def test_secrets(spark):
     assert {r["doc_id"]: r["text"] for r in secret_scans.redact(docs).collect()}[1] == 'x [secret]" [secret] [secret] TOKEN:short'
 
 
+def test_private_keys_leave_nothing(spark):
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("ABCDEFGHabcdefgh+/0189") for _ in range(n)) for n in (64, 64, 64, 9)]
+    begin, end, headers = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    body = "\n".join(lines) + "=="
+    keys = [f"{begin}\n{body}\n{end}", f"{begin}\n{headers}{body}\n{end}", f"{begin}\n{body}", f"{begin}\n{headers}{body}", f"{begin}\r\n" + body.replace("\n", "\r\n"), f"{begin}\\n" + body.replace("\n", "\\n") + f"\\n{end}", f"{begin}\\n" + body.replace("\n", "\\n"), f"{begin} " + body.replace("\n", " ") + f" {end}"]
+    docs = frame(spark, [(i, f"é before\n{k}\nthe text after") for i, k in enumerate(keys)] + [(90, f"{begin} is a line\nof text")])
+    got = {r["doc_id"]: r["text"] for r in secret_scans.redact(docs).collect()}
+    assert [got[i] for i in range(len(keys))] == ["é before\n[secret]\nthe text after"] * len(keys) and got[90] == "[secret] is a line\nof text"
+
+
 def test_licenses(spark):
     docs = frame(spark, [(1, "é Released under the MIT License. x"), (2, None), (3, ""), (4, "no license here at all")])
     assert [(r["doc_id"], r["license"], r["start"], r["end"]) for r in license_scans.scan(docs).collect()] == [(1, "mit", 2, 32)]

@@ -26,16 +26,23 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.textbatch import slices, texts_of
 
-RULE_VERSION = "base-3+extra-4"
+RULE_VERSION = "base-3+extra-5"
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEYWORD = re.compile(r"pass|secret|token|api", re.IGNORECASE | re.ASCII)
 
+# A private key: to its END line or, if it is unclosed, over its headers and all lines of base64.
+_GAP = r"(?:\s|\\[nr])*"
+_PEM = re.compile(
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}(?:Proc-Type|DEK-Info|Comment|Version): (?:(?!\\[nr])[^\n])*)*(?:{_GAP}[A-Za-z0-9+/]{{20,}}={{0,2}}|(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/]+={{0,2}}(?=\s*(?:[\n\\\"']|\Z)))*)"
+)
+
 KINDS = ("assign", "access", "hex", "pem", "forge", "jwt", "hook")
 EXTRA = (
-    ("pem", "-----BEGIN", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")),
+    ("pem", "-----BEGIN", _PEM),
     ("forge", "gh", re.compile(r"gh[oprsu]_[A-Za-z0-9]{36,}")),
     ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")),
     ("hook", "https://hooks.", re.compile(r"https://hooks\.[a-z.]+/[A-Za-z0-9/_-]{20,}")),
