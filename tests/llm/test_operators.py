@@ -76,6 +76,15 @@ def test_licenses(spark):
     assert [(r["doc_id"], r["license"], r["start"], r["end"]) for r in license_scans.scan(docs).collect()] == [(1, "mit", 2, 32)]
 
 
+def test_licenses_whatever_words_surround_them(spark):
+    rng = random.Random(4)
+    some = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(999)}" for _ in range(4))
+    texts = ["foo bar released under the terms of the MIT License baz qux"]
+    texts += [f"{some()} {t} {some()}" for t in ["Released under the MIT License.", "released under the terms of the MIT License", "released under the old MIT License", "Licensed under CC BY-NC 4.0.", "is licensed under a Creative Commons Attribution 4.0 International License"] for _ in range(20)]
+    found = {r["doc_id"] for r in license_scans.scan(frame(spark, list(enumerate(texts)))).collect()}
+    assert found == set(range(len(texts)))
+
+
 def test_quality(spark, texts):
     def brute(t):
         w, lines = WORD.findall(t or ""), Counter()

@@ -2,9 +2,11 @@
 
 Words are runs of ASCII letters and digits and of other non-ASCII characters, lower
 case.  Templates are cut into shingles of ``K`` words and winnowed over ``W``
-shingles into an inverted index; texts are winnowed alike, so any common run of
-K + W - 1 words shares a fingerprint.  Hits name a template and a diagonal; a banded
-alignment of the words around it gives matched words, coverage and the span.
+shingles into an inverted index, those of fewer than ``SHORT`` words kept whole.  Every
+shingle of a text probes it, so a common run of K words of a short template, or of
+K + W - 1 words of a longer one, is a hit, whatever words follow.  Hits name a template
+and a diagonal; a banded alignment of the words around it gives matched words, coverage
+and the span.  A notice whose changed words leave no such run is not found.
 
 The index holds the fixed ``TEMPLATES`` only and does not grow with the data.
 
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from tidemill.llm.textbatch import segment_hash, slices, utf8
 
 K, W, BAND, MIN_COVERAGE = 3, 3, 6, 0.8
+SHORT = 12
 
 # License notices.
 TEMPLATES: dict[str, str] = {
@@ -63,14 +66,19 @@ def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return s, np.flatnonzero(stop) + 1, np.searchsorted(s, off)
 
 
-def _fingerprints(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start word and hash of each winnowed shingle; a shingle or window never leaves its row."""
+def _shingles(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start word and hash of each shingle; none leaves its row."""
     left = np.repeat(first[1:], np.diff(first)) - np.arange(len(h))
     at = np.flatnonzero(left >= K)
-    g = segment_hash(h, at, at + K)
+    return at, segment_hash(h, at, at + K)
+
+
+def _fingerprints(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start word and hash of each winnowed shingle; a shingle or window never leaves its row."""
+    at, g = _shingles(h, first)
     if not len(at):
         return at, g
-    row_end = (left[at] - K).astype(np.int64)  # shingles after this one in its row
+    row_end = np.repeat(first[1:], np.diff(first))[at] - at - K  # shingles after this one in its row
     best, where = g.copy(), np.arange(len(g))
     for d in range(1, W):
         other = np.minimum(np.arange(len(g)) + d, len(g) - 1)
@@ -88,7 +96,7 @@ class Index:
             data = np.frombuffer(text.encode(), np.uint8)
             s, e, first = _words(data, np.array([0, len(data)]))
             h = segment_hash(_ODD[_FOLD[data]], s, e)
-            at, g = _fingerprints(h, first)
+            at, g = (_shingles if len(h) < SHORT else _fingerprints)(h, first)
             self.words.append(h)
             hashes.append(g)
             owner += [i] * len(g)
@@ -123,7 +131,7 @@ class Index:
         """(row, template, matched words, template words, byte start, byte end) of all confirmed hits."""
         s, e, first = _words(data, off)
         h = segment_hash(_ODD[_FOLD[data]], s, e)
-        at, g = _fingerprints(h, first)
+        at, g = _shingles(h, first)
         lo, hi = np.searchsorted(self.hash, g), np.searchsorted(self.hash, g, "right")
         out = []
         hit = np.flatnonzero(hi > lo)
