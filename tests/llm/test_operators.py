@@ -126,6 +126,15 @@ def test_leaks_verbatim(spark):
     assert decontamination.leaks(frame(spark, [(1, "what is 5 + 0 + 0 + 0 + 0 + 0")]), zero).collect() == []
 
 
+def test_leaks_of_sentences_that_begin_with_names(spark):
+    items = spark.createDataFrame([(1, "Tom has 4 cats. Jane has 7 cats. Mark has 3 cats. Lucy has 9 cats. Who has the most cats?")], "item_id long, text string")
+    ask = "{} has 14 cats. {} has 17 cats. {} has 13 cats. {} has 19 cats. Who has the most cats?"
+    texts = [ask.format("Ann", "Bob", "Carl", "Dora"), 'He said: "' + ask.format("Ann", "Bob", "Carl", "Dora") + '"', "1) " + ask.format("Ann", "Bob", "Carl", "Dora"), "Text.\n" + ask.format("Ann", "Bob", "Carl", "Dora")]
+    docs = frame(spark, list(enumerate(texts)) + [(9, "Tom has a cat. Jane has a dog. Who has the most pets of all?")])
+    assert sorted((r["doc_id"], r["coverage"], r["kind"]) for r in decontamination.leaks(docs, items).collect()) == [(i, 1.0, "reparameterised") for i in range(4)]
+    assert [r["doc_id"] for r in decontamination.keep_clean(docs, items).collect()] == [9]
+
+
 def test_substring_dedup(spark, texts, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 60_000)
     rng = random.Random(2)

@@ -7,7 +7,8 @@ placeholders) are compared: a re-parameterised question replaces each value of t
 item by the same value wherever it stands.
 
 * numbers: digits, with inner points and commas taken out
-* names: a capital followed by lower case, after a lower-case letter or comma and a space
+* names: words of a capital followed by lower case, wherever they stand, but for the fixed
+  words of ``OPENERS``, which often begin sentences
 * units: the fixed words of ``UNITS`` after a number
 
 Benchmark windows with ``MIN_WORDS`` words that are no placeholders match by template,
@@ -27,7 +28,7 @@ through ``keep_clean``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.tables import stored
@@ -45,8 +46,16 @@ UNITS = (
     "liter liters litre litres ml gallon gallons degree degrees celsius fahrenheit mph kmh watt watts volt volts joule joules"
 ).split()
 
+# Words that often begin a sentence and are no names.
+OPENERS = (
+    "A An The This That These Those There Here It Its He She They We You I His Her Their Our Your My One Some Any All Each Every Both Many Most Several Few Another Other No Not None "
+    "If When While Then Thus Hence So But And Or Nor Yet For As At By In On Of To From With Without After Before During Since Until Once Because Although Though However Therefore "
+    "What Which Who Whom Whose Where Why How Is Are Was Were Be Been Do Does Did Has Have Had Can Could Will Would Shall Should May Might Must Let Given Suppose Assume Consider "
+    "Find Compute Calculate Solve Determine Show Prove Choose Select Write Explain Describe Name List Complete Answer Question Next Now First Second Finally Also Only Between Among Over Under Per"
+).split()
 
 _CUT = r"[^\p{L}\p{N}_§]+"
+_NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?!(?:{'|'.join(OPENERS)})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}\p{{L}}*"
 _UNIT = rf"(?i)(?<=0)([ -]?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 
 
@@ -64,7 +73,7 @@ def template(text: Column) -> Column:
 
     Whole-text patterns instead of a function of each word: they cost one pass each.
     """
-    named = F.regexp_replace(_plain(text), r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}\p{L}*", "_")
+    named = F.regexp_replace(_plain(text), _NAME, "_")
     return F.split(F.lower(F.regexp_replace(F.regexp_replace(named, r"\d+", "0"), _UNIT, "$1§")), _CUT)
 
 
@@ -115,17 +124,18 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sets = sets.select("doc_id", F.concat("w", exact, *(f"e{k}" for k in lengths)).alias("w"))
     # The outer form: of a plain explode the optimizer would infer a filter that evaluates the windows anew.
     each = sets.select("doc_id", F.posexplode_outer("w").alias("dpos", "h"))
-    hits = each.join(known, "h")
+    hits = each.join(known, "h").withColumn("support", F.count("*").over(Window.partitionBy("doc_id", "item_id", F.col("dpos") - F.col("ipos"))))
     # One place in the document for each window of the item: bounded by the item, even if a text repeats it.
+    # Like windows of one text (Tom has 4 cats. Jane has 7 cats.) fit in many places: the shift that fits most windows goes first.
     # Only templates with placeholders are no raw windows, and these come first in w: dpos is their place.
-    once = hits.groupBy("doc_id", "item_id", "ipos").agg(F.min(F.struct((~F.col("raw")).alias("loose"), "dpos")).alias("at"), F.max("n_windows").alias("n_windows"), F.max("n_rich").alias("n_rich"), F.max("rich").alias("rich"))
+    once = hits.groupBy("doc_id", "item_id", "ipos").agg(F.min(F.struct((-F.col("support")).alias("s"), (~F.col("raw")).alias("loose"), "dpos")).alias("at"), F.max("raw").alias("raw"), F.max("n_windows").alias("n_windows"), F.max("n_rich").alias("n_rich"), F.max("rich").alias("rich"))
     pairs = once.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_all"), F.max("n_rich").alias("n_rich"), F.count("*").alias("m_all"), F.count_if("rich").alias("m_rich"),
-        F.collect_list(F.struct("at.loose", "at.dpos", "ipos")).alias("at"),
+        F.collect_list(F.struct("at.loose", "at.dpos", "ipos", "raw")).alias("at"),
     )
     by_template = F.col("m_rich") * F.col("n_all") > F.col("m_all") * F.col("n_rich")
     run = F.aggregate(
-        F.array_sort(F.transform(F.filter("at", lambda m: ~m["loose"]), lambda m: m["ipos"])),
+        F.array_sort(F.transform(F.filter("at", lambda m: m["raw"]), lambda m: m["ipos"])),
         F.struct(F.lit(-2).alias("last"), F.lit(0).alias("n"), F.lit(0).alias("best")),
         lambda acc, p: F.struct(p.alias("last"), F.when(p == acc["last"] + 1, acc["n"] + 1).otherwise(1).alias("n"), F.greatest(acc["best"], F.when(p == acc["last"] + 1, acc["n"] + 1).otherwise(1)).alias("best")),
         lambda acc: acc["best"],
