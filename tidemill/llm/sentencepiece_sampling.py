@@ -4,7 +4,9 @@ A text is a lattice of vocabulary pieces.  Forward filtering gives each position
 total weight of all ways to reach it; backward sampling then walks from the end and
 draws each piece in proportion to the weight of what leads to it, so whole
 segmentations come out with their exact lattice probability.  Draws are a hash of
-(seed, row key, segment, step): the same row gives the same pieces on any cluster.
+(seed, row key, segment, step): the same row gives the same pieces on any cluster,
+whatever rows share its slice.  For that, weights are multiplied, added and divided
+inside one segment only, and scaled by powers of two where products grow small.
 
 No piece spans from a letter to a following space, nor a line end, so the lattice
 falls apart into segments there.  Each distinct segment of a slice of rows is
@@ -15,7 +17,9 @@ Pieces weigh 1 / (rank + 50) ** sharpness.  A character without a piece of its o
 is written in byte pieces, and so is U+2581, which the model uses for the space.
 
 Defined results: null and empty texts have no pieces and decode to the empty text;
-rows with the same key and text get the same pieces; other columns are ignored.
+rows with the same key and text get the same pieces; a null key is a key like any
+other; other columns are ignored.  A text without spaces is one segment and takes one
+numpy step for each of its characters.
 """
 
 from __future__ import annotations
@@ -27,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.textbatch import mix, segment_hash, slices, texts_of, utf8
+from tidemill.llm.textbatch import distinct_segments, mix, slices, texts_of, utf8
 
 SLICE = 2 << 20
 _BASE = np.uint64(0x2545F4914F6CDD1D)
+_SYMBOL = np.uint64(0x8CB92BA72F3D8DD7)
 _PREFIX_BITS = 20
+SHORT = 40  # characters of a segment whose products of weights need no scaling
 _G1, _G2, _G3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -65,7 +71,7 @@ class Lattice:
                 if "\n" in text or " " in text.lstrip(" "):
                     raise ValueError("a piece spans a segment end")
                 rank = min(-sp.get_score(i), sp.vocab_size())
-                self.piece[text] = i, (rank + 50.0) ** -sharpness
+                self.piece[text] = i, float(np.float32((rank + 50.0) ** -sharpness))
                 raw.append(text.encode())
         self.sizes = np.array([len(r) for r in raw], np.int64)
         self.offsets = np.concatenate(([0], np.cumsum(self.sizes)))
@@ -76,9 +82,9 @@ class Lattice:
         for text, (i, w) in self.piece.items():
             code = 0
             for ch in text:
-                code = (code * int(_BASE) + ord(ch) + 1) & 0xFFFFFFFFFFFFFFFF
+                code = (code * int(_BASE) + int(mix(np.array([ord(ch)], np.uint64) + _SYMBOL)[0])) & 0xFFFFFFFFFFFFFFFF
                 self.begins[_lookup_bits(mix(np.array([code], np.uint64)))] = True
-            hashes[code] = i, np.log(w)
+            hashes[code] = i, w
         if len(hashes) < len(self.piece):
             raise ValueError("two pieces share a hash")
         found = np.array(list(hashes), np.uint64)
@@ -90,7 +96,7 @@ class Lattice:
         self.slot[where] = np.arange(len(found))
         lost = np.flatnonzero(self.slot[where] != np.arange(len(found)))
         self.rest, self.rest_at, self.shared = np.append(self.hash[lost], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(lost, 0), len(lost)
-        self.ident, self.logw = (np.array([v[k] for v in hashes.values()])[order] for k in (0, 1))
+        self.ident, self.weight = (np.array([v[k] for v in hashes.values()])[order] for k in (0, 1))
 
     def filtered(self, points: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """Forward filtering of segments that follow one another in points.
@@ -102,11 +108,12 @@ class Lattice:
         total = len(points)
         left = np.repeat(np.cumsum(size), size) - np.arange(total)
         at = np.arange(total)
+        symbols = mix(points.astype(np.uint64) + _SYMBOL)
         code = np.zeros(total, np.uint64)
         found = []
         alone = np.zeros(total, bool)
         for n in range(1, self.longest + 1):
-            code = code * _BASE + points[at + (n - 1)].astype(np.uint64) + np.uint64(1)
+            code = code * _BASE + symbols[at + (n - 1)]
             keep = np.flatnonzero(self.begins[_lookup_bits(mix(code))])
             at, code = at[keep], code[keep]
             j = self.slot[_lookup_bits(mix(code))]
@@ -131,41 +138,45 @@ class Lattice:
         lead = np.concatenate(([0], np.cumsum(many[1:])))
         fill = np.concatenate(([0], lead[:-1]))
         edges = lead[-1]
-        length, ident, logw = np.empty(edges, np.int8), np.empty(edges, np.int32), np.empty(edges)
+        length, ident, weight = np.empty(edges, np.int8), np.empty(edges, np.int32), np.empty(edges)
         for end, n, j in found[::-1]:
             to = fill[end]
             fill[end] += 1
-            length[to], ident[to], logw[to] = n, self.ident[j], self.logw[j]
+            length[to], ident[to], weight[to] = n, self.ident[j], self.weight[j] * 64.0**n
         to, value = fill[bare + 1], points[bare].astype(np.int64)
-        length[to], logw[to] = 1, -14.0
+        length[to], weight[to] = 1, 64.0 * 2.0**-20
         ident[to] = np.where(value < 128, self.byte_id[np.minimum(value, 127)], -value)
         end = np.repeat(np.arange(1, total + 1), many[1:])
-        # Nodes are visited by their position in the segment.
-        start = np.concatenate(([0], np.cumsum(size)))[:-1]
-        level = (np.arange(total) - np.repeat(start, size)).astype(np.int32 if size.max() >= 1 << 15 else np.int16)
-        by_level = np.argsort(level, kind="stable")
-        bounds = np.concatenate(([0], np.cumsum(np.bincount(level))))
+        start = np.repeat(np.concatenate(([0], np.cumsum(size)))[:-1], size)
+        level = np.arange(total) - start
         origin = end - length
-        plain = size.max() <= 90  # products of so few weights stay in range, otherwise logarithms
-        weight = np.exp(logw + 4.0 * length) if plain else logw
-        forward = np.full(total + 1, 1.0 if plain else 0.0)
-        before = origin.copy()
-        before[origin == np.repeat(start, size)[end - 1]] = total + 1  # the start of a segment is not the end of the one before
-        forward = np.append(forward, 1.0 if plain else 0.0)
-        for t in range(len(bounds) - 1):
-            node = by_level[bounds[t] : bounds[t + 1]]
-            a, k = lead[node], many[node + 1]
-            own = np.cumsum(k) - k
-            e = np.repeat(a - own, k) + np.arange(own[-1] + k[-1])
-            if plain:
-                forward[node + 1] = np.add.reduceat(weight[e] * forward[before[e]], own)
-            else:
-                w = weight[e] + forward[before[e]]
-                top = np.maximum.reduceat(w, own)
-                forward[node + 1] = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, k)), own))
-        part = weight * forward[before] / forward[end] if plain else np.exp(weight + forward[before] - forward[end])
-        run = np.cumsum(part)
-        share = run - np.repeat(run[lead[:-1]] - part[lead[:-1]], many[1:])
+        before = np.where(origin == start[end - 1], total + 1, origin)  # the start of a segment is not the end of the one before
+        forward, power = np.ones(total + 2), np.zeros(total + 2, np.int32)  # a node weighs forward * 2 ** power
+        long = np.repeat(size > SHORT, size)
+        # Nodes are visited by their position in the segment, short and long segments apart.
+        for group, scaled in ((np.flatnonzero(~long), False), (np.flatnonzero(long), True)):
+            by_level = group[np.argsort(level[group], kind="stable")]
+            bounds = np.concatenate(([0], np.cumsum(np.bincount(level[group]))))
+            for t in range(len(bounds) - 1):
+                node = by_level[bounds[t] : bounds[t + 1]]
+                a, k = lead[node], many[node + 1]
+                own = np.cumsum(k) - k
+                e = np.repeat(a - own, k) + np.arange(own[-1] + k[-1])
+                w = weight[e] * forward[before[e]]
+                if scaled:
+                    p = power[before[e]]
+                    top = np.maximum.reduceat(p, own)
+                    forward[node + 1], more = np.frexp(np.add.reduceat(np.ldexp(w, p - np.repeat(top, k)), own))
+                    power[node + 1] = top + more
+                else:
+                    forward[node + 1] = np.add.reduceat(w, own)
+        share = np.ldexp(weight * forward[before], power[before] - power[end]) / forward[end]
+        nth, node = 1, np.flatnonzero(many[1:] > 1)
+        while len(node):  # cumulative inside each node
+            i = lead[node] + nth
+            share[i] += share[i - 1]
+            nth += 1
+            node = node[many[node + 1] > nth]
         share[lead[1:] - 1] = 1.0
         return np.minimum(share, 1.0), length, ident, lead
 
@@ -190,7 +201,7 @@ def encode(lattice: Lattice, texts: list[str], keys: np.ndarray, seed: int) -> t
     a, b = _segments(points, row_start[:-1][row_start[:-1] < len(points)])
     if not len(a):
         return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    _, one, each = np.unique(segment_hash(points.astype(np.uint64), a, b), return_index=True, return_inverse=True)
+    one, each = distinct_segments(points, a, b)
     size = (b - a)[one]
     place = np.concatenate(([0], np.cumsum(size)))
     share, length, ident, lead = lattice.filtered(points[np.repeat(a[one] - place[:-1], size) + np.arange(place[-1])], size)

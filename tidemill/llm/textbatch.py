@@ -9,15 +9,18 @@ Nulls count as empty texts.  Words are ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 
-_M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x9E3779B97F4A7C15 | 1
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_BASE = 0xD1342543DE82EF95
+_LENGTH, _POINT = np.uint64(0xA24BAED4963EE407), np.uint64(0x632BE59BD9B4E019)
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _BYTE = np.random.Generator(np.random.PCG64(20250)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,7 +56,45 @@ def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     total = np.empty(len(values) + 1, np.uint64)
     total[0] = 0
     np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GOLD)
+    return mix((total[ends] - total[starts]) * down[starts] + mix((ends - starts).astype(np.uint64) + _LENGTH))
+
+
+def distinct_segments(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of one segment of each kind, and the kind of every segment, of points[start:end].
+
+    Kinds are found by hash and compared point by point with their first segment, so two
+    different segments never share one.
+    """
+    symbols = mix(points.astype(np.uint64) + _POINT)
+    _, one, each = np.unique(segment_hash(symbols, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    rep = one[each]
+    wrong = size != size[rep]
+    check = np.flatnonzero(~wrong & (rep != np.arange(len(rep))))
+    n = size[check]
+    place = np.concatenate(([0], np.cumsum(n)))
+    step = 1 << 21
+    for low in range(0, int(place[-1]), step):  # in pieces, so that the positions stay few
+        a, b = np.searchsorted(place, [low, min(low + step, place[-1])], "right") - 1
+        some = check[a : b + 1] if b < len(check) else check[a:]
+        m = size[some]
+        at = np.cumsum(m) - m
+        walk = np.arange(int(m.sum()))
+        differ = points[walk + np.repeat(starts[some] - at, m)] != points[walk + np.repeat(starts[rep[some]] - at, m)]
+        if differ.any():
+            wrong[some[np.unique(np.searchsorted(at, np.flatnonzero(differ), "right") - 1)]] = True
+    lost = np.flatnonzero(wrong)
+    if len(lost):
+        kinds: dict[bytes, int] = {}
+        more = []
+        for i in lost.tolist():
+            key = points[starts[i] : ends[i]].tobytes()
+            if key not in kinds:
+                kinds[key] = len(one) + len(more)
+                more.append(i)
+            each[i] = kinds[key]
+        one = np.concatenate([one, more])
+    return one, each
 
 
 class Words:
@@ -115,6 +156,22 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+@cache
+def _trim():
+    """The C library's malloc_trim, or None where it has none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: worker processes live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 0) -> Iterator[pa.RecordBatch]:
     """Pieces of a record batch with at most SLICE_BYTES of text each, or one longer row."""
     limit = limit or SLICE_BYTES
@@ -124,6 +181,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 0) -> Iterato
         to = int(max(at + 1, np.searchsorted(off, off[at] + limit, "right") - 1))
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 def words_of(batch: pa.RecordBatch, text: str = "text", lower: bool = False) -> Words:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemill.llm.textbatch import segment_hash, slices, texts_of, utf8
+from tidemill.llm.textbatch import distinct_segments, slices, texts_of, utf8
 
 CHUNK = 64
 MAX_WORDS = 600_000
@@ -281,6 +281,12 @@ class TokenCounter:
         self.merger = Merger(spec["model"]["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]], "</w>")
         self.splitter = Splitter()
         self.known = Known(self.merger.count)
+        from tokenizers import normalizers
+
+        self.library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        # Characters that the library's Unicode tables may know and Python's do not; Python leaves them as they are.
+        self.unsure = np.zeros(0x110000, bool)
+        self.unsure[[c for c in (*range(0xD800), *range(0xE000, 0x110000)) if unicodedata.category(chr(c)) == "Cn"]] = True
 
     def _normal(self, text: str) -> str:
         """Composed and lower-case; white space only separates, so its runs stay."""
@@ -292,7 +298,7 @@ class TokenCounter:
 
     def counts(self, texts: list[str]) -> np.ndarray:
         total = np.zeros(len(texts), np.int64)
-        parts, owner = [], []
+        parts, owner, plain = [], [], []
         for i, text in enumerate(texts):
             pieces = [text]
             if "<|" in text:
@@ -300,19 +306,26 @@ class TokenCounter:
                 total[i] += len(pieces) - 1
             for p in pieces:
                 if p:
+                    plain.append(p)
                     parts.append(self._normal(p))
                     owner.append(i)
         if not parts:
             return total
         joined = " ".join(parts) + " "
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        unsure = np.flatnonzero(self.unsure[points])
+        if len(unsure):
+            for i in np.unique(np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), unsure, "right")).tolist():
+                parts[i] = self.library.normalize_str(plain[i])
+            joined = " ".join(parts) + " "
+            points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts, ends = self.splitter.starts(points)
         if not len(starts):
             return total
         if len(self.known) > MAX_WORDS:
             self.known.clear()
         known = self.known
-        _, one, each = np.unique(segment_hash(points.astype(np.uint64), starts, ends), return_index=True, return_inverse=True)
+        one, each = distinct_segments(points, starts, ends)
         found = np.fromiter((known[joined[a:b]] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)), np.int64, len(one))[each]
         limits = np.cumsum([len(p) + 1 for p in parts])
         at = np.searchsorted(limits, starts, "right")
