@@ -3,36 +3,40 @@
 A word is the bag of its character n-grams (with word boundaries, no whole-word
 entry), so a misspelt word shares most of its vectors with the word it came from.
 The vectors of a passage of ``SPAN`` words are averaged and a linear softmax tells
-toxic from clean; vectors and softmax are trained jointly in numpy (Adam).  A text's
-score is the calibrated mean of its ``TOP`` most toxic passages, so a long text is
-not diluted by its clean part.
+toxic from clean; vectors and softmax are trained jointly in numpy (Adam).  Each
+training passage also counts once with misspelt words, clean ones too, so that an
+insult's weight spreads over all its n-grams.  A text's score is the calibrated mean of
+its ``TOP`` most toxic passages, so a long text is not diluted by its clean part.
 
 The model is fitted on a bounded sample of labelled rows: at most ``MAX_ROWS`` of
-either label, taken in the order of a hash of doc_id, held-out rows never.  Scoring
-reads every whole text.  As the softmax is linear, each n-gram bucket needs one
-number when scoring.
+either label, and at most ``MAX_BYTES`` of text in all, taken in the order of a hash of
+doc_id, held-out rows never.  Scoring reads every whole text.  As the softmax is linear,
+each n-gram bucket needs one number when scoring.
 
 Defined results: null and empty texts have one empty passage and get its score;
 without labelled rows of both kinds every score is the prior 0.0; repeated labels of
-a document are used once (the largest); other columns pass through ``keep_clean``
-and are ignored by ``scores``.
+a document are used once (the largest), and so are repeated rows of it (the smallest
+text); a null doc_id is scored, has no label and is in no fold (held_out is false);
+other columns pass through ``keep_clean`` and are ignored by ``scores``.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.textbatch import mix, segment_hash, slices, utf8
+from tidemill.llm.textbatch import mix, slices, utf8
 
 MAX_ROWS = 700
+MAX_BYTES = 32 << 20
 BUCKETS = 1 << 18
-DIM = 4
+DIM = 8
 SPAN = 6
 TOP = 2
 NGRAMS = (3, 4, 5)
@@ -40,6 +44,7 @@ EPOCHS = 30
 RATE = 0.3
 DECAY = 0.99
 PIECE = 20_000
+MISSPELT = 1.0  # share of longer words misspelt in the second copy of a training passage
 FOLDS = 5
 
 _FOLD = np.zeros(256, np.uint64)
@@ -48,6 +53,8 @@ _FOLD[65:91] += np.uint64(32)
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 _WORD[[0x40, 0x24, 0x21, 0x2A]] = True  # @ $ ! * stand for letters in disguised words
+# Signs that stand for letters in disguised words.
+_DISGUISE = {b"a": b"@", b"e": b"3", b"i": b"1", b"l": b"1", b"o": b"0", b"s": b"$", b"t": b"7", b"u": b"*"}
 
 
 def _spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,28 +152,74 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
 
 
+class _Vocabulary:
+    """Distinct words, in the order of their first use, and misspelt forms of them."""
+
+    def __init__(self, seed: int):
+        self.ids: dict[bytes, int] = {}
+        self.rng = random.Random(seed)
+
+    def of(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for t in texts:
+            data, off = _joined([t])
+            s, e, _, _ = _spans(data, off)
+            raw = _FOLD[data].astype(np.uint8).tobytes()
+            out.append([self.ids.setdefault(raw[a:b], len(self.ids)) for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+        return out
+
+    def misspelt(self, words: list[list[int]]) -> list[list[int]]:
+        """The same words, a share of the longer ones with one or two random edits."""
+        names, rng = list(self.ids), self.rng
+
+        def edit(w: bytes) -> bytes:
+            for _ in range(rng.randint(1, 2)):
+                i, how = rng.randrange(len(w)), rng.randrange(5)
+                if how == 0 and len(w) > 3:
+                    w = w[:i] + w[i + 1 :]
+                elif how == 1:
+                    w = w[: i + 1] + w[i:]
+                elif how == 2 and i + 1 < len(w):
+                    w = w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :]
+                elif how == 3:
+                    w = w[:i] + _DISGUISE.get(w[i : i + 1], w[i : i + 1]) + w[i + 1 :]
+                else:
+                    w = w[:i] + bytes([rng.randrange(97, 123)]) + w[i + 1 :]
+            return w
+
+        return [[w if len(names[w]) < 4 or rng.random() > MISSPELT else self.ids.setdefault(edit(names[w]), len(self.ids)) for w in row] for row in words]
+
+    def bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(self.ids), np.uint8), np.fromiter(map(len, self.ids), np.int64, len(self.ids))
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOCHS) -> Model:
     """Fits vectors and softmax together on passages, then calibrates whole texts."""
     y = np.asarray(labels)
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), 0.0, (0.0, 0.0, 0.0), known=False)
-    data, off = _joined(texts)
-    s, e, first, _ = _spans(data, off)
-    _, one, each = np.unique(segment_hash(_FOLD[data], s, e), return_index=True, return_inverse=True)
-    m, size = len(one), (e - s)[one]
-    bucket, word = _bags(data[np.repeat(s[one] - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(size.sum())], size)
+    vocabulary = _Vocabulary(seed)
+    rows = vocabulary.of(texts)
+    rows += vocabulary.misspelt(rows)
+    labels2 = np.concatenate([y, y])
+    letters, size = vocabulary.bytes()
+    m = len(size)
+    bucket, word = _bags(letters, size)
     used, local = np.unique(bucket, return_inverse=True)
     local = local.astype(np.int32)
     many = np.bincount(word, minlength=m)
     lead, size = np.concatenate(([0], np.cumsum(many)))[:-1], np.maximum(many, 1)[:, None].astype(np.float32)
-    n = np.diff(first)
+    n = np.fromiter(map(len, rows), np.int64, len(rows))
+    first = np.concatenate(([0], np.cumsum(n)))
+    each = np.fromiter((w for r in rows for w in r), np.int32, first[-1])
     row = np.repeat(np.arange(len(n)), n)
     spans = np.maximum(1, -(-n // SPAN))
     base = np.concatenate(([0], np.cumsum(spans)))
     pos = np.arange(len(row)) - first[row]
     grid = np.full((base[-1], SPAN), m, np.int32)
     grid[base[row] + pos // SPAN, pos % SPAN] = each
-    target = y[np.repeat(np.arange(len(n)), spans)].astype(np.float32)
+    target = labels2[np.repeat(np.arange(len(n)), spans)].astype(np.float32)
+    del rows, each, row, pos
     weigh = np.where(target > 0, 0.5 / max(target.sum(), 1), 0.5 / max((1 - target).sum(), 1)).astype(np.float32)
     rng = np.random.Generator(np.random.PCG64(seed))
     E = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
@@ -181,12 +234,15 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
             low, high = lead[own[0]], lead[own[-1]] + many[own[-1]]
             W[own] = np.add.reduceat(E[local[low:high]], lead[own] - low, axis=0)
         W[:-1] /= size
-        H = W[grid].mean(axis=1)
+        H = np.zeros((len(grid), DIM), np.float32)
+        for k in range(SPAN):
+            H += W[grid[:, k]]
+        H /= SPAN
         z = H @ V + c
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weigh
         gV, gc = H.T @ g, g.sum()
         # The gradient of a word's vector is a number times V, and so is that of a bucket's.
-        gw = np.bincount(grid.ravel(), weights=np.repeat(g, SPAN), minlength=m + 1)[:-1] / (SPAN * size[:, 0])
+        gw = sum(np.bincount(grid[:, k], weights=g, minlength=m + 1) for k in range(SPAN))[:-1] / (SPAN * size[:, 0])
         gE = (np.bincount(local, weights=gw[word], minlength=len(used))[:, None] * V).astype(np.float32)
         for p, grad, mean, v in ((E, gE, mE, vE), (V, gV, mV, vV)):
             mean += 0.1 * (grad - mean)
@@ -199,7 +255,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
     weight = np.zeros(BUCKETS)
     weight[used] = E @ V
     model = Model(weight, float(c), (1.0, 0.0, 0.0))
-    x = model.features(data, off)
+    x = np.concatenate([model.features(*_joined([t])) for t in texts])
     mid, wide = x.mean(0), x.std(0) + 1e-9
     x = np.column_stack([(x - mid) / wide, np.ones(len(x))])
     k, ridge = np.zeros(3), np.diag([1.0, 1.0, 1e-6])
@@ -212,52 +268,60 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
 
 
 def fold(key: str = "doc_id"):
-    """crc32 of the id as text, modulo FOLDS; 0 is held out."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS
+    """crc32 of the id as text, modulo FOLDS; 0 is held out; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS, F.lit(-1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """A model from at most max_rows rows of either label that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    """A model from at most max_rows rows of either label and max_bytes of text, none of them held out."""
     train_rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("__y"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     some = train_rows.where("__y = 1").orderBy(*order).limit(max_rows).unionByName(train_rows.where("__y = 0").orderBy(*order).limit(max_rows))
     # At most 2 * max_rows ids: a proven bound, so the documents are filtered where they are.
-    ids = {r[0]: int(r[1]) for r in some.collect()}
+    ids = {r[0]: int(r[1]) for r in some.select(F.col("doc_id").cast("string"), "__y").collect()}
+
+    def chosen(keys: list[str]) -> DataFrame:
+        few = docs.sparkSession.createDataFrame([(k,) for k in keys], "id string")
+        rows = docs.join(F.broadcast(few), docs["doc_id"].cast("string") == few["id"])
+        return rows.groupBy("id").agg(F.min(F.coalesce(docs["text"], F.lit(""))).alias("text"))
+
     if not ids:
         return train([], [])
-    few = docs.sparkSession.createDataFrame([(k, v) for k, v in ids.items()], "id long, y int")
-    rows = docs.join(F.broadcast(few), docs["doc_id"] == few["id"]).select("id", "y", F.coalesce(docs["text"], F.lit("")).alias("text")).dropDuplicates(["id"]).collect()
-    rows.sort(key=lambda r: r[0])
-    return train([r[2] for r in rows], [r[1] for r in rows])
+    sizes = {r[0]: r[1] for r in chosen(list(ids)).select("id", F.octet_length("text")).collect()}
+    kept, room = [], {0: max_bytes // 2, 1: max_bytes // 2}
+    for k, y in ids.items():
+        if k in sizes and sizes[k] <= room[y]:
+            room[y] -= sizes[k]
+            kept.append(k)
+    if not kept:
+        return train([], [])
+    rows = sorted((r[0], r[1]) for r in chosen(kept).collect())
+    return train([t for _, t in rows], [ids[k] for k, _ in rows])
+
 
+def score(model: Model, text: str = "text") -> Column:
+    """The score of a text column; only that column goes to Python."""
+    sent = SparkSession.active().sparkContext.broadcast(model)  # BUCKETS numbers, whatever the input
 
-def _score(model) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in batches:
-            for part in slices(batch, "t", 1 << 20):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.scores(*utf8(part.column(1))))], ["k", "score"])
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = sent.value
+        for texts in batches:
+            parts = slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t", 1 << 20)
+            found = [m.scores(*utf8(part.column(0))) for part in parts]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0))
 
-    return run
+    return run(F.coalesce(F.col(text), F.lit("")))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the input
-    return docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t")).mapInArrow(_score(sent), "k long, score double").withColumnRenamed("k", "doc_id")
+    return docs.select("doc_id", score(model).alias("score"))
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The rows of docs that score below the limit, unchanged."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                yield part.filter(pa.array(m.scores(*utf8(part.column(part.schema.get_field_index("text")))) < limit))
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score(model) < limit)
 
 
 def digests(docs: DataFrame, labels: DataFrame) -> DataFrame:
