@@ -31,13 +31,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.tables import stored
+from tidemill.llm.tables import few, light, stored
 
 K = 8
 MIN_WORDS = 4
 MIN_COVERAGE = 0.5
 EXCERPT = 13
-MAX_BROADCAST_ROWS = 1_000_000
 
 # Unit words.
 UNITS = (
@@ -88,11 +87,6 @@ def windows(words: Column, k: int = K) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it is counted to be small enough."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
-
-
 def _items(benchmark: DataFrame) -> DataFrame:
     """item_id, words as template (t) and as they are (r), and the number of empty words before them."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -116,7 +110,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, n_run (consecutive windows found word for word) and at of every pair with a common window."""
-    known = _few(benchmark_windows(benchmark))
+    known = few(benchmark_windows(benchmark))
     lengths = sorted(r[0] for r in _items(benchmark).select(F.size("r").alias("n")).where(F.col("n").between(1, K - 1)).distinct().collect())
     sets = docs.select("doc_id", template(F.col("text")).alias("t"), exact_words(F.col("text")).alias("r"))
     sets = sets.select("doc_id", windows(F.col("t")).alias("w"), windows(F.col("r")).alias("e"), *(windows(F.col("r"), k).alias(f"e{k}") for k in lengths))
@@ -152,9 +146,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
     """
     covered, excerpt = F.col("n_matched") >= min_coverage * F.col("n_windows"), F.col("n_run") >= EXCERPT - K + 1
     found = stored(matches(docs, benchmark).where(covered | excerpt), "leaks")
-    ids = _few(found.select("doc_id").distinct())
+    ids = few(found.select("doc_id").distinct())
     rows = docs.join(ids, "doc_id", "left_semi").select("doc_id", raw_words(F.col("text")).alias("d")).dropDuplicates(["doc_id"])
-    items = benchmark.select("item_id", raw_words(F.col("text")).alias("i"), template(F.col("text")).alias("t")).dropDuplicates(["item_id"])
+    items = light(benchmark, "text").select("item_id", raw_words(F.col("text")).alias("i"), template(F.col("text")).alias("t")).dropDuplicates(["item_id"])
     slots = F.array_distinct(
         F.flatten(
             F.transform(
@@ -166,7 +160,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
             )
         )
     )
-    out = found.join(rows, "doc_id").join(_few(items), "item_id").withColumn("slots", slots)
+    out = found.join(rows, "doc_id").join(items, "item_id").withColumn("slots", slots)
     values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["t"], s["i"])))
     same = F.forall("slots", lambda s: s["i"].eqNullSafe(s["d"]))
     consistent = F.size("slots") == F.size(values)
@@ -179,4 +173,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """Rows of docs without a benchmark item, exact, re-parameterised or as an excerpt, unchanged."""
     bad = stored(leaks(docs, benchmark, min_coverage).where("kind <> 'partial' OR coverage >= 0.9").select("doc_id").distinct(), "leaked")
-    return docs.join(_few(bad), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(few(bad), "doc_id", "left_anti").select(docs.columns)

@@ -19,8 +19,10 @@ No step gathers a group that grows with the number of copies: names, windows and
 representatives are merged before each shuffle.
 
 Defined results: null and empty texts have no words and lose none; rows that repeat a
-doc_id are one document for the order and are each reduced; a passage repeated within
-one document only stays; other columns are ignored.
+doc_id are one document for the order and are each reduced by what smaller ids hold; a
+passage repeated within one document only stays; rows with a null doc_id come before
+and after no other, so they lose nothing and cost no other row a word; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.tables import stored
-from tidemill.llm.textbatch import Words, mix, segment_hash, slices, utf8, words_of
+from tidemill.llm.tables import discard, few, first_of_copies, stored
+from tidemill.llm.textbatch import Words, mix, segment_hash, slices, texts_of, utf8, words_of
 
 SPAN, K = 50, 25
 SHARD_BYTES = 4 << 20
-MAX_BROADCAST_ROWS = 1_000_000
 _CODES = 1_100_000  # characters that stand for words; hits are verified, so words may share one
 
 
@@ -230,35 +231,42 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([x if x >= SPAN else 0 for x in n], pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that no order holds: all their words stay."""
+    for b in batches:
+        for part in slices(b):
+            words = [t.encode().split() for t in texts_of(part)]
+            n = pa.array([len(w) for w in words], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array([0] * len(words), pa.int64()), pa.array([b" ".join(w).decode() for w in words], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select("doc_id", text.alias("text"))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), F.octet_length("text").alias("size"))
-    firsts = keyed.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = stored(keyed.join(firsts, ["a", "b"]).where("doc_id > least").select("doc_id").distinct(), "copies")
+    key_type = docs.schema["doc_id"].dataType
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    schema = "doc_id long, n_words long, n_removed long, kept string"
+    nameless, docs = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
+    copies = stored(first_of_copies(docs.select("a", "b", "doc_id"), ["a", "b"], "doc_id").select("doc_id", "a", "b").distinct(), "copies")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_BYTES))
     shard = F.pmod(F.hash("doc_id"), F.lit(shards)).alias("s")
-    late = _few(copies)
-    fresh = docs.join(late, "doc_id", "left_anti").select("doc_id", shard, "text")
+    late, row = few(copies), ["doc_id", "a", "b"]  # rows may share a doc_id: a row is known by its id and text
+    fresh = docs.join(late, row, "left_anti").select("doc_id", shard, "text")
 
     named = stored(fresh.mapInArrow(_emit_names, "h long, doc_id long, s int").groupBy("h", "s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "names")
-    recurring = named.groupBy("h").agg(F.min("least").alias("x"), F.max("most").alias("y")).where("x < y").select("h")
+    recurring = stored(named.groupBy("h").agg(F.min("least").alias("x"), F.max("most").alias("y")).where("x < y").select("h"), "recurring")
     asked = named.select("h", "s").join(recurring, "h", "left_semi")
     to_shards = fresh.select("doc_id", "s", "text", F.lit(None).cast("long").alias("h")).unionByName(asked.select(F.lit(None).cast("long").alias("doc_id"), "s", F.lit(None).cast("string").alias("text"), "h"))
     windows = stored(to_shards.repartition(shards, "s").mapInArrow(_emit_windows, "w long, v int, s int, doc_id long, start int, last long"), "windows")
+    discard(named, recurring)
     owners = windows.groupBy("w", "v").agg(F.min("doc_id").alias("owner"), F.max("last").alias("most")).where("owner < most").select("w", "v", "owner")
     phrases = windows.join(owners, ["w", "v"]).where("last > owner").select("doc_id", "s", F.lit(None).cast("string").alias("text"), "start", "owner", "w")
     dealt = fresh.select("doc_id", "s", "text", F.lit(None).cast("int").alias("start"), F.lit(None).cast("long").alias("owner"), F.lit(None).cast("long").alias("w")).unionByName(phrases)
-    schema = "doc_id long, n_words long, n_removed long, kept string"
     first = dealt.repartition(shards, "s").mapInArrow(_reduce, schema)
-    rest = docs.join(late, "doc_id", "left_semi").mapInArrow(_copies, schema)
-    return first.unionByName(rest)
+    rest = docs.join(late, row, "left_semi").select("doc_id", "text").mapInArrow(_copies, schema)
+    out = first.unionByName(rest).unionByName(nameless.mapInArrow(_whole, schema))
+    return out.withColumn("doc_id", F.col("doc_id").cast(key_type))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 500_000  # of rows of a few numbers each: under 64 MB as a hash table
+MAX_BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +21,41 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder; executors of a cluster cannot read a local one")
         found = tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df of narrow rows, marked for broadcast if it is counted to be small enough."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+
+
+def light(df: DataFrame, *texts: str) -> DataFrame:
+    """df of rows with texts, marked for broadcast if rows and bytes of all texts are measured to be few."""
+    size = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(0))
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= MAX_BROADCAST_ROWS and total <= MAX_BROADCAST_BYTES else df
+
+
+def first_of_copies(rows: DataFrame, keys: list[str], node: str, hot: int = 10_000) -> DataFrame:
+    """rows whose keys stand in an earlier row too, with ``first``, the smallest node of the keys.
+
+    Classes of copies are counted with map-side sums.  Those of at least ``hot`` rows, of
+    which there is at most one in ``hot`` rows, are broadcast if counted to be few, so no
+    task has to take all the copies of one text.
+    """
+    firsts = stored(rows.groupBy(*keys).agg(F.min(node).alias("first"), F.max(node).alias("last"), F.count("*").alias("c")).where("first < last").drop("last"), "firsts")
+    late = F.col(node) > F.col("first")
+    if firsts.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        return rows.join(F.broadcast(firsts.drop("c")), keys).where(late)
+    many, rest = (firsts.where(x).drop("c") for x in (F.col("c") >= hot, F.col("c") < hot))
+    cold = rows.join(few(many), keys, "left_anti").join(rest, keys)
+    return rows.join(few(many), keys).unionByName(cold).where(late)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there and it survives lost executors."""
     spark = df.sparkSession
