@@ -198,3 +198,93 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     for df in (secret_scans.digests(docs), license_scans.scan(docs), quality_rules.digests(docs), decontamination.leaks(docs, items), substring_dedup.digests(docs), jaccard_join.join(docs), toxicity.digests(docs, labels)):
         assert df.collect() == []
+
+
+def test_token_counts_of_odd_texts(spark):
+    """Control characters, NUL, letters newer than Python's tables; together and alone."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    pool = ["\0", "#", "&", "'", " ", "a", "B", "́", "\t", "1", "Ɤ", "Ƛ", "\U00010d5c"] + [chr(c) for c in range(0x20, 0x30000, 137) if not 0xD800 <= c < 0xE000]
+    data = ["#' a", "#&\0 b"] + ["".join(rng.choice(pool) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    want = [len(e.ids) for e in lib.encode_batch(data, add_special_tokens=False)]
+    counter = token_counts.counter(path)
+    assert counter.counts(data).tolist() == want and [int(counter.counts([t])[0]) for t in data[:300]] == want[:300]
+
+
+def test_segments_that_share_a_hash_stay_apart(monkeypatch):
+    import numpy as np
+
+    from tidemill.llm import textbatch
+
+    monkeypatch.setattr(textbatch, "segment_hash", lambda v, a, b, **_: np.zeros(len(a), np.uint64))
+    points = np.frombuffer("abxyab".encode("utf-32-le"), np.uint32)
+    one, each = textbatch.distinct_segments(points, np.array([0, 2, 4, 1]), np.array([2, 4, 6, 2]))
+    found = ["abxyab"[[0, 2, 4, 1][i] : [2, 4, 6, 2][i]] for i in np.asarray(one)[each]]
+    assert found == ["ab", "xy", "ab", "b"]
+
+
+def test_sampling_does_not_depend_on_neighbours(spark):
+    import numpy as np
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lattice, library = sentencepiece_sampling.lattice_of(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(9)
+    pool = list("\0ab c\n▁") + [chr(c) for c in range(0x20, 0x30000, 997) if not 0xD800 <= c < 0xE000]
+    data = ["w\0 z", "x y", "漢" * 300, "a" * 2000] + ["".join(rng.choice(pool) for _ in range(rng.randrange(80))) for _ in range(400)]
+
+    def encode(at):
+        ids, ends = sentencepiece_sampling.encode(lattice, [data[i] for i in at], np.array(at, np.uint64), 1)
+        return {i: ids[a:b].tolist() for i, a, b in zip(at, ends, ends[1:], strict=False)}
+
+    whole = encode(list(range(len(data))))
+    parts = {}
+    for a in range(0, len(data), 7):
+        parts |= encode(list(range(len(data)))[::-1][a : a + 7])
+    assert whole == parts and all(sentencepiece_sampling.decode(path, whole[i]) == t for i, t in enumerate(data))
+    assert all(library.decode(whole[i]).lstrip() == t.lstrip() for i, t in enumerate(data) if "\0" not in t and "▁" not in t)
+
+
+def test_shared_and_null_ids(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(80)) for c in "xy")
+    docs = spark.createDataFrame([(1, one, 1), (5, one, 1), (5, two, 1), (7, two + " end", 1), (None, one, 1), (None, None, 1), (9, None, 1)], "doc_id long, text string, n_words int").repartition(3)
+    got = sorted(map(str, ((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.digests(docs).collect())))
+    assert got == sorted(map(str, [(1, 80, 0), (5, 80, 80), (5, 80, 0), (7, 81, 80), (None, 80, 0), (None, 0, 0), (9, 0, 0)]))
+    got = sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect())))
+    assert got == sorted(map(str, [(1, 77, 1), (5, 77, 1), (5, 77, 1), (7, 78, 1), (None, 77, None), (None, 0, None), (9, 0, 9)]))
+    assert sorted(r["doc_id"] or 0 for r in jaccard_join.keep_one(docs).collect()) == [0, 0, 1, 9]
+    clean = toxicity.train(["good day"] * 3 + ["idiot moron"] * 3, [0, 0, 0, 1, 1, 1])
+    assert sorted(r["doc_id"] or 0 for r in toxicity.keep_clean(docs, clean).collect())[:2] == [0, 0]
+
+
+def test_jaccard_join_splits_long_lists(spark, monkeypatch):
+    """One word in every document, many near copies of several texts, blocks of two sets."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    rng = random.Random(11)
+    data = []
+    for base in range(12):
+        words = [f"c{i}" for i in range(40)] + [f"b{base}_{i}" for i in range(rng.randrange(6, 14))]
+        for _ in range(8):
+            copy = list(words)
+            for _ in range(rng.randrange(3)):
+                copy[rng.randrange(len(copy))] = f"z{rng.randrange(4)}"
+            data.append(" ".join(copy))
+    data = list(enumerate(data))
+    for k, percent in ((4, 85), (5, 80), (1, 70)):
+        sets = {i: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for i, w in ((i, t.split()) for i, t in data)}
+        parent = {i: i for i in sets}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a in sets:
+            for b in range(a + 1, len(sets)):
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    x, y = sorted((root(a), root(b)))
+                    parent[y] = x
+        assert rows(jaccard_join.join(frame(spark, data), k, percent)) == sorted((i, len(sets[i]), root(i)) for i in sets)
