@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.textbatch import distinct_segments, mix, slices, texts_of, utf8
 
 SLICE = 2 << 20
+HELD = 1 << 17  # characters of segments whose lattices are held at one time
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 _SYMBOL = np.uint64(0x8CB92BA72F3D8DD7)
 _PREFIX_BITS = 20
@@ -193,26 +194,13 @@ def _segments(points: np.ndarray, row_start: np.ndarray) -> tuple[np.ndarray, np
     return at, np.append(at[1:], len(points)) if len(at) else at
 
 
-def encode(lattice: Lattice, texts: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled piece ids of all texts in a row, and the offsets of each text's ids."""
-    joined = "".join([" " + t if t else "" for t in texts])
-    row_start = np.concatenate(([0], np.cumsum([len(t) + 1 if t else 0 for t in texts]))).astype(np.int64)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    a, b = _segments(points, row_start[:-1][row_start[:-1] < len(points)])
-    if not len(a):
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    one, each = distinct_segments(points, a, b)
+def _drawn(lattice: Lattice, points: np.ndarray, a: np.ndarray, b: np.ndarray, one: np.ndarray, live: np.ndarray, each: np.ndarray, salt: np.ndarray, count: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray]]:
+    """Pieces of the segments ``live``, each of a kind in ``one``: (segments, step from the end, pieces)."""
     size = (b - a)[one]
     place = np.concatenate(([0], np.cumsum(size)))
     share, length, ident, lead = lattice.filtered(points[np.repeat(a[one] - place[:-1], size) + np.arange(place[-1])], size)
-    base = place[:-1][each]
-    row = np.searchsorted(row_start, a, "right") - 1
-    nth = np.arange(len(a)) - np.searchsorted(a, row_start)[row]
-    salt = mix(keys[row] * _G1 + np.uint64(seed)) + nth.astype(np.uint64) * _G2
-    live, k = np.argsort(each, kind="stable"), 0  # equal segments side by side
-    node = (base + (b - a))[live]
-    stop, count = base[live], np.zeros(len(a), np.int64)
-    drawn = []
+    stop = place[:-1][each[live]]
+    node, k, out = stop + (b - a)[live], 0, []
     while len(live):
         u = (mix((salt[live] ^ np.uint64(k >> 10)) + _step_salt[k & 1023]) >> np.uint64(11)).astype(np.float64) * 2.0**-53
         j = lead[node - 1]
@@ -220,15 +208,38 @@ def encode(lattice: Lattice, texts: list[str], keys: np.ndarray, seed: int) -> t
         while len(miss):
             j[miss] += 1
             miss = miss[share[j[miss]] <= u[miss]]
-        drawn.append((live, ident[j]))
+        out.append((live, k, ident[j]))
         count[live] += 1
         node = node - length[j]
         more = node > stop
         live, node, stop = live[more], node[more], stop[more]
         k += 1
+    return out
+
+
+def encode(lattice: Lattice, texts: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled piece ids of all texts in a row, and the offsets of each text's ids."""
+    joined = "".join([" " + t if t else "" for t in texts])
+    row_start = np.concatenate(([0], np.cumsum([len(t) + 1 if t else 0 for t in texts]))).astype(np.int64)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    a, b = _segments(points, row_start[:-1][row_start[:-1] < len(points)])
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    one, each = distinct_segments(points, a, b)
+    row = np.searchsorted(row_start, a, "right") - 1
+    nth = np.arange(len(a)) - np.searchsorted(a, row_start)[row]
+    salt = mix(keys[row] * _G1 + np.uint64(seed)) + nth.astype(np.uint64) * _G2
+    by_kind = np.argsort(each, kind="stable")  # equal segments side by side
+    first = np.searchsorted(each[by_kind], np.arange(len(one) + 1))
+    upto = np.cumsum((b - a)[one])
+    count, drawn, low = np.zeros(len(a), np.int64), [], 0
+    while low < len(one):  # some kinds of segments at a time, so that few lattices are held together
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + HELD, "right")))
+        drawn += _drawn(lattice, points, a, b, one[low:high], by_kind[first[low] : first[high]], each - low, salt, count)
+        low = high
     last = np.cumsum(count)
     ids = np.empty(last[-1], np.int64)
-    for step, (which, got) in enumerate(drawn):  # the first drawn stands last
+    for which, step, got in drawn:  # the first drawn stands last
         ids[last[which] - 1 - step] = got
     ends = np.concatenate(([0], last))[np.append(np.searchsorted(a, row_start[:-1]), len(a))]
     if (ids < 0).any():
