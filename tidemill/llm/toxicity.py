@@ -44,7 +44,7 @@ EPOCHS = 30
 RATE = 0.3
 DECAY = 0.99
 PIECE = 20_000
-MISSPELT = 1.0  # share of longer words misspelt in the second copy of a training passage
+MISSPELT = 0.5  # share of longer words misspelt in the second copy of a training passage
 FOLDS = 5
 
 _FOLD = np.zeros(256, np.uint64)
@@ -72,23 +72,27 @@ def _spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return s, np.flatnonzero(stop) + 1, np.searchsorted(s, off), inside
 
 
-def _bags(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram buckets of words that follow one another in data, and the word of each."""
-    place = np.concatenate(([0], np.cumsum(size + 2)))
-    flat = np.full(place[-1], ord("<"), np.uint64)
-    flat[np.arange(len(data)) + 2 * np.repeat(np.arange(len(size)), size) + 1] = _FOLD[data]
-    flat[place[1:] - 1] = ord(">")
-    left = np.repeat(place[1:], size + 2) - np.arange(len(flat))
-    found, word, code = [], [], flat
-    for n in range(2, max(NGRAMS) + 1):
-        code = code[:-1] * np.uint64(257) + flat[n - 1 :] if len(code) > 1 else code[:0]
-        if n in NGRAMS:
-            ok = np.flatnonzero(left[: len(code)] >= n)
-            found.append((mix(code[ok] + np.uint64(n << 56)) & np.uint64(BUCKETS - 1)).astype(np.int32))
-            word.append((np.searchsorted(place, ok, "right") - 1).astype(np.int32))
-    bucket, word = np.concatenate(found), np.concatenate(word)
-    order = np.argsort(word, kind="stable")
-    return bucket[order], word[order]
+def _bags(data: np.ndarray, size: np.ndarray) -> dict[int, np.ndarray]:
+    """For each n, the buckets of the n-grams of words that follow one another in data, word by word.
+
+    A word has max(0, size + 3 - n) of them: it stands between two marks.
+    """
+    found: dict[int, list[np.ndarray]] = {n: [] for n in NGRAMS}
+    upto = np.concatenate(([0], np.cumsum(size)))
+    for a in range(0, len(size), PIECE):  # words in pieces, so that their codes stay few
+        own = size[a : a + PIECE]
+        text = data[upto[a] : upto[a + len(own)]]
+        place = np.concatenate(([0], np.cumsum(own + 2)))
+        flat = np.full(place[-1], ord("<"), np.uint64)
+        flat[np.arange(len(text)) + 2 * np.repeat(np.arange(len(own)), own) + 1] = _FOLD[text]
+        flat[place[1:] - 1] = ord(">")
+        left, code = np.repeat(place[1:], own + 2) - np.arange(len(flat)), flat
+        for n in range(2, max(NGRAMS) + 1):
+            code = code[:-1] * np.uint64(257) + flat[n - 1 :] if len(code) > 1 else code[:0]
+            if n in found:
+                ok = left[: len(code)] >= n
+                found[n].append((mix(code[ok] + np.uint64(n << 56)) & np.uint64(BUCKETS - 1)).astype(np.int32))
+    return {n: np.concatenate(x) if x else np.zeros(0, np.int32) for n, x in found.items()}
 
 
 @dataclass
@@ -204,11 +208,17 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
     labels2 = np.concatenate([y, y])
     letters, size = vocabulary.bytes()
     m = len(size)
-    bucket, word = _bags(letters, size)
-    used, local = np.unique(bucket, return_inverse=True)
-    local = local.astype(np.int32)
-    many = np.bincount(word, minlength=m)
-    lead, size = np.concatenate(([0], np.cumsum(many)))[:-1], np.maximum(many, 1)[:, None].astype(np.float32)
+    bags = _bags(letters, size)
+    many = {k: np.maximum(size + 3 - k, 0) for k in NGRAMS}
+    seen = np.zeros(BUCKETS, bool)
+    for x in bags.values():
+        seen[x] = True
+    used = np.flatnonzero(seen)
+    local = np.zeros(BUCKETS, np.int32)
+    local[used] = np.arange(len(used), dtype=np.int32)
+    bags = {k: local[x] for k, x in bags.items()}
+    lead = {k: np.concatenate(([0], np.cumsum(x))) for k, x in many.items()}
+    size = np.maximum(sum(many.values()), 1)[:, None].astype(np.float32)
     n = np.fromiter(map(len, rows), np.int64, len(rows))
     first = np.concatenate(([0], np.cumsum(n)))
     each = np.fromiter((w for r in rows for w in r), np.int32, first[-1])
@@ -226,13 +236,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
     V = rng.normal(0, 1.0, DIM).astype(np.float32)
     c = np.float32(0)
     mE, vE, mV, vV, mc, vc = np.zeros_like(E), np.zeros_like(E), np.zeros_like(V), np.zeros_like(V), 0.0, 0.0
-    has = np.flatnonzero(many)
+    has = {k: np.flatnonzero(x) for k, x in many.items()}
     for step in range(1, epochs + 1):
         W = np.zeros((m + 1, DIM), np.float32)
-        for a in range(0, len(has), PIECE):  # words in pieces, so that gathered vectors stay few
-            own = has[a : a + PIECE]
-            low, high = lead[own[0]], lead[own[-1]] + many[own[-1]]
-            W[own] = np.add.reduceat(E[local[low:high]], lead[own] - low, axis=0)
+        for k in NGRAMS:
+            for a in range(0, len(has[k]), PIECE):  # words in pieces, so that gathered vectors stay few
+                own = has[k][a : a + PIECE]
+                low, high = lead[k][own[0]], lead[k][own[-1] + 1]
+                W[own] += np.add.reduceat(E[bags[k][low:high]], lead[k][own] - low, axis=0)
         W[:-1] /= size
         H = np.zeros((len(grid), DIM), np.float32)
         for k in range(SPAN):
@@ -243,7 +254,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
         gV, gc = H.T @ g, g.sum()
         # The gradient of a word's vector is a number times V, and so is that of a bucket's.
         gw = sum(np.bincount(grid[:, k], weights=g, minlength=m + 1) for k in range(SPAN))[:-1] / (SPAN * size[:, 0])
-        gE = (np.bincount(local, weights=gw[word], minlength=len(used))[:, None] * V).astype(np.float32)
+        gE = (sum(np.bincount(bags[k], weights=np.repeat(gw, many[k]), minlength=len(used)) for k in NGRAMS)[:, None] * V).astype(np.float32)
         for p, grad, mean, v in ((E, gE, mE, vE), (V, gV, mV, vV)):
             mean += 0.1 * (grad - mean)
             v += 0.01 * (grad * grad - v)
