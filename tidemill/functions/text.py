@@ -1,25 +1,149 @@
-"""Text, URL and geometry functions as Column -> Column expressions."""
+"""Text functions as Column -> Column expressions.  Null stays null unless stated."""
 
 from __future__ import annotations
 
+import re
+import sys
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EARTH_KM = 6371.0088
+MAX_INPUT = 10_000  # fixed value: characters of a value that transforms look at
+MAX_PATTERN = 200  # fixed value: characters of a configured pattern
+
+
+def trimmed(x: Column) -> Column:
+    """Without white space at both ends, tabs, line ends and no-break spaces included."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
+def collapsed(x: Column) -> Column:
+    """Runs of white space as one space, trimmed."""
+    return F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), "^ | $", "")
+
+
+def cleaned(x: Column) -> Column:
+    """collapsed, with the empty text as null."""
+    return F.nullif(collapsed(x.cast("string")), F.lit(""))
+
+
+@cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters whose full case folding is not their lower case: to one letter, and to several."""
+    one, many = {}, {}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        low, fold = c.lower(), c.casefold()
+        if low != fold and len(low) == 1 and low == c:
+            (one if len(fold) == 1 else many)[c] = fold
+    return one, many
+
+
+def casefold(x: Column) -> Column:
+    """Full case folding: the sharp s as ss, the final sigma as sigma."""
+    one, many = _folds()
+    low = F.translate(F.lower(x), "".join(one), "".join(one.values()))
+    whole = low
+    for letter, fold in many.items():
+        whole = F.replace(whole, F.lit(letter), F.lit(fold))
+    rare = "".join(c for c in many if c != "ß")
+    usual = F.replace(low, F.lit("ß"), F.lit("ss"))
+    return F.when(low.rlike(f"[{rare}]"), whole).otherwise(usual)
 
 
 def normalized_title(x: Column) -> Column:
-    """Case-folded text with runs of white space as one space, trimmed; null stays null."""
-    folded = F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
-    return F.regexp_replace(F.regexp_replace(folded, r"(?U)\s+", " "), "^ | $", "")
+    """The key form of a text: collapsed and case-folded; null is the empty text."""
+    return casefold(collapsed(F.coalesce(x, F.lit(""))))
+
+
+def lower_key(x: Column) -> Column:
+    """The looser key of comparisons: collapsed and lower-case, the empty text as null."""
+    return F.nullif(F.lower(collapsed(x)), F.lit(""))
+
+
+def strip_tags(x: Column, by: str = "") -> Column:
+    return F.regexp_replace(x, r"<[^>]+>", by)
+
+
+def html_text(x: Column) -> Column:
+    """Visible text of markup: scripts, styles, comments and tags out, common entities decoded, collapsed."""
+    bare = F.regexp_replace(x, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    out = F.regexp_replace(bare, r"<[^>]+>", " ")
+    # The common named entities; &amp; last, so nothing is decoded twice.
+    for name, sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
+    return F.nullif(collapsed(out), F.lit(""))
+
+
+def safe_markup(x: Column) -> Column:
+    """Markup without dangerous elements, event attributes and script URLs."""
+    out = F.regexp_replace(x, r"(?is)<(script|style|iframe|object|embed|form|input|button)\b[^>]*>.*?</\1\s*>|</?(?:script|style|iframe|object|embed|form|input|button)\b[^>]*>", "")
+    out = F.regexp_replace(out, r"""(?is)\s+on[a-z]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "")
+    return F.regexp_replace(out, r"""(?is)\s+(?:href|src)\s*=\s*(?:"\s*(?:javascript|data|vbscript|file|blob):[^"]*"|'\s*(?:javascript|data|vbscript|file|blob):[^']*'|(?:javascript|data|vbscript|file|blob):[^\s>]+)""", "")
+
+
+def slug(x: Column) -> Column:
+    """Lower-case letters and digits, other runs as one hyphen, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", "-"), "^-|-$", "")
+
 
+def without_formula(x: Column) -> Column:
+    """A spreadsheet cell without the signs that make it a formula."""
+    return F.regexp_replace(x, r"(?U)^[=+\-@\t\r\s]+", "")
 
-def canonical_url(x: Column) -> Column:
-    """Lower-case scheme and host without www., no fragment, query or final slash."""
-    bare = F.regexp_replace(x, r"[?#].*$", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[a-zA-Z]+://([^/]*)", 1)), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_extract(bare, r"^[a-zA-Z]+://[^/]*(/.*)?$", 1), r"/+$", "")
-    return F.concat(F.lower(F.regexp_extract(bare, r"^([a-zA-Z]+)://", 1)), F.lit("://"), host, path)
+
+def name_tokens(x: Column) -> Column:
+    """Lower-case parts of an identifier, cut at signs and humps, of two characters at least."""
+    humps = F.regexp_replace(x, r"([a-z0-9])([A-Z])", "$1 $2")
+    return F.filter(F.split(F.lower(humps), r"[^a-z0-9]+"), lambda t: F.length(t) >= 2)
+
+
+def stable_class(x: Column) -> Column:
+    """Whether a class name looks written by hand: no hash-like or numbered part."""
+    return x.rlike(r"^[A-Za-z][A-Za-z_-]{1,39}[0-9]?$") & ~x.rlike(r"(?i)^(css|sc|jsx|svelte|ng)-|__[a-z0-9]{5,}$")
+
+
+def json_key(x: Column) -> Column:
+    return F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
+
+
+def redacted(x: Column, shown: int = 4) -> Column:
+    """A token with its first signs only, or none of a short one."""
+    return F.when(F.length(x) > 2 * shown, F.concat(F.left(x, F.lit(shown)), F.lit("…"))).when(F.length(x) > 0, "…").otherwise("")
+
+
+def percent(x: Column) -> Column:
+    """A share as whole percent; a missing share as a dash, which is not 0."""
+    return F.when(x.isNull(), "—").otherwise(F.concat(F.bround(x * 100).cast("int").cast("string"), F.lit("%")))
+
+
+def keyword_category(x: Column, words: list[tuple[str, str]]) -> Column:
+    """The category of the first keyword, in the given order, that stands anywhere in the text."""
+    low, out = F.lower(x), F
+    for i, (word, category) in enumerate(words):
+        hit = F.contains(low, F.lit(word))
+        out = F.when(hit, category) if i == 0 else out.when(hit, category)
+    return out.otherwise(None) if words else F.lit(None).cast("string")
+
+
+def checked_pattern(pattern: str) -> str:
+    """The pattern, if it is short and can not run away; otherwise ValueError."""
+    if len(pattern) > MAX_PATTERN:
+        raise ValueError("pattern too long")
+    if "(?" in pattern:
+        raise ValueError("extension groups are not allowed")
+    if re.search(r"\\[1-9]", pattern):
+        raise ValueError("back-references are not allowed")
+    if re.search(r"\([^)]*[+*}][^)]*\)[+*{]", pattern):
+        raise ValueError("nested quantifiers are not allowed")
+    re.compile(pattern)
+    return pattern
+
+
+def extracted(x: Column, pattern: str, group: int = 1) -> Column:
+    """One group of the first match of a checked pattern; null without a match."""
+    pattern = checked_pattern(pattern)
+    return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, group))
 
 
 def fingerprint(*parts: Column) -> Column:
@@ -27,6 +151,27 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
 
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+def _given(x: Column) -> Column:
+    return x.isNotNull() & (x != "")
+
+
+def event_fingerprint(website: Column, external_id: Column, url: Column, title: Column, day: Column, time: Column, venue: Column, city: Column, scoped: bool = True) -> Column:
+    """Identity of an event: source id within a website, else normalised URL, else title, date, time, venue and city."""
+    from tidemill.functions.urls import normalize_url
+
+    own = F.coalesce(normalize_url(url), F.lit(""))
+    external = _given(external_id) & (website.isNotNull() if scoped else F.lit(True))
+    return F.when(external, fingerprint(F.lit("external"), website, trimmed(external_id))).when(own != "", fingerprint(F.lit("url"), own)).otherwise(
+        fingerprint(F.lit("composite"), normalized_title(title), day, time, normalized_title(venue), F.nullif(city.cast("string"), F.lit("0")))
+    )
+
+
+def occurrence_identity(parent: Column, source_parent: Column, source_occurrence: Column, recurrence_id: Column, start: Column, most: int = 200) -> Column:
+    """Identity of one occurrence: its own id, else parent and recurrence id, else parent and start; long ones hashed."""
+    key = F.when(_given(source_occurrence), F.concat_ws("|", F.lit("srcocc"), source_occurrence)).when(_given(source_parent) & _given(recurrence_id), F.concat_ws("|", F.lit("parentrec"), source_parent, recurrence_id)).otherwise(F.concat_ws("|", F.lit("fp"), parent, start.cast("string")))
+    return F.when(F.length(key) > most, F.concat(F.lit("h|"), F.sha2(key, 256))).otherwise(key)
+
+
+def address_key(address: Column, venue: Column) -> Column:
+    """The lookup form of a place: address, or venue, lower-case and collapsed; null without either."""
+    return F.coalesce(lower_key(address), lower_key(venue))
