@@ -9,6 +9,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.llm import decontamination, html_extraction, jaccard_join, license_scans, quality_rules, secret_scans, sentencepiece_sampling, substring_dedup, token_counts, toxicity
 
@@ -105,6 +106,35 @@ def test_quality(spark, texts):
 def test_html():
     page = "<nav><a href=x>Menu</a></nav><article><h1>T&amp;t</h1><p>one  <b>t</b>wo<p>three</article><div class='ad'>buy now</div><footer>f</footer>"
     assert html_extraction.main_text(page) == "T&t one two three" and html_extraction.main_text("") == "" and html_extraction.main_text("<p") == ""
+    cases = {
+        '<div class="article-header"><h1>The title</h1></div><div class="article-body"><p>Some text of it.</p></div>': "The title Some text of it.", '<div class="side-effects"><p>real content of it</p></div>': "real content of it",
+        "<p>First sentence of a page without any article.</p><p>By A. Author</p><p>Second sentence of the page as well.</p>": "First sentence of a page without any article. By A. Author Second sentence of the page as well.", "<body><h1>Head</h1><p>short para.</p></body>": "Head short para.",
+        "<div class='page has-sidebar'><article><p>x y</p></article></div>": "x y", "<article>a < b &amp;lt; c <math><mi>x</mi></math></article>": "a < b &lt; c x", "<article><p>a<script>'</p>'</script> b</p><section class=comments><p>no</p></section></article><form><p>no</p></form><aside>no</aside>": "a b",
+    }
+    assert {p: html_extraction.main_text(p) for p in cases} == cases
+
+
+def test_html_as_written(spark):
+    """Pages of the tables: exactly the text between the tags of their article."""
+    import html as h
+
+    def brute(page):
+        inner = re.sub(r"</?b>", "", re.search(r"(?s)<article>(.*?)</article>", page)[1])
+        return " ".join(x for x in (" ".join(h.unescape(x).split()) for x in re.split(r"<[^>]*>", inner)) if x)
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    more = spark.createDataFrame([(900, None, None, "x"), (900, "u", "", "x"), (901, "u", "<a " * 300_000, "x")], "page_id long, url string, html string, text string")
+    got = [tuple(r) for r in html_extraction.extract(pages.withColumn("text", F.lit("clash")).unionByName(more)).collect()]
+    want = [(r["page_id"], r["url"], brute(r["html"]), len(brute(r["html"]))) for r in pages.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want + [(900, None, "", 0), (900, "u", "", 0), (901, "u", "", 0)]))
+    assert html_extraction.extract(pages.limit(0)).collect() == []
+
+
+def test_html_tree_uses_its_neighbours():
+    x, y = html_extraction.labelled()
+    assert ((html_extraction.tree().predict(x) >= 0.5) == y).all()
+    plain = "<div><a>one two</a></div><div>" + "word " * 60 + "</div><div>" + "text " * 50 + "</div><div><a>four</a> <a>five</a></div>"
+    assert html_extraction.main_text(plain) == ("word " * 60 + "text " * 50).strip()
 
 
 def test_leaks(spark):
