@@ -83,6 +83,7 @@ LABELLED = """
 <article><h1>+3</h1><ul><li><a>+3</a><li><a>+2</a></ul><p>+2</p><p><a>+4</a></p></article>
 <p>+40</p><p>+5</p><div><a>-1</a> <a>-1</a></div>
 <article><p>+30<p>+1</article><nav><a>-1</a></nav>
+<article><p>+25 <a>+5</a><p>+18</article><nav><a>-1</a></nav>
 <article><h1>+5<p>+60<p>+2</article><ul><li><a>-1</a><li><a>-1</a></ul>
 <main><p>+12<p>+2<p>+1</main><nav><a>-4</a></nav>
 <article><h1>+10<p>+80<p>+2<p>+120<p>+1<p>+90<p>+4<p>+200<p>+3<p>+60<p>+1<p>+5<p>+2</article><footer>-9</footer>
