@@ -1,33 +1,35 @@
 """Secret scans over an incremental blob ledger.
 
-Every text is a blob, named by the SHA-256 of its bytes.  The ledger holds one row
-for each (blob, rule version) that was scanned, with its findings; a run scans only
-pairs that the ledger lacks, and joins findings back to every path (row) that holds
-the blob.  Copies of a blob are merged before the shuffle, so a text that fills a
-third of the table is moved and scanned once.
+Every text is a blob, named by the SHA-256 of its bytes; a document's historical
+versions are so many blobs.  The ledger is a Parquet table with one row for each (blob,
+rule version) that was scanned, with its findings, also if there are none.  ``update``
+scans only the pairs that the ledger lacks and appends them; ``scan`` joins findings back
+to every path (row) that holds the blob.
 
-Rules: the three base kinds of ``BASE`` are always kept as they are; ``EXTRA`` kinds
-add spans of formats with a fixed prefix.
+Texts never move: blobs are named and scanned where they lie, copies in one Arrow batch
+once, and only names and findings are merged by blob.  What an update has to scan is found
+by joining names.
+
+Rules: the three base kinds are always kept as they are; ``EXTRA`` kinds add spans of
+formats with a fixed prefix.  ``VERSIONS`` says which kinds a rule version looks for.
 
 Defined results: null and empty texts are the empty blob without findings; repeated
-rows each get their blob's findings; other columns are ignored by the scan and, in
-``redact``, returned unchanged.
+rows and null keys each get their blob's findings; other columns are ignored by the scan
+and, in ``redact``, returned unchanged.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.tables import few, scratch, stored
 from tidemill.llm.textbatch import slices, texts_of
 
-RULE_VERSION = "base-3+extra-5"
-
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
@@ -44,12 +46,18 @@ KINDS = ("assign", "access", "hex", "pem", "forge", "jwt", "hook")
 EXTRA = (
     ("pem", "-----BEGIN", _PEM),
     ("forge", "gh", re.compile(r"gh[oprsu]_[A-Za-z0-9]{36,}")),
-    ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")),
+    # Possessive, and only where a token begins: one look at each character.
+    ("jwt", "eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++")),
     ("hook", "https://hooks.", re.compile(r"https://hooks\.[a-z.]+/[A-Za-z0-9/_-]{20,}")),
 )
 
 
-def scan_text(text: str) -> list[tuple[str, int, int]]:
+#: Kinds that each rule version looks for.
+VERSIONS = {"base-3": KINDS[:3], "base-3+extra-6": KINDS}
+RULE_VERSION = "base-3+extra-6"
+
+
+def scan_text(text: str, version: str = RULE_VERSION) -> list[tuple[str, int, int]]:
     """All findings of one text as (kind, start, end), base kinds first."""
     found = []
     if _KEYWORD.search(text):
@@ -58,7 +66,7 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     for kind, hint, rule in EXTRA:
-        if hint in text:
+        if kind in VERSIONS[version] and hint in text:
             found += [(kind, *m.span()) for m in rule.finditer(text)]
     return found
 
@@ -67,42 +75,63 @@ FINDINGS = "array<struct<kind:string,start:int,end:int>>"
 _STRUCT = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            found = [[{"kind": k, "start": a, "end": b} for k, a, b in scan_text(t)] for t in texts_of(part)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, _STRUCT)], ["blob", "findings"])
+def _scan(version: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[str] = set()  # blobs of this batch
+            for part in slices(batch):
+                blobs, found = [], []
+                for blob, text in zip(part.column(0).to_pylist(), texts_of(part), strict=True):
+                    if blob not in seen:
+                        seen.add(blob)
+                        blobs.append(blob)
+                        found.append([{"kind": k, "start": a, "end": b} for k, a, b in scan_text(text, version)])
+                yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.string()), pa.array(found, _STRUCT)], ["blob", "findings"])
 
+    return run
 
-def blobs_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column blob: the address of each row's text."""
-    return docs.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+def blob_of(text: str = "text") -> F.Column:
+    """The address of a text."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
 def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, text: str = "text") -> DataFrame:
     """New ledger rows (blob, version, findings): those that ``ledger`` does not hold yet."""
-    named = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.sha2("text", 256).alias("blob"), "text")
+    named = docs.select(blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if ledger is not None:
-        seen = ledger.where(F.col("version") == version).select("blob")
-        named = named.join(seen, "blob", "left_anti")
-    once = named.groupBy("blob").agg(F.first("text").alias("text"))
-    return once.mapInArrow(_scan, f"blob string, findings {FINDINGS}").select("blob", F.lit(version).alias("version"), "findings")
+        unseen = stored(named.select("blob").distinct().join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti"), "unseen")
+        named = named.join(few(unseen), "blob", "left_semi").select("blob", "text")
+    each = named.mapInArrow(_scan(version), f"blob string, findings {FINDINGS}")
+    return each.groupBy("blob").agg(F.first("findings").alias("findings")).select("blob", F.lit(version).alias("version"), "findings")
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, blob and findings of every row, from the ledger and from a scan of what it lacks."""
-    fresh = scan_blobs(docs, ledger, version, text)
-    if ledger is not None:
-        fresh = fresh.unionByName(ledger.where(F.col("version") == version).select("blob", "version", "findings"))
-    paths = docs.select(F.col(key).alias("key"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
-    hits = fresh.where(F.size("findings") > 0).select("blob", "findings")
-    return paths.join(hits, "blob", "left").select(F.col("key").alias(key), "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at a path, or None before its first update."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    return spark.read.schema(f"blob string, version string, findings {FINDINGS}").parquet(path)
+
+
+def update(docs: DataFrame, path: str, version: str = RULE_VERSION, text: str = "text") -> int:
+    """Scans what the ledger at ``path`` lacks of docs under a rule version, appends it, and returns the number of blobs scanned."""
+    fresh = stored(scan_blobs(docs, read_ledger(docs.sparkSession, path), version, text), "ledger-rows")
+    fresh.write.mode("append").parquet(path)
+    return fresh.count()
 
 
-def listed(findings: list[tuple[str, int, int]], base: bool) -> str:
-    """kind:start:end by start, then kind in the order of KINDS, comma-joined."""
-    order = sorted((a, KINDS.index(k), b, k) for k, a, b in findings if not base or k in KINDS[:3])
-    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in order)
+def _hits(ledger: DataFrame, version: str) -> DataFrame:
+    """Blobs with findings, marked for broadcast if both are counted to be few."""
+    hits = ledger.where((F.col("version") == version) & (F.size("findings") > 0)).select("blob", "findings")
+    n, spans = hits.agg(F.count("*"), F.coalesce(F.sum(F.size("findings")), F.lit(0))).first()
+    return F.broadcast(hits) if n + spans <= 200_000 else hits
+
+
+def scan(docs: DataFrame, ledger: DataFrame, version: str = RULE_VERSION, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, blob and findings of every row, from a ledger that holds its blobs."""
+    paths = docs.select(F.col(key).alias("key"), blob_of(text).alias("blob"))
+    return paths.join(_hits(ledger, version), "blob", "left").select(F.col("key").alias(key), "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
 def digest(findings: F.Column) -> dict[str, F.Column]:
@@ -117,20 +146,24 @@ def digest(findings: F.Column) -> dict[str, F.Column]:
     }
 
 
-def digests(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """One row of counts and spans for each document."""
-    return scan(docs, ledger).select("doc_id", "blob", *(c.alias(n) for n, c in digest(F.col("findings")).items()))
+def _updated(docs: DataFrame, ledger: str | None, text: str = "text") -> DataFrame:
+    """The ledger after an update with docs: at a path, or a new one of this run."""
+    path = ledger or scratch(docs.sparkSession, "ledger")
+    update(docs, path, text=text)
+    return read_ledger(docs.sparkSession, path)
+
+
+def digests(docs: DataFrame, ledger: str | None = None) -> DataFrame:
+    """One row of counts and spans for each document, from the ledger at a path after an update with docs."""
+    return scan(docs, _updated(docs, ledger)).select("doc_id", "blob", *(c.alias(n) for n, c in digest(F.col("findings")).items()))
 
 
-def redact(docs: DataFrame, ledger: DataFrame | None = None, mark: str = "[secret]", text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[secret]", text: str = "text") -> DataFrame:
     """docs with every finding replaced by ``mark``; overlapping findings become one mark.
 
     Rows, columns and their order stay; texts without findings stay as they are.
     """
-    fresh = scan_blobs(docs, ledger, text=text)
-    if ledger is not None:
-        fresh = fresh.unionByName(ledger.where(F.col("version") == RULE_VERSION).select("blob", "version", "findings"))
-    hits = fresh.where(F.size("findings") > 0).select(F.col("blob").alias("__blob"), F.col("findings").alias("__found"))
+    hits = _hits(_updated(docs, ledger, text), RULE_VERSION).select(F.col("blob").alias("__blob"), F.col("findings").alias("__found"))
     merged = F.aggregate(
         F.array_sort(F.transform("__found", lambda x: F.struct(x["start"].alias("a"), x["end"].alias("b")))),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
@@ -140,10 +173,6 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, mark: str = "[secre
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))),
     )
-    out = docs.withColumn("__blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(hits, "__blob", "left")
+    out = docs.withColumn("__blob", blob_of(text)).join(hits, "__blob", "left")
     changed = F.when(F.col("__found").isNotNull(), merged).otherwise(F.col(text))
     return out.select(*(changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

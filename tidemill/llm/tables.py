@@ -56,10 +56,15 @@ def first_of_copies(rows: DataFrame, keys: list[str], node: str, hot: int = 10_0
     return rows.join(few(many), keys).unionByName(cold).where(late)
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there and it survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
