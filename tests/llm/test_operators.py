@@ -124,6 +124,46 @@ def test_licenses_whatever_words_surround_them(spark):
     assert found == set(range(len(texts)))
 
 
+def test_licenses_against_full_alignment(spark):
+    """Whole texts, edited texts and versions, against an alignment of each template with each text without index or band."""
+    rng = random.Random(6)
+
+    def words(t):
+        return re.findall(r"[a-z0-9]+", t.lower())
+
+    def common(x, y):  # longest common subsequence
+        row = [0] * (len(y) + 1)
+        for a in x:
+            above, row = row, [0] * (len(y) + 1)
+            for j, b in enumerate(y):
+                row[j + 1] = above[j] + 1 if a == b else max(above[j + 1], row[j])
+        return row[-1]
+
+    names = list(license_scans.TEMPLATES)
+    texts = []
+    for name in names:
+        w = words(license_scans.TEMPLATES[name])
+        noise = [f"n{rng.randrange(99)}x" for _ in range(12)]
+        if len(w) >= 30:
+            for _ in range(3):
+                w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(noise[:6] + w + noise[6:]))
+    texts += ["licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU General Public License, version 3.", "// SPDX-License-Identifier: MIT", "version 2.0 of nothing at all is licensed"]
+    got = {}
+    for r in license_scans.scan(frame(spark, list(enumerate(texts)))).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    for i, t in enumerate(texts):
+        want = set()
+        for name in names:
+            w, own = words(license_scans.TEMPLATES[name]), words(t)
+            rest = iter(own)
+            if common(w, own) >= 0.8 * len(w) and all(x in rest for x in w if x.isdigit() or x.encode() in license_scans.TELLING):
+                want.add(name)
+        assert got.get(i, set()) <= want and (names[i] in got[i] if i < len(names) else True), (i, got.get(i), want)
+    n = len(names)
+    assert got[n] == {"gpl-2.0"} and got[n + 1] == {"gpl-3.0"} and got[n + 2] == {"spdx-mit"} and n + 3 not in got
+
+
 def test_quality(spark, texts):
     def brute(t):
         w, lines = WORD.findall(t or ""), Counter()
