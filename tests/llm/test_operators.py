@@ -243,6 +243,58 @@ def test_leaks_of_sentences_that_begin_with_names(spark):
     assert [r["doc_id"] for r in decontamination.keep_clean(docs, items).collect()] == [9]
 
 
+def test_leaks_with_other_names_and_number_words(spark):
+    items = spark.createDataFrame([(1, "Anna bought 5 red apples and 12 green pears for 30 cents each at the market near the old town hall. How many did Anna buy?"), (2, "What is seven plus Two?")], "item_id long, text string")
+    texts = [
+        "Mary Ann bought five red apples and twenty-one green pears for 40 cents each at the market near the old town hall. How many did Mary Ann buy?",
+        "Bo bought 7 red apples and one hundred green pears for 9 cents each at the market near the old town hall. How many did Bo buy?",
+        "so: what is seven plus two? yes", "what is seven plus three?",
+    ]
+    got = decontamination.leaks(frame(spark, list(enumerate(texts))), items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got) == [(0, 1, "reparameterised"), (1, 1, "reparameterised"), (2, 2, "exact")]
+
+
+def test_windows_as_brute_force(spark):
+    """Equal windows and only these have equal hashes, for every length."""
+    rng = random.Random(13)
+    words = [[rng.choice("ab") for _ in range(n)] for n in (0, 1, 2, 5, 9, 17, 30)]
+    df = spark.createDataFrame([(w,) for w in words], "w array<string>")
+    for k in range(1, 12):
+        of: dict = {}
+        for r in df.select("w", decontamination.windows(decontamination._hashed(F.col("w")), k).alias("h")).collect():
+            assert len(r["h"]) == max(0, len(r["w"]) - k + 1)
+            for i, h in enumerate(r["h"]):
+                of.setdefault(h, set()).add(tuple(r["w"][i : i + k]))
+        assert all(len(x) == 1 for x in of.values()) and len(of) == len({t for x in of.values() for t in x})
+
+
+def test_leaks_as_brute_force(spark, texts):
+    """n_windows, n_matched and coverage of all pairs, by windows of Python words."""
+    rng = random.Random(14)
+    vocabulary = ["red", "blue", "tree", "house", "Anna", "Bob", "5", "17", "kg", "walks", "to", "The", "seven"]
+    items = {i: " ".join(rng.choice(vocabulary) for _ in range(n)) for i, n in enumerate((3, 7, 8, 12, 20, 30, 30))}
+    data = [(i, t) for i, t in enumerate(items.values())] + [(50 + i, " ".join([rng.choice(vocabulary) for _ in range(20)] + items[rng.randrange(7)].split()[rng.randrange(4) :] + ["end"])) for i in range(60)] + [(500, None), (501, "")]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    shown = lambda df, key: {r[0]: [[w for w in x or [] if w] for x in r[1:4]] for r in df.select(key, decontamination.template(F.col("text")).alias("t"), decontamination.exact_words(F.col("text")).alias("r"), decontamination.single_words(F.col("text")).alias("s")).collect()}
+    docs = frame(spark, data)
+    mine, theirs = shown(docs, "doc_id"), shown(bench, "item_id")
+    cut = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    want = {}
+    for d, (t, r, s) in mine.items():
+        for i, (bt, br, bs) in theirs.items():
+            if len(bt) < 8:
+                if bs and tuple(bs) in cut(s, len(bs)):
+                    want[d, i] = (1, 1)
+                continue
+            rich = [sum(w not in ("_", "0", "§") for w in x) >= 4 for x in cut(bt, 8)]
+            hit = [x in cut(r, 8) or ok and y in cut(t, 8) for x, y, ok in zip(cut(br, 8), cut(bt, 8), rich, strict=True)]
+            both = sum(h and ok for h, ok in zip(hit, rich, strict=True))
+            if any(hit):
+                want[d, i] = (sum(rich), both) if both * len(rich) > sum(hit) * sum(rich) else (len(rich), sum(hit))
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_matched"]) for r in decontamination.matches(docs, bench).collect()}
+    assert got == want and len(want) > 30
+
+
 def test_substring_dedup(spark, texts, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 60_000)
     rng = random.Random(2)

@@ -6,9 +6,9 @@ benchmark; the windows of a pair give its coverage, and its slots (the values be
 placeholders) are compared: a re-parameterised question replaces each value of the
 item by the same value wherever it stands.
 
-* numbers: digits, with inner points and commas taken out
+* numbers: digits, with inner points and commas taken out, and runs of number words
 * names: words of a capital followed by lower case, wherever they stand, but for the fixed
-  words of ``OPENERS``, which often begin sentences
+  words of ``OPENERS``, which often begin sentences; neighbours are one name
 * units: the fixed words of ``UNITS`` after a number
 
 Benchmark windows with ``MIN_WORDS`` words that are no placeholders match by template,
@@ -53,18 +53,33 @@ OPENERS = (
     "Find Compute Calculate Solve Determine Show Prove Choose Select Write Explain Describe Name List Complete Answer Question Next Now First Second Finally Also Only Between Among Over Under Per"
 ).split()
 
+# Number words.
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
+
+_JOIN = "ˠ"  # a letter that joins the words of one name or number; taken out of texts first
 _CUT = r"[^\p{L}\p{N}_§]+"
-_NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?!(?:{'|'.join(OPENERS)})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}\p{{L}}*"
+_NUMBER = "|".join(sorted(NUMBERS, key=len, reverse=True))
+_NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?!(?:{'|'.join([*OPENERS, *(n.capitalize() for n in NUMBERS)])})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}\p{{L}}*"
+_COUNT = rf"(?<![\p{{L}}\p{{N}}])(?i:{_NUMBER})(?![\p{{L}}\p{{N}}])"
+_COUNTS = rf"\d+|(?<![\p{{L}}\p{{N}}])(?i:{_NUMBER})(?:{_JOIN}\p{{L}}+)?(?![\p{{L}}\p{{N}}])"
 _UNIT = rf"(?i)(?<=0)([ -]?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 
 
 def _plain(text: Column) -> Column:
-    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "_§", "  "), r"(?<=\d)[.,](?=\d)", "")
+    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), f"_§{_JOIN}", "   "), r"(?<=\d)[.,](?=\d)", "")
+
+
+def _grouped(text: Column) -> Column:
+    """_plain with neighbouring names, and neighbouring number words, joined to one word."""
+    return F.regexp_replace(_plain(text), rf"({_NAME}) (?={_NAME})|({_COUNT})[ -](?={_COUNT})", f"$1$2{_JOIN}")
 
 
 def raw_words(text: Column) -> Column:
     """Words in lower case, one for each word of the template."""
-    return F.split(F.lower(_plain(text)), _CUT)
+    return F.split(F.lower(_grouped(text)), _CUT)
 
 
 def template(text: Column) -> Column:
@@ -72,19 +87,48 @@ def template(text: Column) -> Column:
 
     Whole-text patterns instead of a function of each word: they cost one pass each.
     """
-    named = F.regexp_replace(_plain(text), _NAME, "_")
-    return F.split(F.lower(F.regexp_replace(F.regexp_replace(named, r"\d+", "0"), _UNIT, "$1§")), _CUT)
+    named = F.regexp_replace(_grouped(text), _NAME, "_")
+    return F.split(F.lower(F.regexp_replace(F.regexp_replace(named, _COUNTS, "0"), _UNIT, "$1§")), _CUT)
+
+
+def _marked(words: Column) -> Column:
+    return F.split(F.lower(F.translate(words, "0", "ꙮ")), _CUT)
 
 
 def exact_words(text: Column) -> Column:
     """raw_words with the digit 0 as a letter of its own: no number looks like the placeholder 0."""
-    return F.split(F.lower(F.translate(_plain(text), "0", "\ua66e")), _CUT)
+    return _marked(_grouped(text))
+
+
+def single_words(text: Column) -> Column:
+    """exact_words without joining any."""
+    return _marked(_plain(text))
 
 
-def windows(words: Column, k: int = K) -> Column:
-    """Hashes of all k-word windows, in order; empty for shorter ones."""
-    n = F.size(words)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(F.array().cast("array<bigint>"))
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def windows(hashes: Column, k: int = K) -> Column:
+    """Hashes of all k-word windows of word hashes, in order; empty for fewer words.
+
+    Windows of 1, 2, 4 and so on are put together, so each takes a few steps for each word
+    and no array is made for a window.
+    """
+    n = F.size(hashes)
+    have, at, width, rest = hashes, None, 1, k
+    done = 0
+    while rest:
+        if rest & 1:
+            part = have if done == 0 else F.slice(have, done + 1, F.greatest(n - done - width + 1, F.lit(0)))
+            at = part if at is None else F.zip_with(F.slice(at, F.lit(1), F.greatest(n - done - width + 1, F.lit(0))), part, lambda a, b: F.xxhash64(a, b))
+            done += width
+        rest >>= 1
+        if rest:
+            left = F.greatest(n - 2 * width + 1, F.lit(0))
+            have = F.zip_with(F.slice(have, F.lit(1), left), F.slice(have, F.lit(width + 1), left), lambda a, b: F.xxhash64(a, b))
+            width *= 2
+    return F.when(n >= k, at).otherwise(F.array().cast("array<bigint>"))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -92,30 +136,45 @@ def _items(benchmark: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     inner = lambda words: F.filter(words, lambda w: w != "")
     lead = (F.element_at(template(text), 1) == "").cast("int")  # positions count an empty word before a leading mark
-    return benchmark.where(F.col("item_id").isNotNull()).select("item_id", inner(template(text)).alias("t"), inner(exact_words(text)).alias("r"), lead.alias("lead"))
+    words = benchmark.where(F.col("item_id").isNotNull()).select("item_id", inner(template(text)).alias("t"), inner(exact_words(text)).alias("r"), inner(single_words(text)).alias("s"), lead.alias("lead"))
+    return words.select("*", windows(_hashed(F.col("t"))).alias("tw"), windows(_hashed(F.col("r"))).alias("rw"))
+
+
+def _short() -> Column:
+    return (F.size("t") < K) & (F.size("s") >= 1)
+
+
+def lengths(items: DataFrame) -> list[int]:
+    """Numbers of words of the short items: a few small numbers."""
+    return sorted(r[0] for r in items.where(_short()).select(F.size("s")).distinct().collect())
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, ipos, n_windows, n_rich, rich, raw, h): windows as they are (raw), and as templates where these are rich in plain words."""
     items = _items(benchmark)
     rich = lambda i: F.size(F.filter(F.slice("t", i, K), lambda w: ~w.isin("_", "0", "§"))) >= MIN_WORDS
-    places = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - K + 1, F.lit(1))), lambda i: F.struct(rich(i).alias("rich"), F.xxhash64(F.slice("t", i, K)).alias("th"), F.xxhash64(F.slice("r", i, K)).alias("rh")))
+    places = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - K + 1, F.lit(1))), lambda i: F.struct(rich(i).alias("rich"), F.get("tw", i - 1).alias("th"), F.get("rw", i - 1).alias("rh")))
     long = items.where(F.size("t") >= K).withColumn("places", places)
     each = long.select("item_id", "lead", F.size("places").alias("n_windows"), F.size(F.filter("places", lambda p: p["rich"])).alias("n_rich"), F.posexplode("places").alias("ipos", "p"))
     keys = F.array(F.struct(F.lit(True).alias("raw"), F.col("p.rh").alias("h")), F.when(F.col("p.rich") & (F.col("p.th") != F.col("p.rh")), F.struct(F.lit(False).alias("raw"), F.col("p.th").alias("h"))))
     rows = each.select("item_id", (F.col("ipos") + F.col("lead")).alias("ipos"), "n_windows", "n_rich", F.col("p.rich").alias("rich"), F.explode(keys).alias("k")).where(F.col("k").isNotNull())
-    short = items.where(F.size("t").between(1, K - 1)).select("item_id", F.col("lead").alias("ipos"), F.lit(1).alias("n_windows"), F.lit(0).alias("n_rich"), F.lit(False).alias("rich"), F.lit(True).alias("raw"), F.xxhash64("r").alias("h"))
+    # An item of few words matches as a whole; its single words are counted, whatever is joined.
+    whole = F.lit(None).cast("bigint")
+    for k in lengths(items):
+        whole = F.when(F.size("s") == k, F.get(windows(_hashed(F.col("s")), k), 0)).otherwise(whole)
+    short = items.where(_short()).select("item_id", F.col("lead").alias("ipos"), F.lit(1).alias("n_windows"), F.lit(0).alias("n_rich"), F.lit(False).alias("rich"), F.lit(True).alias("raw"), whole.alias("h"))
     return rows.select("item_id", "ipos", "n_windows", "n_rich", "rich", "k.raw", "k.h").unionByName(short)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, n_run (consecutive windows found word for word) and at of every pair with a common window."""
     known = few(benchmark_windows(benchmark))
-    lengths = sorted(r[0] for r in _items(benchmark).select(F.size("r").alias("n")).where(F.col("n").between(1, K - 1)).distinct().collect())
-    sets = docs.select("doc_id", template(F.col("text")).alias("t"), exact_words(F.col("text")).alias("r"))
-    sets = sets.select("doc_id", windows(F.col("t")).alias("w"), windows(F.col("r")).alias("e"), *(windows(F.col("r"), k).alias(f"e{k}") for k in lengths))
+    sizes = lengths(_items(benchmark))
+    words = docs.select("doc_id", template(F.col("text")).alias("t"), exact_words(F.col("text")).alias("r"), *([single_words(F.col("text")).alias("s")] if sizes else []))
+    hashed = words.select("doc_id", *(_hashed(F.col(c)).alias(c) for c in words.columns[1:]))
+    sets = hashed.select("doc_id", windows(F.col("t")).alias("w"), windows(F.col("r")).alias("e"), *(windows(F.col("s"), k).alias(f"e{k}") for k in sizes))
     exact = F.zip_with("w", "e", lambda a, b: F.when(a.isNull() | (a != b), b))  # windows without placeholders are the same
-    sets = sets.select("doc_id", F.concat("w", exact, *(f"e{k}" for k in lengths)).alias("w"))
+    sets = sets.select("doc_id", F.concat("w", exact, *(f"e{k}" for k in sizes)).alias("w"))
     # The outer form: of a plain explode the optimizer would infer a filter that evaluates the windows anew.
     each = sets.select("doc_id", F.posexplode_outer("w").alias("dpos", "h"))
     hits = each.join(known, "h").withColumn("support", F.count("*").over(Window.partitionBy("doc_id", "item_id", F.col("dpos") - F.col("ipos"))))
