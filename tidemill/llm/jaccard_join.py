@@ -58,6 +58,7 @@ K = 4
 PERCENT = 85
 SKETCH = ["s0", "s1", "s2", "s3"]  # columns of 64 bits
 BLOCK = 128
+MAX_BROADCAST_TOKENS = 2_000_000  # of 8 bytes
 FOLD_BITS = 2  # bits of the long sketch for each shingle, at least
 HOT_FROM = 32
 HOT_MOST = 200_000
@@ -183,7 +184,10 @@ def _compared(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     hubs = pairs.select(F.col("a").alias("doc_id")).distinct()
     ids = stored(hubs.union(pairs.select("b")).distinct(), "involved")
     sets = stored(docs.join(few(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_contents(rule.k), "doc_id long, tokens array<long>"), "sets")
-    left = sets.join(few(hubs), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
+    left = stored(sets.join(few(hubs), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "hub-sets")
+    n, tokens = left.agg(F.count("*"), F.coalesce(F.sum(F.size("x")), F.lit(0))).first()
+    # One hub may have a large part of all pairs: its set goes to the pairs where hub sets are counted to be small.
+    left = F.broadcast(left) if n + tokens <= MAX_BROADCAST_TOKENS else left
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
     found = both.select("a", "b", (1 - F.col("i") / (F.col("s") - F.col("i"))).alias("d"), (100 * F.col("i") >= rule.percent * (F.col("s") - F.col("i"))).alias("link"))
