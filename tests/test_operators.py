@@ -225,3 +225,27 @@ def test_paging_and_flags(spark):
     assert [(r["streak"], r["alarm"]) for r in streak.orderBy("i").collect()] == [(1, False), (2, False), (3, True), (0, False), (1, False)]
     ties = spark.createDataFrame([(1, "k", START), (2, "k", START), (3, "k", START + timedelta(seconds=601)), (4, "k", START + timedelta(seconds=1201))], "i int, k string, at timestamp")
     assert [r["i"] for r in R.lapses(ties, "k", "at", 600, "i").collect()] == [3]
+
+
+def test_css_subset(spark):
+    from tidemill.sources.cards import cards, parsed
+
+    page = '<ul id="a"><li class="x y">1<b data-k="v-1">t</b></li><li class="y">2</li></ul><li class="x">3'
+    df = spark.createDataFrame([(1, page, "u"), (2, None, "u"), (3, "", "u")], "k int, html string, url string")
+    found = lambda s: [r["title"] for r in cards(df, "k", "html", "url", s, {"title": "b"}).orderBy("k", "idx").collect()]
+    assert [len(found(s)) for s in ("li", "li.x", "ul > li", "#a .x", "li.x.y, b", "[data-k^=v]", "[data-k='v-2']", "ul b", "ul > b")] == [3, 2, 2, 1, 2, 1, 0, 1, 0]
+    assert found("li.x") == ["t", None]
+    for bad in ("", "a,,b", "a:hover", "x" * 501):
+        with pytest.raises(ValueError):
+            parsed(bad)
+
+
+def test_detection_of_poor_documents(spark):
+    from tidemill.operators import detection as N
+
+    rows = [(1, None, 200), (2, "", 200), (3, "<p>x</p>", 403), (4, "window <script>" + "x" * 3000 + "</script>", 200), (5, '<meta name="generator" content="WordPress 6">', 200)]
+    got = {r["k"]: r for r in N.detect(spark.createDataFrame(rows, "k int, body string, status int"), "k", "body", "status").collect()}
+    assert all(got[k]["pattern"] is None for k in got) and got[3]["blocked"] == "http_403" and got[4]["browser_required"] and (got[5]["best"], got[5]["confidence"], got[5]["needs_review"]) == ("wordpress_rest", 0.4, True)
+    reasons = {r["k"]: r["reason"] for r in N.report(N.detect(spark.createDataFrame(rows, "k int, body string, status int"), "k", "body", "status"), "k").collect()}
+    assert reasons == {1: "unsupported", 2: "unsupported", 3: "blocked", 4: "browser_required", 5: "low_confidence"}
+    assert N.response_score(spark.createDataFrame([(1, "http://a.org/x", None, "http://a.org")], "k int, u string, b string, l string"), "k", "u", "b", "l").first()["kind"] == "first_party_other"

@@ -104,3 +104,14 @@ def html_card_groups(spark, d):
     extra = F.when(F.col("o_custkey") % 3 == 0, "").when(F.col("o_custkey") % 3 == 1, rest).otherwise(F.concat(rest, card(True, False)))
     docs = table(spark, d, "orders").where(k % 25 == 0).select(k, F.concat(F.lit('<ul><li class="nav"><a href="/">y</a></li>'), many, extra, F.lit("</ul>")).alias("body"))
     return N.html_groups(docs, "o_orderkey", "body").select("o_orderkey", F.col("score").cast("long").alias("score"), "n")
+
+
+@query("SELECT o_orderkey, CAST(i AS INTEGER) AS idx, 'Order ' || o_orderpriority AS title, 'http://s.example/e/' || o_orderkey AS canonical_url, CASE WHEN i = 1 THEN NULL ELSE 'Hall' END AS venue, strftime(o_orderdate, '%Y-%m-%d') AS start_datetime FROM orders, (VALUES (0), (1)) AS t(i) WHERE o_orderkey % 25 = 0")
+def html_cards(spark, d):
+    from tidemill.sources.cards import cards
+
+    k = F.col("o_orderkey")
+    one = lambda hall: F.concat(F.lit('<div class="event-card x"><h3 class="event-title"><a href="/e/'), k.cast("string"), F.lit('">Order <b>'), F.col("o_orderpriority"), F.lit('</b></a></h3><time datetime="'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('">some day</time>' + ("<span class=venue>Hall</span>" if hall else "") + "<br></div>"))
+    docs = table(spark, d, "orders").where(k % 25 == 0).select(k, F.concat(F.lit('<div class="event-list"><p class="event-card">no</p>'), one(True), one(False), F.lit('</div><div class="event-card">outside</div>')).alias("html"), F.lit("http://s.example/list").alias("url"))
+    found = cards(docs, "o_orderkey", "html", "url", "div.event-list > div.event-card", {"title": "h3.event-title", "canonical_url": "h3 a[href]@href", "venue": "span.venue, .none", "start_datetime": "time@datetime"})
+    return found.drop("node_hash")
