@@ -249,3 +249,35 @@ def test_detection_of_poor_documents(spark):
     reasons = {r["k"]: r["reason"] for r in N.report(N.detect(spark.createDataFrame(rows, "k int, body string, status int"), "k", "body", "status"), "k").collect()}
     assert reasons == {1: "unsupported", 2: "unsupported", 3: "blocked", 4: "browser_required", 5: "low_confidence"}
     assert N.response_score(spark.createDataFrame([(1, "http://a.org/x", None, "http://a.org")], "k int, u string, b string, l string"), "k", "u", "b", "l").first()["kind"] == "first_party_other"
+
+
+def test_small_decisions(spark):
+    from tidemill.operators import engagement as G
+    from tidemill.operators import filters as B
+    from tidemill.operators import profiles as V
+
+    rows = spark.createDataFrame([(1, None, None), (2, "Multiple Dates", None), (3, "2026-05-14", None), (4, "2026-05-15", None), (5, "2026-05-01", "2026-05-15")], "i int, day string, stop string")
+    assert [r["v"] for r in rows.orderBy("i").select(B.legacy_visible(F.col("day"), F.col("stop"), "2026-05-15").alias("v")).collect()] == [True, True, False, True, True]
+    prefs = spark.createDataFrame([(1, True, "daily", datetime(2026, 5, 9)), (2, True, "daily", datetime(2026, 5, 9, 0, 0, 1)), (3, True, "weekly", None), (4, False, "daily", None)], "user_id int, email boolean, frequency string, last_digest_at timestamp")
+    ledger = spark.createDataFrame([(u, "email", "pending") for u in (1, 2, 3, 3, 4)], "user_id int, channel string, status string")
+    assert sorted(tuple(r) for r in G.digests(ledger, prefs, "2026-05-10").collect()) == [(1, 1), (3, 2)]
+    sent = spark.createDataFrame([("a", datetime(2026, 5, 9, 18)), ("b", datetime(2026, 5, 9, 17, 59, 59))], "fingerprint string, at timestamp")
+    messages = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "b", "x"), (4, "c", "y")], "message_id int, fingerprint string, role string")
+    users = spark.createDataFrame([(7, "x"), (8, "x")], "user_id int, role string")
+    assert sorted((r["message_id"], r["user_id"]) for r in G.notifications(messages, users, sent, "at", 21600, "2026-05-10").collect()) == [(2, 7), (2, 8)]
+    days = spark.createDataFrame([("2026/05/01",), ("2026/05/02",), ("03.05.2026",), ("soon",), (None,)], "v string")
+    assert V.format_cover(days, F.lit(1), "v", ["%d.%m.%Y", "%Y/%m/%d", "%m-%d"]) == ["%Y/%m/%d", "%d.%m.%Y"] and V.format_cover(days.limit(0), F.lit(1), "v", ["%Y"]) == []
+    assert [r["coverage"] for r in V.coverage_rows(days.limit(0), ["v"]).collect()] == [0.0]
+
+
+def test_rules_and_matches(spark):
+    from tidemill.operators import joins as J
+
+    rules = spark.createDataFrame([(1, "keyword", "k", 0, None, None, "STRASSE", False, False, True), (2, "source_mapping", "s", 0, None, " Music ", None, False, False, True), (3, "website_mapping", "w", 0, 5, "", None, False, True, True), (4, "keyword", "r", 9, None, None, "^jazz", True, True, True)], "rule_id int, rule_type string, category string, priority int, website_id int, source_value string, pattern string, is_regex boolean, case_sensitive boolean, is_active boolean")
+    rows = spark.createDataFrame([(1, "music", 5, None, None, None), (2, None, 5, None, None, None), (3, None, None, None, "Große Straße", ""), (4, None, None, None, "jazz", None), (5, None, None, None, "Jazz", None), (6, "", None, None, None, None)], "i int, source_category string, website_id int, venue string, title string, description string")
+    got = {r["i"]: (r["category"], r["rule_id"]) for r in J.first_rule(rows, rules, "i").collect()}
+    assert got == {1: ("s", 2), 2: ("w", 3), 3: ("k", 1), 4: ("r", 4), 5: ("other", None), 6: ("other", None)}
+    assert {r["category"] for r in J.first_rule(rows, rules.limit(0), "i").collect()} == {"other"}
+    sources = spark.createDataFrame([(1, "http://a.org/", None, True, False), (2, "https://A.org", None, False, False), (3, "http://a.org", "http://a.org/list", False, True), (4, "http://b.org/x", None, False, True)], "source_id int, base_url string, listing_url string, archived boolean, is_active boolean")
+    urls = spark.createDataFrame([(1, "http://a.org:80/list/"), (2, "http://a.org/other"), (3, "https://a.org/any?x"), (4, "http://b.org/y"), (5, ""), (6, None)], "i int, url string")
+    assert {r["i"]: (r["source_id"], r["match"]) for r in J.match_sources(urls, sources, "i", "url").collect()} == {1: (3, "listing_url"), 2: (1, "page_under_origin"), 3: (2, "page_under_origin")}
