@@ -4,7 +4,8 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame that works on all ro
 predecessor kept; between stages the rows are written as Parquet and read again.
 
 toxicity        documents that score 0.5 or more go
-jaccard_join    of each group of near copies the smallest doc_id stays
+jaccard_join    of each group of near copies the smallest doc_id stays; sets of five-word shingles
+                with a Jaccard similarity of 0.8 link (the query op9 has its own contract)
 decontamination documents that hold a benchmark item go
 secret_scans    secrets are replaced by a mark; n_chars follows the text
 sentencepiece   sampled pieces of each remaining document (doc_id, n_pieces, ids, lossless)
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import decontamination, jaccard_join, secret_scans, sentencepiece_sampling, toxicity
 from tidemill.llm.queries import tokenizer_path
-from tidemill.llm.tables import stored, table
+from tidemill.llm.tables import discard, stored, table
+
+
+SHINGLE, PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, SHINGLE, PERCENT)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; a stage's table goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

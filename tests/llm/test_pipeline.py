@@ -18,7 +18,7 @@ def near_copies(texts):
     sets, parent = {}, {i: i for i in texts}
     for i, t in texts.items():
         w = regex.findall(r"[^\x20\x09-\x0D]+", regex.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
-        sets[i] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
     def root(x):
         while parent[x] != x:
@@ -28,7 +28,7 @@ def near_copies(texts):
     ids = sorted(i for i in sets if sets[i])
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if 0.8 * len(sets[a]) <= len(sets[b]) <= len(sets[a]) / 0.8 and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if 0.75 * len(sets[a]) <= len(sets[b]) <= len(sets[a]) / 0.75 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {i: root(i) for i in sets}
