@@ -28,6 +28,8 @@ through ``keep_clean``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +65,9 @@ _JOIN = "ˠ"  # a letter that joins the words of one name or number; taken out o
 _CUT = r"[^\p{L}\p{N}_§]+"
 _NUMBER = "|".join(sorted(NUMBERS, key=len, reverse=True))
 _NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?!(?:{'|'.join([*OPENERS, *(n.capitalize() for n in NUMBERS)])})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}\p{{L}}*"
-_COUNT = rf"(?<![\p{{L}}\p{{N}}])(?i:{_NUMBER})(?![\p{{L}}\p{{N}}])"
-_COUNTS = rf"\d+|(?<![\p{{L}}\p{{N}}])(?i:{_NUMBER})(?:{_JOIN}\p{{L}}+)?(?![\p{{L}}\p{{N}}])"
+_FIRST = "".join(sorted({n[0] for n in NUMBERS}))
+_COUNT = rf"(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}{_FIRST.upper()}])(?i:{_NUMBER})(?![\p{{L}}\p{{N}}])"
+_COUNTS = rf"\d+|(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}{_FIRST.upper()}])(?i:{_NUMBER})(?:{_JOIN}\p{{L}}+)?(?![\p{{L}}\p{{N}}])"
 _UNIT = rf"(?i)(?<=0)([ -]?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 
 
@@ -82,13 +85,17 @@ def raw_words(text: Column) -> Column:
     return F.split(F.lower(_grouped(text)), _CUT)
 
 
+def _template(grouped: Column) -> Column:
+    named = F.regexp_replace(grouped, _NAME, "_")
+    return F.split(F.lower(F.regexp_replace(F.regexp_replace(named, _COUNTS, "0"), _UNIT, "$1§")), _CUT)
+
+
 def template(text: Column) -> Column:
     """Words in lower case with names, numbers and units replaced by _, 0 and §.
 
     Whole-text patterns instead of a function of each word: they cost one pass each.
     """
-    named = F.regexp_replace(_grouped(text), _NAME, "_")
-    return F.split(F.lower(F.regexp_replace(F.regexp_replace(named, _COUNTS, "0"), _UNIT, "$1§")), _CUT)
+    return _template(_grouped(text))
 
 
 def _marked(words: Column) -> Column:
@@ -109,26 +116,34 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x evaluated once, however often it stands in the result."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
 def windows(hashes: Column, k: int = K) -> Column:
     """Hashes of all k-word windows of word hashes, in order; empty for fewer words.
 
-    Windows of 1, 2, 4 and so on are put together, so each takes a few steps for each word
-    and no array is made for a window.
+    Windows of 1, 2, 4 and so on words are put together, so each takes a few steps for each
+    word and no array is made for a window.
     """
-    n = F.size(hashes)
-    have, at, width, rest = hashes, None, 1, k
-    done = 0
-    while rest:
-        if rest & 1:
-            part = have if done == 0 else F.slice(have, done + 1, F.greatest(n - done - width + 1, F.lit(0)))
-            at = part if at is None else F.zip_with(F.slice(at, F.lit(1), F.greatest(n - done - width + 1, F.lit(0))), part, lambda a, b: F.xxhash64(a, b))
-            done += width
-        rest >>= 1
-        if rest:
-            left = F.greatest(n - 2 * width + 1, F.lit(0))
-            have = F.zip_with(F.slice(have, F.lit(1), left), F.slice(have, F.lit(width + 1), left), lambda a, b: F.xxhash64(a, b))
-            width *= 2
-    return F.when(n >= k, at).otherwise(F.array().cast("array<bigint>"))
+
+    def joined(a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+
+    def upto(c: Column, first: int, n: Column, lost: int) -> Column:
+        return F.slice(c, F.lit(first), F.greatest(n - lost, F.lit(0)))
+
+    def grown(have: Column, width: int, at: Column | None, done: int, n: Column) -> Column:
+        """at: windows of ``done`` words, have: of ``width`` words, the next binary digit of k."""
+        if k & width:
+            part = have if at is None else joined(upto(at, 1, n, done + width - 1), upto(have, done + 1, n, done + width - 1))
+            if done + width == k:
+                return part
+            return _let(part, lambda a: _let(joined(upto(have, 1, n, 2 * width - 1), upto(have, width + 1, n, 2 * width - 1)), lambda h: grown(h, 2 * width, a, done + width, n)))
+        return _let(joined(upto(have, 1, n, 2 * width - 1), upto(have, width + 1, n, 2 * width - 1)), lambda h: grown(h, 2 * width, at, done, n))
+
+    return _let(hashes, lambda h: F.when(F.size(h) >= k, grown(h, 1, None, 0, F.size(h))).otherwise(F.array().cast("array<bigint>")))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -168,9 +183,11 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, n_run (consecutive windows found word for word) and at of every pair with a common window."""
-    known = few(benchmark_windows(benchmark))
+    known = few(stored(benchmark_windows(benchmark), "benchmark-windows"))
     sizes = lengths(_items(benchmark))
-    words = docs.select("doc_id", template(F.col("text")).alias("t"), exact_words(F.col("text")).alias("r"), *([single_words(F.col("text")).alias("s")] if sizes else []))
+    # Joined once, read twice.
+    grouped = docs.select("doc_id", _grouped(F.col("text")).alias("g"), *([single_words(F.col("text")).alias("s")] if sizes else []))
+    words = grouped.select("doc_id", _template(F.col("g")).alias("t"), _marked(F.col("g")).alias("r"), *(["s"] if sizes else []))
     hashed = words.select("doc_id", *(_hashed(F.col(c)).alias(c) for c in words.columns[1:]))
     sets = hashed.select("doc_id", windows(F.col("t")).alias("w"), windows(F.col("r")).alias("e"), *(windows(F.col("s"), k).alias(f"e{k}") for k in sizes))
     exact = F.zip_with("w", "e", lambda a, b: F.when(a.isNull() | (a != b), b))  # windows without placeholders are the same
