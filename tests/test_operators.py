@@ -281,3 +281,14 @@ def test_rules_and_matches(spark):
     sources = spark.createDataFrame([(1, "http://a.org/", None, True, False), (2, "https://A.org", None, False, False), (3, "http://a.org", "http://a.org/list", False, True), (4, "http://b.org/x", None, False, True)], "source_id int, base_url string, listing_url string, archived boolean, is_active boolean")
     urls = spark.createDataFrame([(1, "http://a.org:80/list/"), (2, "http://a.org/other"), (3, "https://a.org/any?x"), (4, "http://b.org/y"), (5, ""), (6, None)], "i int, url string")
     assert {r["i"]: (r["source_id"], r["match"]) for r in J.match_sources(urls, sources, "i", "url").collect()} == {1: (3, "listing_url"), 2: (1, "page_under_origin"), 3: (2, "page_under_origin")}
+
+
+def test_registry(spark):
+    from tidemill.sources.registry import REGISTRY, Pattern
+
+    df = spark.createDataFrame([(1, '{"hits": [{"objectID": 5, "title": "t"}]}')], "k int, body string")
+    assert [r["external_source_id"] for r in REGISTRY.extract("algolia_search", df, "k", "body").collect()] == ["5"]
+    assert len(REGISTRY.choices()) == 12
+    for call in (lambda: REGISTRY.get("x"), lambda: REGISTRY.add(Pattern("algolia_search", "", None)), lambda: REGISTRY.extract("algolia_search", df, "k", "body", colour=1), lambda: REGISTRY.extract("next_data", df, "k", "body")):
+        with pytest.raises((KeyError, ValueError)):
+            call()

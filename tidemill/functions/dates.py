@@ -213,3 +213,28 @@ def human_date(day: Column) -> Column:
 def backoff(attempt: Column, base: float, cap: float) -> Column:
     """Seconds before an attempt, doubled each time up to the cap; attempts count from 1."""
     return F.least(F.lit(float(base)) * F.pow(F.lit(2.0), F.greatest(attempt - 1, F.lit(0))), F.lit(float(cap)))
+
+
+def split_range(x: Column) -> Column:
+    """struct(start, end) of the two sides of a text, if both read as days with what they share; otherwise nulls."""
+    r = parse_range(x)
+    return F.struct(F.when(r.getField("end").isNotNull(), r.getField("start")).alias("start"), r.getField("end").alias("end"))
+
+
+def zone_offset(zone: str, at: str) -> Column:
+    """Seconds that a zone is ahead of UTC at a moment."""
+    t = F.lit(at).cast("timestamp_ntz")
+    return F.unix_seconds(F.convert_timezone(F.lit("UTC"), F.lit(zone), t).cast("timestamp")) - F.unix_seconds(t.cast("timestamp"))
+
+
+def observes_dst(zone: str, year: int = 2026) -> Column:
+    """Whether a zone's offset in January differs from that in July."""
+    return zone_offset(zone, f"{year}-01-15 12:00:00") != zone_offset(zone, f"{year}-07-15 12:00:00")
+
+
+def temporal(x: Column) -> Column:
+    """struct(day, time) of an ISO text: a date of ten characters has no time; what is neither is null."""
+    t = trimmed(x)
+    cut = rf"^({_ISO})[T ](\d{{2}}:\d{{2}}(?::\d{{2}})?)(?:\.\d+)?(?:Z|[+-]\d{{2}}:?\d{{2}})?$"
+    day = F.when(t.rlike(rf"^{_ISO}$"), t.try_cast("date")).when(t.rlike(cut), F.regexp_extract(t, cut, 1).try_cast("date"))
+    return F.struct(day.alias("day"), F.when(day.isNotNull() & t.rlike(cut), parse_time(F.regexp_extract(t, cut, 2))).alias("time"))

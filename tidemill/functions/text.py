@@ -99,8 +99,9 @@ def name_tokens(x: Column) -> Column:
 
 
 def stable_class(x: Column) -> Column:
-    """Whether a class name looks written by hand: no hash-like or numbered part."""
-    return x.rlike(r"^[A-Za-z][A-Za-z_-]{1,39}[0-9]?$") & ~x.rlike(r"(?i)^(css|sc|jsx|svelte|ng)-|__[a-z0-9]{5,}$")
+    """Whether a class name looks given by a person: 2 to 40 signs, no digit first, no long number and no hash."""
+    t = trimmed(x)
+    return F.length(t).between(2, 40) & ~t.rlike(r"^\d|\d{3,}") & ~t.rlike(r"(?i)^[a-z]*[0-9a-f]{6,}$")
 
 
 def json_key(x: Column) -> Column:

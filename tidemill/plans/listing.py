@@ -147,3 +147,9 @@ def error_messages(spark, d):
 @query("SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (o_orderstatus IN ('F', 'P')) AS BIGINT) AS n_done, count(*) = count(*) FILTER (o_orderstatus IN ('F', 'P')) AS complete FROM orders GROUP BY o_custkey")
 def batch_progress(spark, d):
     return R.progress(table(spark, d, "orders"), "o_custkey", "o_orderstatus", ["F", "P"])
+
+
+@query("SELECT o_orderkey, o_orderstatus, true AS has_next FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10 OFFSET 10")
+def recent_with_more(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    return R.page_plus_one(o, [F.desc("o_orderdate"), F.desc("o_orderkey")], 2, 10).select("o_orderkey", "o_orderstatus", "has_next")

@@ -137,3 +137,22 @@ def validate_reasons(spark, d):
     f = spark.sql(_FAULTS)
     checks = problems(title=F.col("title"), start_date=F.col("a"), end_date=F.col("b"), latitude=F.col("lat"), longitude=F.col("lon"), description=F.col("note"))
     return f.select("o_orderkey", F.array_join(R.reasons(checks), ",").alias("reasons"))
+
+
+_TEXTS = "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'All day on 2026-05-01' WHEN 1 THEN 'May 5 at noon' WHEN 2 THEN '3/4/26 all-day' WHEN 3 THEN 'maybe later' WHEN 4 THEN '5 June' ELSE '=+cmd 12' END AS t, CASE WHEN p_partkey % 3 = 0 THEN 'eventTitle-box_2' WHEN p_partkey % 3 = 1 THEN 'a1b2c3d4' ELSE 'card' END AS c, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE (p_partkey % 101) / CAST(100.0 AS DOUBLE) END AS share FROM part"
+
+
+@query(f"""WITH t AS ({_TEXTS}) SELECT p_partkey, p_partkey % 6 = 0 AS has_year, p_partkey % 6 IN (0, 2) AS all_day, p_partkey % 6 IN (0, 1, 2, 4) AS dated, CASE WHEN p_partkey % 6 = 5 THEN 'cmd 12' ELSE t END AS clean, CASE p_partkey % 3 WHEN 0 THEN 'event,title,box' WHEN 1 THEN 'a1b2c3d4' ELSE 'card' END AS tokens,
+p_partkey % 3 <> 1 AS stable, CASE p_partkey % 3 WHEN 0 THEN 'eventtitlebox2' WHEN 1 THEN 'a1b2c3d4' ELSE 'card' END AS key, CASE WHEN share IS NULL THEN '—' ELSE CAST(round_even(share * 100, 0) AS INTEGER) || '%' END AS percent FROM t""")
+def scalar_forms(spark, d):
+    table(spark, d, "part").createOrReplaceTempView("part")
+    t, c = F.col("t"), F.col("c")
+    return spark.sql(_TEXTS).select("p_partkey", D.has_year(t).alias("has_year"), D.is_all_day(t).alias("all_day"), D.looks_dated(t).alias("dated"), T.without_formula(t).alias("clean"), F.array_join(T.name_tokens(c), ",").alias("tokens"), T.stable_class(c).alias("stable"), T.json_key(c).alias("key"), T.percent(F.col("share")).alias("percent"))
+
+
+@query("SELECT event_id, CAST(ts AS DATE) AS day, CASE WHEN event_id % 3 = 0 THEN NULL ELSE strftime(ts, '%H:%M:%S') END AS time, strftime(ts, '%a, %b ') || CAST(day(ts) AS VARCHAR) AS shown, event_id % 2 = 0 AS dst FROM events WHERE event_id % 3 < 2")
+def temporal_forms(spark, d):
+    k, ts = F.col("event_id"), F.col("ts")
+    shown = F.when(k % 3 == 0, F.date_format(ts, "yyyy-MM-dd")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
+    e = table(spark, d, "events").where(k % 3 < 2).select(k, ts, D.temporal(shown).alias("x"))
+    return e.select(k, "x.day", "x.time", D.human_date(ts).alias("shown"), F.when(k % 2 == 0, D.observes_dst("Europe/Berlin")).otherwise(D.observes_dst("Asia/Tokyo")).alias("dst"))
