@@ -275,19 +275,21 @@ def test_leaks_as_brute_force(spark, texts):
     items = {i: " ".join(rng.choice(vocabulary) for _ in range(n)) for i, n in enumerate((3, 7, 8, 12, 20, 30, 30))}
     data = [(i, t) for i, t in enumerate(items.values())] + [(50 + i, " ".join([rng.choice(vocabulary) for _ in range(20)] + items[rng.randrange(7)].split()[rng.randrange(4) :] + ["end"])) for i in range(60)] + [(500, None), (501, "")]
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    shown = lambda df, key: {r[0]: [[w for w in x or [] if w] for x in r[1:4]] for r in df.select(key, decontamination.template(F.col("text")).alias("t"), decontamination.exact_words(F.col("text")).alias("r"), decontamination.single_words(F.col("text")).alias("s")).collect()}
+    shown = lambda df, key: {r[0]: [[w for w in x or [] if w] for x in r[1:]] for r in df.select(key, decontamination.template(F.col("text")), decontamination.exact_words(F.col("text")), decontamination.raw_words(F.col("text"))).collect()}
     docs = frame(spark, data)
     mine, theirs = shown(docs, "doc_id"), shown(bench, "item_id")
     cut = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
     want = {}
-    for d, (t, r, s) in mine.items():
-        for i, (bt, br, bs) in theirs.items():
+    for d, (t, s, _) in mine.items():
+        for i, (bt, bs, bg) in theirs.items():
             if len(bt) < 8:
                 if bs and tuple(bs) in cut(s, len(bs)):
                     want[d, i] = (1, 1)
                 continue
+            assert len(bg) == len(bt) and sum(w.count("ˠ") + 1 for w in bg) == len(bs)
+            first = [sum(w.count("ˠ") + 1 for w in bg[:j]) for j in range(len(bg))]
             rich = [sum(w not in ("_", "0", "§") for w in x) >= 4 for x in cut(bt, 8)]
-            hit = [x in cut(r, 8) or ok and y in cut(t, 8) for x, y, ok in zip(cut(br, 8), cut(bt, 8), rich, strict=True)]
+            hit = [tuple(bs[first[j] : first[j] + 8]) in cut(s, 8) or ok and y in cut(t, 8) for j, (y, ok) in enumerate(zip(cut(bt, 8), rich, strict=True))]
             both = sum(h and ok for h, ok in zip(hit, rich, strict=True))
             if any(hit):
                 want[d, i] = (sum(rich), both) if both * len(rich) > sum(hit) * sum(rich) else (len(rich), sum(hit))

@@ -67,7 +67,8 @@ _NUMBER = "|".join(sorted(NUMBERS, key=len, reverse=True))
 _NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?!(?:{'|'.join([*OPENERS, *(n.capitalize() for n in NUMBERS)])})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}\p{{L}}*"
 _FIRST = "".join(sorted({n[0] for n in NUMBERS}))
 _COUNT = rf"(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}{_FIRST.upper()}])(?i:{_NUMBER})(?![\p{{L}}\p{{N}}])"
-_COUNTS = rf"\d+|(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}{_FIRST.upper()}])(?i:{_NUMBER})(?:{_JOIN}\p{{L}}+)?(?![\p{{L}}\p{{N}}])"
+_NAMES = rf"{_NAME}(?: {_NAME})*"
+_COUNTS = rf"\d+|(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}{_FIRST.upper()}])(?i:{_NUMBER})(?:[ -](?i:{_NUMBER})(?![\p{{L}}\p{{N}}]))*(?![\p{{L}}\p{{N}}])"
 _UNIT = rf"(?i)(?<=0)([ -]?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 
 
@@ -85,8 +86,8 @@ def raw_words(text: Column) -> Column:
     return F.split(F.lower(_grouped(text)), _CUT)
 
 
-def _template(grouped: Column) -> Column:
-    named = F.regexp_replace(grouped, _NAME, "_")
+def _template(plain: Column) -> Column:
+    named = F.regexp_replace(plain, _NAMES, "_")
     return F.split(F.lower(F.regexp_replace(F.regexp_replace(named, _COUNTS, "0"), _UNIT, "$1§")), _CUT)
 
 
@@ -95,7 +96,7 @@ def template(text: Column) -> Column:
 
     Whole-text patterns instead of a function of each word: they cost one pass each.
     """
-    return _template(_grouped(text))
+    return _template(_plain(text))
 
 
 def _marked(words: Column) -> Column:
@@ -103,12 +104,7 @@ def _marked(words: Column) -> Column:
 
 
 def exact_words(text: Column) -> Column:
-    """raw_words with the digit 0 as a letter of its own: no number looks like the placeholder 0."""
-    return _marked(_grouped(text))
-
-
-def single_words(text: Column) -> Column:
-    """exact_words without joining any."""
+    """Single words, with the digit 0 as a letter of its own: no number looks like the placeholder 0."""
     return _marked(_plain(text))
 
 
@@ -128,31 +124,31 @@ def windows(hashes: Column, k: int = K) -> Column:
     word and no array is made for a window.
     """
 
-    def joined(a: Column, b: Column) -> Column:
-        return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
-
-    def upto(c: Column, first: int, n: Column, lost: int) -> Column:
-        return F.slice(c, F.lit(first), F.greatest(n - lost, F.lit(0)))
+    def paired(a: Column, b: Column, shift: int) -> Column:
+        return F.transform(a, lambda x, i: F.xxhash64(x, F.get(b, i + shift)))
 
-    def grown(have: Column, width: int, at: Column | None, done: int, n: Column) -> Column:
-        """at: windows of ``done`` words, have: of ``width`` words, the next binary digit of k."""
+    def grown(have: Column, width: int, at: Column | None, done: int) -> Column:
+        """at: windows of ``done`` words, have: of ``width`` words, the next binary digit of k; the last ones of both are cut off at the end."""
         if k & width:
-            part = have if at is None else joined(upto(at, 1, n, done + width - 1), upto(have, done + 1, n, done + width - 1))
+            part = have if at is None else paired(at, have, done)
             if done + width == k:
                 return part
-            return _let(part, lambda a: _let(joined(upto(have, 1, n, 2 * width - 1), upto(have, width + 1, n, 2 * width - 1)), lambda h: grown(h, 2 * width, a, done + width, n)))
-        return _let(joined(upto(have, 1, n, 2 * width - 1), upto(have, width + 1, n, 2 * width - 1)), lambda h: grown(h, 2 * width, at, done, n))
+            return _let(part, lambda a: _let(paired(have, have, width), lambda h: grown(h, 2 * width, a, done + width)))
+        return _let(paired(have, have, width), lambda h: grown(h, 2 * width, at, done))
 
-    return _let(hashes, lambda h: F.when(F.size(h) >= k, grown(h, 1, None, 0, F.size(h))).otherwise(F.array().cast("array<bigint>")))
+    return _let(hashes, lambda h: F.when(F.size(h) >= k, F.slice(grown(h, 1, None, 0), F.lit(1), F.size(h) - k + 1)).otherwise(F.array().cast("array<bigint>")))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, words as template (t) and as they are (r), and the number of empty words before them."""
+    """item_id, words as template (t) and single words (s), windows of both by the template's words (tw, rw), and the number of empty words before them."""
     text = F.coalesce(F.col("text"), F.lit(""))
     inner = lambda words: F.filter(words, lambda w: w != "")
     lead = (F.element_at(template(text), 1) == "").cast("int")  # positions count an empty word before a leading mark
-    words = benchmark.where(F.col("item_id").isNotNull()).select("item_id", inner(template(text)).alias("t"), inner(exact_words(text)).alias("r"), inner(single_words(text)).alias("s"), lead.alias("lead"))
-    return words.select("*", windows(_hashed(F.col("t"))).alias("tw"), windows(_hashed(F.col("r"))).alias("rw"))
+    words = benchmark.where(F.col("item_id").isNotNull()).select("item_id", inner(template(text)).alias("t"), inner(exact_words(text)).alias("s"), inner(raw_words(text)).alias("g"), lead.alias("lead"))
+    # Where the single words of each word of the template begin.
+    at = F.transform(F.sequence(F.lit(0), F.size("g")), lambda i: F.aggregate(F.slice("g", F.lit(1), i), F.lit(0), lambda acc, w: acc + F.length(w) - F.length(F.replace(w, F.lit(_JOIN), F.lit(""))) + 1))
+    both = words.select("*", windows(_hashed(F.col("t"))).alias("tw"), windows(_hashed(F.col("s"))).alias("sw"), at.alias("at"))
+    return both.select("*", F.transform("tw", lambda _, i: F.get("sw", F.get("at", i))).alias("rw"))
 
 
 def _short() -> Column:
@@ -185,19 +181,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, n_run (consecutive windows found word for word) and at of every pair with a common window."""
     known = few(stored(benchmark_windows(benchmark), "benchmark-windows"))
     sizes = lengths(_items(benchmark))
-    # Joined once, read twice.
-    grouped = docs.select("doc_id", _grouped(F.col("text")).alias("g"), *([single_words(F.col("text")).alias("s")] if sizes else []))
-    words = grouped.select("doc_id", _template(F.col("g")).alias("t"), _marked(F.col("g")).alias("r"), *(["s"] if sizes else []))
-    hashed = words.select("doc_id", *(_hashed(F.col(c)).alias(c) for c in words.columns[1:]))
-    sets = hashed.select("doc_id", windows(F.col("t")).alias("w"), windows(F.col("r")).alias("e"), *(windows(F.col("s"), k).alias(f"e{k}") for k in sizes))
-    exact = F.zip_with("w", "e", lambda a, b: F.when(a.isNull() | (a != b), b))  # windows without placeholders are the same
-    sets = sets.select("doc_id", F.concat("w", exact, *(f"e{k}" for k in sizes)).alias("w"))
+    plain = docs.select("doc_id", _plain(F.col("text")).alias("p"))  # made once, read twice
+    words = plain.select("doc_id", _hashed(_template(F.col("p"))).alias("t"), _hashed(_marked(F.col("p"))).alias("s"))
+    sets = words.select("doc_id", F.concat(windows(F.col("t")), windows(F.col("s")), *(windows(F.col("s"), k) for k in sizes)).alias("w"))
     # The outer form: of a plain explode the optimizer would infer a filter that evaluates the windows anew.
     each = sets.select("doc_id", F.posexplode_outer("w").alias("dpos", "h"))
     hits = each.join(known, "h").withColumn("support", F.count("*").over(Window.partitionBy("doc_id", "item_id", F.col("dpos") - F.col("ipos"))))
     # One place in the document for each window of the item: bounded by the item, even if a text repeats it.
     # Like windows of one text (Tom has 4 cats. Jane has 7 cats.) fit in many places: the shift that fits most windows goes first.
-    # Only templates with placeholders are no raw windows, and these come first in w: dpos is their place.
+    # Windows of templates come first in w: dpos is their place.
     once = hits.groupBy("doc_id", "item_id", "ipos").agg(F.min(F.struct((-F.col("support")).alias("s"), (~F.col("raw")).alias("loose"), "dpos")).alias("at"), F.max("raw").alias("raw"), F.max("n_windows").alias("n_windows"), F.max("n_rich").alias("n_rich"), F.max("rich").alias("rich"))
     pairs = once.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_all"), F.max("n_rich").alias("n_rich"), F.count("*").alias("m_all"), F.count_if("rich").alias("m_rich"),
