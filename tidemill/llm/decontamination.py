@@ -22,8 +22,9 @@ Benchmark windows are broadcast only if counted to be few; so are the ids of doc
 whose slots are read.  Otherwise both are shuffle joins.
 
 Defined results: null and empty texts and items match nothing; repeated rows of one
-doc_id count as one document; an item matches once for each id; other columns pass
-through ``keep_clean``.
+doc_id count as one document; an item matches once for each id; rows with a null doc_id
+or item_id match nothing, and the former stay in ``keep_clean``; the longest run of
+windows of a tie in coverage goes first; other columns pass through ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -147,8 +148,9 @@ def _items(benchmark: DataFrame) -> DataFrame:
     words = benchmark.where(F.col("item_id").isNotNull()).select("item_id", inner(template(text)).alias("t"), inner(exact_words(text)).alias("s"), inner(raw_words(text)).alias("g"), lead.alias("lead"))
     # Where the single words of each word of the template begin.
     at = F.transform(F.sequence(F.lit(0), F.size("g")), lambda i: F.aggregate(F.slice("g", F.lit(1), i), F.lit(0), lambda acc, w: acc + F.length(w) - F.length(F.replace(w, F.lit(_JOIN), F.lit(""))) + 1))
-    both = words.select("*", windows(_hashed(F.col("t"))).alias("tw"), windows(_hashed(F.col("s"))).alias("sw"), at.alias("at"))
-    return both.select("*", F.transform("tw", lambda _, i: F.get("sw", F.get("at", i))).alias("rw"))
+    # Written, so that no step is evaluated anew for each element of a later one.
+    both = stored(stored(words, "items").select("*", windows(_hashed(F.col("t"))).alias("tw"), windows(_hashed(F.col("s"))).alias("sw"), at.alias("at")), "item-windows")
+    return stored(both.select("*", F.transform("tw", lambda _, i: F.get("sw", F.get("at", i))).alias("rw")), "items")
 
 
 def _short() -> Column:
@@ -160,9 +162,8 @@ def lengths(items: DataFrame) -> list[int]:
     return sorted(r[0] for r in items.where(_short()).select(F.size("s")).distinct().collect())
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+def benchmark_windows(items: DataFrame) -> DataFrame:
     """(item_id, ipos, n_windows, n_rich, rich, raw, h): windows as they are (raw), and as templates where these are rich in plain words."""
-    items = _items(benchmark)
     rich = lambda i: F.size(F.filter(F.slice("t", i, K), lambda w: ~w.isin("_", "0", "§"))) >= MIN_WORDS
     places = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - K + 1, F.lit(1))), lambda i: F.struct(rich(i).alias("rich"), F.get("tw", i - 1).alias("th"), F.get("rw", i - 1).alias("rh")))
     long = items.where(F.size("t") >= K).withColumn("places", places)
@@ -179,8 +180,9 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, n_run (consecutive windows found word for word) and at of every pair with a common window."""
-    known = few(stored(benchmark_windows(benchmark), "benchmark-windows"))
-    sizes = lengths(_items(benchmark))
+    items = _items(benchmark)
+    known = few(stored(benchmark_windows(items), "benchmark-windows"))
+    sizes = lengths(items)
     plain = docs.select("doc_id", _plain(F.col("text")).alias("p"))  # made once, read twice
     words = plain.select("doc_id", _hashed(_template(F.col("p"))).alias("t"), _hashed(_marked(F.col("p"))).alias("s"))
     sets = words.select("doc_id", F.concat(windows(F.col("t")), windows(F.col("s")), *(windows(F.col("s"), k) for k in sizes)).alias("w"))
