@@ -18,17 +18,19 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import decontamination, jaccard_join, secret_scans, sentencepiece_sampling, toxicity
 from tidemill.llm.queries import tokenizer_path
-from tidemill.llm.tables import discard, stored, table
+from tidemill.llm.tables import discard, lean, stored, table
 
 
 SHINGLE, PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return jaccard_join.keep_one(docs, SHINGLE, PERCENT)
 
 
@@ -37,11 +39,13 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     out = secret_scans.redact(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return sentencepiece_sampling.sample(docs, tokenizer_path("piece_bpe_32k.model"))
 
 

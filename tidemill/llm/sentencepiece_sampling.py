@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.textbatch import distinct_segments, mix, slices, texts_of, utf8
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 HELD = 1 << 17  # characters of segments whose lattices are held at one time
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 _SYMBOL = np.uint64(0x8CB92BA72F3D8DD7)

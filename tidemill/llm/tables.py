@@ -56,6 +56,13 @@ def first_of_copies(rows: DataFrame, keys: list[str], node: str, hot: int = 10_0
     return rows.join(few(many), keys).unionByName(cold).where(late)
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows for this session, if it has Spark's own number: workers and buffers stay small beside long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
