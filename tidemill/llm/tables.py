@@ -68,11 +68,33 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, n: str, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """rows left-joined on a number ``key`` to facts, which have one row of a few numbers for each key.
+
+    Facts of the highest ``n`` that are counted to be at most ``most`` are broadcast; only rows
+    of other keys, none of them frequent, are shuffled.  rows is read twice if there are others.
+    """
+    power = F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
+    levels = {r[0]: r[1] for r in facts.groupBy(power).count().collect()}  # at most 64 rows
+    low, total = max(levels, default=0) + 1, 0
+    for level in sorted(levels, reverse=True):
+        total += levels[level]
+        if total > most:
+            break
+        low = level
+    if low <= min(levels, default=0):
+        return rows.join(F.broadcast(facts), key, "left")
+    hot, rest = facts.where(power >= low), facts.where(power < low)
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left")
+    return near.unionByName(far)
+
+
+def stored(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there and it survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
