@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import decontamination, html_extraction, jaccard_join, language_model, license_scans, quality_rules, secret_scans, sentencepiece_sampling, substring_dedup, token_alignment, token_counts, toxicity
+from tidemill.llm import conversation_repair, decontamination, html_extraction, jaccard_join, language_model, license_scans, quality_rules, secret_scans, sentencepiece_sampling, substring_dedup, token_alignment, token_counts, toxicity
 from tidemill.llm.tables import table
 
 
@@ -64,8 +64,12 @@ def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digests(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_license_scans, op4_sentencepiece, op5_decontamination, op6_substring_dedup, op7_quality_rules, op8_html_extraction, op9_jaccard_join, op10_toxicity, op11_token_alignment, op12_language_model)
+    f.__name__: f for f in (op1_token_counts, op2_secret_scans, op3_license_scans, op4_sentencepiece, op5_decontamination, op6_substring_dedup, op7_quality_rules, op8_html_extraction, op9_jaccard_join, op10_toxicity, op11_token_alignment, op12_language_model, op13_conversation_repair)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
