@@ -48,6 +48,12 @@ BOILER_NAMES = set(
 STRONG_NAMES = set("ad ads advert sidebar menu nav navbar navigation cookie cookies consent banner newsletter share sharing social related promo comments breadcrumb breadcrumbs pagination popup modal".split())
 MAIN_NAMES = set("article main content post entry story text body-text article-body article-content article-header article-title post-content post-body post-header entry-content entry-title main-content page-content story-body".split())
 
+# What holds no main text, whatever article or main element stands in it: elements,
+# and parts of hyphenated names.
+CLOSED_TAGS = set("nav aside footer menu dialog".split())
+CLOSED_NAMES = set("comment comments commentlist replies respond disqus sidebar related recommended navigation".split())
+LAYOUT_ENDS = set("layout page wrapper container grid open closed".split())  # comments-open, sidebar-layout: names of what is around
+
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>")
 _ATTRS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _OPEN = re.compile(r"[a-zA-Z/!?]")
@@ -97,6 +103,9 @@ LABELLED = """
 <div><a>-1</a> <a>-1</a></div><div>+40<br>+90<br>+35</div>
 <ul><li><a>-1</a><li><a>-3</a></ul><article><p>+5</p></article>
 <main><div>+12</div><div>+3 <a>+1</a></div><div>+2</div></main>
+<article><h1>+5</h1><p>+40<p>+22</article><div class=comments-area><ol><li class=comment><article class=comment-body><p>-35</p><p>-3</p></article><li class=comment><article class=comment-body><p>-80</p></article></ol></div>
+<main><p>+18<p>+60</main><section class=comments><article><p>-45</p></article><article><p>-6</p></article></section><aside><article class=card><h3>-5</h3><p>-20</p></article><article class=card><p>-16</p></article></aside>
+<article><table><tr><td>+4</td><td>+6</td></tr><tr><td>+3</td><td>+2</td></tr></table><p>+30</p></article><footer><article><p>-25</p></article></footer>
 <article><header><h1>+7</h1><p>+4</p></header><div><div>+30</div><ul><li><a>+3</a><li><a>+5</a></ul></div></article>
 """
 
@@ -120,13 +129,22 @@ def _hint(names: str) -> int:
     return out
 
 
+def _closed(tag: str, names: str, own: int) -> bool:
+    """Whether an element shuts out main text: by its kind, or by a name if no other one speaks for content."""
+    if tag in CLOSED_TAGS:
+        return True
+    parts = [n.split("-") for n in names.lower().replace("_", "-").split()]
+    return own <= 0 and any({p[0], p[-1]} & CLOSED_NAMES and p[0] not in ("has", "with", "no") and p[-1] not in LAYOUT_ENDS for p in parts)
+
+
 def blocks(page: str) -> list[Block]:
     """The flat list of text blocks of a page, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, int, int, bool]] = []
     opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = link_depth = zone = hint = element = 0
+    shut = False  # inside an element that holds no main text
     lower: str | None = None
     ends: dict[str, re.Pattern | None] = {}  # None: no further end tag of that name
     size, at = len(page), 0
@@ -196,7 +214,7 @@ def blocks(page: str) -> list[Block]:
                 at = end.end()
             continue
         flush()
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID:
             continue
         if closing:
             if opened[tag]:
@@ -205,7 +223,7 @@ def blocks(page: str) -> list[Block]:
                     opened[name] -= 1
                     if name == tag:
                         break
-            zone, hint = stack[-1][1:] if stack else (0, 0)
+            zone, hint, shut = stack[-1][1:] if stack else (0, 0, False)
             element = 0
             for name in stack[-1:]:
                 element = 2 if name[0] in HEADINGS else 1 if name[0] in PARAGRAPHS else 0
@@ -220,15 +238,16 @@ def blocks(page: str) -> list[Block]:
                 hidden |= name == "hidden" or name == "aria-hidden" and v == "true" or name == "style" and "display:none" in v.replace(" ", "").lower()
         if tag in ("p", *HEADINGS) and stack and stack[-1][0] == "p":  # a paragraph ends where the next one begins
             opened[stack.pop()[0]] -= 1
-            zone, hint = stack[-1][1:] if stack else (0, 0)
-        if tag in MAIN_TAGS:
+            zone, hint, shut = stack[-1][1:] if stack else (0, 0, False)
+        own = _hint(names) if names and tag not in ("html", "body") else 0
+        shut = shut or hidden or tag not in ("html", "body") and _closed(tag, names, own)
+        if tag in MAIN_TAGS and not shut:
             zone, hint = 1, 0
-        elif tag in BOILER_TAGS or tag == "header" and zone < 1 or hidden:
+        elif shut or tag in BOILER_TAGS or tag == "header" and zone < 1:
             zone = -1
-        own = _hint(names) if names and tag not in ("html", "body") else 0
-        hint = own or hint
+        hint = -1 if shut else own or hint
         element = 2 if tag in HEADINGS else 1 if tag in PARAGRAPHS else 0
-        stack.append((tag, zone, hint))
+        stack.append((tag, zone, hint, shut))
         opened[tag] += 1
     flush()
     return out
