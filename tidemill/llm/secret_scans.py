@@ -1,33 +1,34 @@
 """Secret scans over an incremental blob ledger.
 
-Every text is a blob, named by the SHA-256 of its bytes; a document's historical
-versions are so many blobs.  The ledger is a Parquet table with one row for each (blob,
-rule version) that was scanned, with its findings, also if there are none.  ``update``
-scans only the pairs that the ledger lacks and appends them; ``scan`` joins findings back
-to every path (row) that holds the blob.
+Every text is a blob, named by the SHA-256 of its bytes; a document's historical versions
+are so many blobs.  A rule has a version of its own (``jwt@1``).  The ledger is a Parquet
+table; a row holds a blob, the rules it was scanned with in one run and their findings, also
+if there are none.  ``update`` finds the rules that each blob lacks by joining names, scans
+exactly those pairs, each once, and appends them; ``scan`` joins findings back to every path
+(row) that holds the blob.
 
-Texts never move: blobs are named and scanned where they lie, copies in one Arrow batch
-once, and only names and findings are merged by blob.  What an update has to scan is found
-by joining names.
+A blob that stands in one row is scanned where it lies.  Of a blob in several rows one text is
+taken by an aggregation with map-side sums, so copies are never scanned again, whatever task
+holds them, and one text in a third of all rows makes no large group.
 
-Rules: the three base kinds are always kept as they are; ``EXTRA`` kinds add spans of
-formats with a fixed prefix.  ``VERSIONS`` says which kinds a rule version looks for.
+The three base kinds are always kept as they are; ``EXTRA`` kinds add spans of formats with a
+fixed prefix.  ``VERSIONS`` names the rules of each rule set.
 
 Defined results: null and empty texts are the empty blob without findings; repeated
 rows and null keys each get their blob's findings; other columns are ignored by the scan
-and, in ``redact``, returned unchanged.
+and, in ``redact``, returned unchanged; an empty table adds nothing.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.tables import few, scratch, stored
+from tidemill.llm.tables import discard, few, named, scratch, spare, stored
 from tidemill.llm.textbatch import slices, texts_of
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -52,58 +53,71 @@ EXTRA = (
 )
 
 
-#: Kinds that each rule version looks for.
-VERSIONS = {"base-3": KINDS[:3], "base-3+extra-6": KINDS}
+#: Rules of each rule set, as kind@version; a rule whose pattern changes gets a new version.
+RULES = tuple(f"{kind}@1" for kind in KINDS)
+VERSIONS = {"base-3": RULES[:3], "base-3+extra-6": RULES}
 RULE_VERSION = "base-3+extra-6"
 
 
-def scan_text(text: str, version: str = RULE_VERSION) -> list[tuple[str, int, int]]:
-    """All findings of one text as (kind, start, end), base kinds first."""
+def scan_text(text: str, rules: Collection[str] = RULES) -> list[tuple[str, int, int]]:
+    """All findings of one text by some rules as (rule, start, end), base kinds first."""
     found = []
-    if _KEYWORD.search(text):
-        found += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
-    if "AKIA" in text:
-        found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    found += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    for kind, hint, rule in EXTRA:
-        if kind in VERSIONS[version] and hint in text:
-            found += [(kind, *m.span()) for m in rule.finditer(text)]
+    if "assign@1" in rules and _KEYWORD.search(text):
+        found += [("assign@1", *m.span()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+    if "access@1" in rules and "AKIA" in text:
+        found += [("access@1", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
+    if "hex@1" in rules:
+        found += [("hex@1", *m.span()) for m in _HEX.finditer(text)]
+    for kind, hint, pattern in EXTRA:
+        if f"{kind}@1" in rules and hint in text:
+            found += [(f"{kind}@1", *m.span()) for m in pattern.finditer(text)]
     return found
 
 
-FINDINGS = "array<struct<kind:string,start:int,end:int>>"
-_STRUCT = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+FINDINGS = "array<struct<rule:string,kind:string,start:int,end:int>>"
+LEDGER = f"blob string, rules array<string>, findings {FINDINGS}"
+_STRUCT = pa.list_(pa.struct([("rule", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(version: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: set[str] = set()  # blobs of this batch
-            for part in slices(batch):
-                blobs, found = [], []
-                for blob, text in zip(part.column(0).to_pylist(), texts_of(part), strict=True):
-                    if blob not in seen:
-                        seen.add(blob)
-                        blobs.append(blob)
-                        found.append([{"kind": k, "start": a, "end": b} for k, a, b in scan_text(text, version)])
-                yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.string()), pa.array(found, _STRUCT)], ["blob", "findings"])
-
-    return run
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ledger rows of batches of (blob, rules, text)."""
+    for batch in batches:
+        for part in slices(batch):
+            rules = part.column(1).to_pylist()
+            found = [[{"rule": r, "kind": r.split("@")[0], "start": a, "end": b} for r, a, b in scan_text(t, some)] for t, some in zip(texts_of(part), rules, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, _STRUCT)], ["blob", "rules", "findings"])
 
 
 def blob_of(text: str = "text") -> F.Column:
     """The address of a text."""
-    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    return F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
+
+
+def _wanted(version: str) -> F.Column:
+    return F.array(*map(F.lit, VERSIONS[version]))
+
+
+def unseen(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, text: str = "text") -> DataFrame:
+    """(blob, rules, copies): the blobs of docs, the rules of a set that the ledger lacks for each, and its number of rows."""
+    blobs = docs.select(blob_of(text).alias("blob")).groupBy("blob").agg(F.count("*").alias("copies"))
+    if ledger is None:
+        return blobs.select("blob", _wanted(version).alias("rules"), "copies")
+    seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))  # at most all rules
+    lacking = F.array_except(_wanted(version), F.coalesce("seen", F.array().cast("array<string>")))
+    return blobs.join(seen, "blob", "left").select("blob", lacking.alias("rules"), "copies").where(F.size("rules") > 0)
 
 
 def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, text: str = "text") -> DataFrame:
-    """New ledger rows (blob, version, findings): those that ``ledger`` does not hold yet."""
-    named = docs.select(blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    if ledger is not None:
-        unseen = stored(named.select("blob").distinct().join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti"), "unseen")
-        named = named.join(few(unseen), "blob", "left_semi").select("blob", "text")
-    each = named.mapInArrow(_scan(version), f"blob string, findings {FINDINGS}")
-    return each.groupBy("blob").agg(F.first("findings").alias("findings")).select("blob", F.lit(version).alias("version"), "findings")
+    """New ledger rows: one for each blob of docs that the ledger lacks rules of, scanned once with these rules."""
+    todo = stored(unseen(docs, ledger, version, text), "unseen")
+    texts = docs.select(blob_of(text).alias("blob"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    lone, shared = (todo.where(c).select("blob", "rules") for c in ("copies = 1", "copies > 1"))
+    if ledger is None:  # nothing is known: a blob in one row needs no join
+        alone = texts.join(few(shared.select("blob")), "blob", "left_anti").select("blob", _wanted(version).alias("rules"), "text")
+    else:
+        alone = texts.join(few(lone), "blob").select("blob", "rules", "text")
+    copied = texts.join(few(shared.select("blob")), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text")).join(few(shared), "blob")
+    return alone.unionByName(copied.select("blob", "rules", "text")).mapInArrow(_scan, LEDGER)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
@@ -111,26 +125,30 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return None
-    return spark.read.schema(f"blob string, version string, findings {FINDINGS}").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
 
 
 def update(docs: DataFrame, path: str, version: str = RULE_VERSION, text: str = "text") -> int:
-    """Scans what the ledger at ``path`` lacks of docs under a rule version, appends it, and returns the number of blobs scanned."""
+    """Scans what the ledger at ``path`` lacks of docs, appends it, and returns the number of (blob, rule) pairs scanned."""
     fresh = stored(scan_blobs(docs, read_ledger(docs.sparkSession, path), version, text), "ledger-rows")
     fresh.write.mode("append").parquet(path)
-    return fresh.count()
+    scanned = fresh.agg(F.coalesce(F.sum(F.size("rules")), F.lit(0))).first()[0]
+    discard(fresh)
+    return scanned
 
 
 def _hits(ledger: DataFrame, version: str) -> DataFrame:
-    """Blobs with findings, marked for broadcast if both are counted to be few."""
-    hits = ledger.where((F.col("version") == version) & (F.size("findings") > 0)).select("blob", "findings")
-    n, spans = hits.agg(F.count("*"), F.coalesce(F.sum(F.size("findings")), F.lit(0))).first()
+    """Blobs with findings by the rules of a set, marked for broadcast if both are counted to be few."""
+    own = F.filter("findings", lambda f: F.array_contains(_wanted(version), f["rule"]))
+    rows = ledger.select("blob", own.alias("findings")).where(F.size("findings") > 0)
+    hits = rows.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))  # a blob has at most one row for each rule
+    n, spans = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("findings")), F.lit(0))).first()
     return F.broadcast(hits) if n + spans <= 200_000 else hits
 
 
 def scan(docs: DataFrame, ledger: DataFrame, version: str = RULE_VERSION, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, blob and findings of every row, from a ledger that holds its blobs."""
-    paths = docs.select(F.col(key).alias("key"), blob_of(text).alias("blob"))
+    paths = docs.select(F.col(f"`{key}`").alias("key"), blob_of(text).alias("blob"))
     return paths.join(_hits(ledger, version), "blob", "left").select(F.col("key").alias(key), "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
@@ -163,16 +181,18 @@ def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[secret]", t
 
     Rows, columns and their order stay; texts without findings stay as they are.
     """
-    hits = _hits(_updated(docs, ledger, text), RULE_VERSION).select(F.col("blob").alias("__blob"), F.col("findings").alias("__found"))
+    blob, found = spare(docs, "blob", "found")
+    hits = _hits(_updated(docs, ledger, text), RULE_VERSION).select(F.col("blob").alias(blob), F.col("findings").alias(found))
+    own = F.col(f"`{text}`")
     merged = F.aggregate(
-        F.array_sort(F.transform("__found", lambda x: F.struct(x["start"].alias("a"), x["end"].alias("b")))),
+        F.array_sort(F.transform(F.col(found), lambda x: F.struct(x["start"].alias("a"), x["end"].alias("b")))),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, x: F.struct(
-            F.when(x["a"] >= acc["at"], F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, x["a"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+            F.when(x["a"] >= acc["at"], F.concat(acc["out"], F.substring(own, acc["at"] + 1, x["a"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["at"], x["b"]).alias("at"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))),
+        lambda acc: F.concat(acc["out"], F.substring(own, acc["at"] + 1, F.length(own))),
     )
-    out = docs.withColumn("__blob", blob_of(text)).join(hits, "__blob", "left")
-    changed = F.when(F.col("__found").isNotNull(), merged).otherwise(F.col(text))
-    return out.select(*(changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    out = docs.withColumn(blob, blob_of(text)).join(hits, blob, "left")
+    changed = F.when(F.col(found).isNotNull(), merged).otherwise(own)
+    return out.select(*(changed.alias(c) if c == text else x for c, x in zip(docs.columns, named(docs), strict=True)))

@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 500_000  # of rows of a few numbers each: under 64 MB as a hash table
@@ -28,6 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def named(df: DataFrame) -> list[Column]:
+    """The columns of df by name, whatever signs stand in their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def spare(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def few(df: DataFrame) -> DataFrame:
     """df of narrow rows, marked for broadcast if it is counted to be small enough."""
     return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
