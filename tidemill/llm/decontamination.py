@@ -34,7 +34,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.tables import few, light, stored
+from tidemill.llm.tables import few, light, named, stored
 
 K = 8
 MIN_WORDS = 4
@@ -243,4 +243,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """Rows of docs without a benchmark item, exact, re-parameterised or as an excerpt, unchanged."""
     bad = stored(leaks(docs, benchmark, min_coverage).where("kind <> 'partial' OR coverage >= 0.9").select("doc_id").distinct(), "leaked")
-    return docs.join(few(bad), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(few(bad), "doc_id", "left_anti").select(*named(docs))

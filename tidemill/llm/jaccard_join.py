@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.components import components
-from tidemill.llm.tables import discard, few, first_of_copies, stored
+from tidemill.llm.tables import discard, few, first_of_copies, named, stored
 from tidemill.llm.textbatch import mix, segment_hash, slices, words_of
 
 K = 4
@@ -311,4 +311,4 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """Rows of docs whose document has the smallest doc_id of its component, unchanged."""
     gone = stored(join(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(few(gone), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(few(gone), "doc_id", "left_anti").select(*named(docs))

@@ -293,8 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes:
 
     def chosen(keys: list[str]) -> DataFrame:
         few = docs.sparkSession.createDataFrame([(k,) for k in keys], "id string")
-        rows = docs.join(F.broadcast(few), docs["doc_id"].cast("string") == few["id"])
-        return rows.groupBy("id").agg(F.min(F.coalesce(docs["text"], F.lit(""))).alias("text"))
+        rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+        return rows.join(F.broadcast(few), "id").groupBy("id").agg(F.min("text").alias("text"))
 
     if not ids:
         return train([], [])
