@@ -40,8 +40,8 @@ from tidemill.llm.tables import stored
 from tidemill.llm.textbatch import slices
 
 FOLDS = 10
-WORDS, DIM, PLACES = 2048, 24, 2
-ROUNDS, BATCH, NOISE, RATIO, RATE = 2, 1024, 32, 16.0, 0.1
+WORDS, DIM, PLACES = 4096, 32, 2
+ROUNDS, BATCH, NOISE, RATIO, RATE = 3, 1024, 32, 16.0, 0.1
 HOT, HOT_BYTES = 200_000, 64
 PIECE_BYTES = 4 << 20
 END = "\n"  # no word holds white space
@@ -100,10 +100,16 @@ class Numbers:
 
 
 def numbers(counts: DataFrame, words: int = WORDS, hot: int = HOT) -> Numbers:
-    """The bounded part of the counts that is sent to the tasks: at most ``hot`` words of ``HOT_BYTES`` bytes."""
+    """The bounded part of the counts that is sent to the tasks: words of at most ``HOT_BYTES`` bytes from a
+    count on, the lowest one (in steps of a sixteenth of a power of two) that at most ``hot`` words reach.
+    """
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    step = F.floor(F.log2("n") * 16).cast("int")
     short = counts.where((F.octet_length("word") <= HOT_BYTES) & (F.col("word") != END))
-    top = short.orderBy(F.col("n").desc(), "word").limit(hot).toArrow()
+    levels = sorted(((r[0], r[1]) for r in short.groupBy(step).count().collect()), reverse=True)  # at most 1024 rows
+    reached = np.cumsum([n for _, n in levels]) if levels else np.zeros(0, np.int64)
+    held = int(np.searchsorted(reached, hot, "right"))
+    top = short.where(step >= (levels[held - 1][0] if held else 1 << 20)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     end = counts.where(F.col("word") == END).first()
     names = pa.concat_arrays([pa.array([END]), top["word"].combine_chunks().cast(pa.string())]) if len(top) else pa.array([END])
     n = np.concatenate(([end["n"] if end else 0], top["n"].to_numpy() if len(top) else np.zeros(0, np.int64))).astype(np.int64)
@@ -148,8 +154,8 @@ class Model:
         different, edge = sorted_code[head], np.append(head, len(code))
         adds, targets = self.heads(), np.ascontiguousarray(self.vectors[:-1].T)
         out = np.empty(len(code), np.float64)
-        for low in range(0, len(different), 1024):
-            some = different[low : low + 1024]
+        for low in range(0, len(different), 512):
+            some = different[low : low + 512]
             z = (adds[0][some // (self.size + 1)] + adds[1][some % (self.size + 1)]) @ targets + self.bias
             most = z.max(1)
             norm = most + np.log(np.exp(z - most[:, None]).sum(1))
