@@ -36,7 +36,7 @@ from pyspark.sql.types import StructField, StructType
 
 from tidemill.llm.tables import few, stored
 
-SEGMENT, BLOCK = 256, 16_384
+SEGMENT, BLOCK = 64, 32_768
 BLANKS = " \t\n\x0b\f\r"
 STATES = ("", "s", "u", "a")  # what the kept rows end with
 NEXT = {"": "su", "s": "u", "u": "a", "a": "u"}
