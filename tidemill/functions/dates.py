@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import MAX_INPUT, collapsed, trimmed
+from tidemill.functions.text import MAX_INPUT, collapsed, let, trimmed
 
 # Month and weekday names.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -126,39 +126,56 @@ def parse_range(x: Column) -> Column:
     A part that neither side states is never made up: such values have a reason instead.
     The end may take the month of the start; the year is shared both ways.
     """
-    text = collapsed(F.coalesce(x.cast("string"), F.lit("")))
-    iso_two = rf"(?i)^\s*({_ISO})\s*(?:/|to|–|—|-)\s*({_ISO})\s*$"
-    one, two = F.regexp_extract(text, iso_two, 1).try_cast("date"), F.regexp_extract(text, iso_two, 2).try_cast("date")
-    parts = F.split(text, _SPLIT, 2)
-    both = F.size(parts) == 2
-    left, right = F.get(parts, 0), F.coalesce(F.get(parts, 1), F.lit(""))
-
-    def side(t: Column) -> tuple[Column, Column, Column, Column]:
-        get = lambda n: F.nullif(F.regexp_extract(t, _SIDE, n), F.lit(""))
-        return t.rlike(_SIDE), month_number(get(1)), get(2).try_cast("int"), get(3).try_cast("int")
-
-    lok, lm, ld, ly = side(left)
-    rok, rm, rd, ry = side(right)
-    year_l, year_r, month_r = F.coalesce(ly, ry), F.coalesce(ry, ly), F.coalesce(rm, lm)
-    start, end = built_date(year_l, lm, ld), built_date(year_r, month_r, rd)
-    single = built_date(ly, lm, ld)
-    reason = (
-        F.when(text == "", "empty")
-        .when(text.rlike(iso_two), F.when(one.isNull() | two.isNull(), "invalid_iso_date").when(two < one, "reversed_range"))
-        .when(text.rlike(rf"^{_ISO}$"), F.when(text.try_cast("date").isNull(), "invalid_iso_date"))
-        .when(both, F.when(~(lok & rok), "unparseable").when(lm.isNull() | month_r.isNull(), "missing_month").when(year_l.isNull() | year_r.isNull(), "missing_year").when(start.isNull() | end.isNull(), "invalid_date").when(end < start, "reversed_range"))
-        .otherwise(F.when(~lok, "unparseable").when(lm.isNull(), "missing_month").when(ly.isNull(), "missing_year").when(single.isNull(), "invalid_date"))
-    )
-    form = (
-        F.when(text.rlike(iso_two), "iso_range")
-        .when(text.rlike(rf"^{_ISO}$"), "iso_single")
-        .when(both, F.when(ly.isNotNull() & ry.isNotNull(), "explicit_both").when(rm.isNull(), "shared_month_year").otherwise("shared_year"))
-        .otherwise("single")
-    )
-    first = F.when(text.rlike(iso_two), one).when(text.rlike(rf"^{_ISO}$"), text.try_cast("date")).when(both, start).otherwise(single)
-    last = F.when(text.rlike(iso_two), two).when(both & ~text.rlike(rf"^{_ISO}$"), end)
-    ok = reason.isNull()
-    return F.struct(F.when(ok, first).alias("start"), F.when(ok, last).alias("end"), F.when(ok, form).alias("form"), (~ok & ~reason.isin("empty", "unparseable")).alias("ambiguous"), reason.alias("reason"))
+    return let(collapsed(F.coalesce(x.cast("string"), F.lit(""))), lambda t: let(_tokens(t), lambda p: let(_decision(t, p), lambda d: _range(p, d))))
+
+
+_ISO_TWO = rf"(?i)^({_ISO})\s*(?:/|to|–|—|-)\s*({_ISO})$"
+
+
+def _side(t: Column) -> Column:
+    """struct(month, day, year) of one side of a range, each null if not stated; null if it is no day."""
+    read = F.when(t.rlike(_SIDE), F.split(F.regexp_replace(t, _SIDE, "$1|$2|$3"), r"\|"))  # one capture for all groups
+    get = lambda g, n: F.nullif(F.get(g, n), F.lit(""))
+    return let(read, lambda g: F.when(g.isNotNull(), F.struct(month_number(get(g, 0)).alias("month"), get(g, 1).try_cast("int").alias("day"), get(g, 2).try_cast("int").alias("year"))))
+
+
+def _tokens(text: Column) -> Column:
+    """struct(kind, one, two, left, right, both): what a collapsed text is made of."""
+    two = F.when(text.rlike(_ISO_TWO), F.split(F.regexp_replace(text, _ISO_TWO, "$1|$2"), r"\|"))
+    sides = F.split(text, _SPLIT, 2)
+    kind = lambda iso, parts: F.when(text == "", "empty").when(iso.isNotNull(), "iso_range").when(text.rlike(rf"^{_ISO}$"), "iso_single").when(F.size(parts) == 2, "two").otherwise("one")
+    described = lambda s: F.struct(
+        kind(s["iso"], s["parts"]).alias("kind"), F.coalesce(F.get(s["iso"], 0), text).try_cast("date").alias("first"), F.get(s["iso"], 1).try_cast("date").alias("second"), _side(F.get(s["parts"], 0)).alias("left"), _side(F.get(s["parts"], 1)).alias("right"),
+    )
+    return let(F.struct(two.alias("iso"), sides.alias("parts")), described)
+
+
+def _decision(text: Column, p: Column) -> Column:
+    """struct(start, end, month, year, other_year): the days of both sides with what they share."""
+    left, right = p["left"], p["right"]
+    shared = F.struct(left["month"].alias("lm"), F.coalesce(right["month"], left["month"]).alias("rm"), F.coalesce(left["year"], right["year"]).alias("ly"), F.coalesce(right["year"], left["year"]).alias("ry"))
+    iso = p["kind"].isin("iso_range", "iso_single")
+    return let(
+        shared,
+        lambda s: F.struct(
+            F.when(iso, p["first"]).when(p["kind"] == "two", built_date(s["ly"], s["lm"], left["day"])).otherwise(built_date(left["year"], s["lm"], left["day"])).alias("start"),
+            F.when(p["kind"] == "iso_range", p["second"]).when(p["kind"] == "two", built_date(s["ry"], s["rm"], right["day"])).alias("end"),
+            s["lm"].alias("lm"), s["rm"].alias("rm"), s["ly"].alias("ly"), s["ry"].alias("ry"),
+        ),
+    )
+
+
+def _range(p: Column, d: Column) -> Column:
+    """One decision table over the kind of a text."""
+    kind, reversed_ = p["kind"], d["end"] < d["start"]
+    lost = d["start"].isNull() | (d["end"].isNull() & kind.isin("iso_range", "two"))
+    two = F.when(p["left"].isNull() | p["right"].isNull(), "unparseable").when(d["lm"].isNull() | d["rm"].isNull(), "missing_month").when(d["ly"].isNull() | d["ry"].isNull(), "missing_year").when(lost, "invalid_date").when(reversed_, "reversed_range")
+    one = F.when(p["left"].isNull(), "unparseable").when(d["lm"].isNull(), "missing_month").when(p["left"]["year"].isNull(), "missing_year").when(lost, "invalid_date")
+    iso = F.when(lost, "invalid_iso_date").when(reversed_, "reversed_range")
+    reason = F.when(kind == "empty", "empty").when(kind.isin("iso_range", "iso_single"), iso).when(kind == "two", two).otherwise(one)
+    years = p["left"]["year"].isNotNull() & p["right"]["year"].isNotNull()
+    form = F.when(kind == "two", F.when(years, "explicit_both").when(p["right"]["month"].isNull(), "shared_month_year").otherwise("shared_year")).when(kind == "one", "single").otherwise(kind)
+    return let(reason, lambda r: F.struct(F.when(r.isNull(), d["start"]).alias("start"), F.when(r.isNull(), d["end"]).alias("end"), F.when(r.isNull(), form).alias("form"), (r.isNotNull() & ~r.isin("empty", "unparseable")).alias("ambiguous"), r.alias("reason")))
 
 
 def weekend_of(day: Column) -> Column:
@@ -201,8 +218,8 @@ def prose_dates(x: Column, published: Column) -> Column:
     whole = rf"(?i)\b(?:{_MONTH})\.?\s+\d{{1,2}}(?:,?\s+\d{{4}})?\b"
     one = rf"(?i)^({_MONTH})\.?\s+(\d{{1,2}})(?:,?\s+(\d{{4}}))?$"
     found = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(whole), 0)
-    part = lambda m, n: F.regexp_extract(m, one, n)
-    dates = F.transform(found, lambda m: built_date(F.coalesce(part(m, 3).try_cast("int"), F.year(published)), month_number(part(m, 1)), part(m, 2).try_cast("int")))
+    parts = F.transform(found, lambda m: F.split(F.regexp_replace(m, one, "$1|$2|$3"), r"\|"))
+    dates = F.transform(parts, lambda g: built_date(F.coalesce(F.get(g, 2).try_cast("int"), F.year(published)), month_number(F.get(g, 0)), F.get(g, 1).try_cast("int")))
     return F.array_distinct(F.array_compact(dates))
 
 

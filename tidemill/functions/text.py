@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -13,14 +14,24 @@ MAX_INPUT = 10_000  # fixed value: characters of a value that transforms look at
 MAX_PATTERN = 200  # fixed value: characters of a configured pattern
 
 
+# White space, no-break spaces included.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE_RUN = r"[\x09-\x0d \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x evaluated once, however often it stands in the result."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
 def trimmed(x: Column) -> Column:
     """Without white space at both ends, tabs, line ends and no-break spaces included."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def collapsed(x: Column) -> Column:
     """Runs of white space as one space, trimmed."""
-    return F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), "^ | $", "")
+    return F.btrim(F.regexp_replace(x, _SPACE_RUN, " "))
 
 
 def cleaned(x: Column) -> Column:
@@ -42,13 +53,12 @@ def _folds() -> tuple[dict[str, str], dict[str, str]]:
 def casefold(x: Column) -> Column:
     """Full case folding: the sharp s as ss, the final sigma as sigma."""
     one, many = _folds()
-    low = F.translate(F.lower(x), "".join(one), "".join(one.values()))
-    whole = low
+    low = F.lower(x)
+    whole = F.translate(low, "".join(one), "".join(one.values()))
     for letter, fold in many.items():
         whole = F.replace(whole, F.lit(letter), F.lit(fold))
-    rare = "".join(c for c in many if c != "ß")
-    usual = F.replace(low, F.lit("ß"), F.lit("ss"))
-    return F.when(low.rlike(f"[{rare}]"), whole).otherwise(usual)
+    # In these ranges only the sharp s folds otherwise than to its lower case.
+    return F.when(low.rlike(r"[^\x00-\xb4\xb6-\u0148\u014a-\u017e\u2000-\u20ff]"), whole).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
 
 
 def normalized_title(x: Column) -> Column:
@@ -89,7 +99,7 @@ def slug(x: Column) -> Column:
 
 def without_formula(x: Column) -> Column:
     """A spreadsheet cell without the signs that make it a formula."""
-    return F.regexp_replace(x, r"(?U)^[=+\-@\t\r\s]+", "")
+    return F.ltrim(x, F.lit("=+-@" + SPACES))
 
 
 def name_tokens(x: Column) -> Column:

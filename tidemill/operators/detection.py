@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.dates import looks_dated
 from tidemill.functions.text import html_text, json_key
+from tidemill.functions.trees import keys
 from tidemill.functions.urls import is_telemetry, path, registrable_domain
+from tidemill.operators.discovery import record_array
 from tidemill.operators.relational import reasons
 from tidemill.sources.records import kind_of
 
@@ -36,6 +38,9 @@ FIELD_GROUPS: dict[str, tuple[float, tuple[str, ...]]] = {
 }
 EVENT_TERMS = ("event", "calendar", "listing", "occurrence", "happening", "whatson")
 SUMMARY_TERMS = ("aggregate", "facet", "count", "summary", "filter", "meta")
+# Parts of host names and of paths that measure visitors.
+TELEMETRY_HOSTS = ("analytics", "telemetry", "tracking", "tracker", "pixel", "beacon", "metrics", "adservice", "doubleclick", "pagead", "adserver", "stats.")
+TELEMETRY_PATHS = ("/collect", "/g/collect", "/pixel", "/beacon", "/track", "/telemetry", "/analytics", "/pagead", "/metrics", "/gtm", "/gtag", "/ingest", "/b/ss", "/i/adsct", "/tr", "/log", "/event/track", "/rum")
 COUNT_KEYS = ("total", "totalcount", "count", "numfound", "nbhits", "totalresults", "pagecount", "pages")
 
 
@@ -174,33 +179,26 @@ def report(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col("pattern").isNull()).select(key, why.alias("reason"), F.sha2(F.concat_ws("|", F.col(key).cast("string"), why, F.coalesce("blocked", F.lit("")), F.coalesce("best", F.lit(""))), 256).alias("fingerprint"))
 
 
-def response_score(df: DataFrame, key: str, url: str, body: str, listing: str, arrays: Sequence[str] = ROOTS, telemetry: Sequence[str] = (), threshold: float = 0.45) -> DataFrame:
+def response_score(df: DataFrame, key: str, url: str, body: str, listing: str, telemetry: Sequence[str] = (), threshold: float = 0.45) -> DataFrame:
     """Observed JSON responses as classes: third_party_telemetry, third_party_functional, first_party_event_candidate or first_party_other, with score and root.
 
-    The root is the array with most field groups, then most records, then the first; keys of
-    its first 25 records count, one level of inner objects included.
+    The root is the array of records, wherever it stands in objects, with most field groups, then
+    most records, then the first; keys of its first 25 records count, one level of inner objects
+    included.  Each body is parsed once.
     """
-    doc, p = F.try_parse_json(F.col(body)), F.lower(path(F.col(url)))
-    groups = list(FIELD_GROUPS)
-
-    def describe(root: str) -> Column:
-        nodes = F.filter(F.when(kind_of(doc, root) == "ARRAY", F.try_variant_get(doc, "$" + (f".{root}" if root else ""), "array<variant>")), lambda n: F.schema_of_variant(n).startswith("OBJECT"))
-        outer = lambda n: F.coalesce(F.try_variant_get(n, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-        keys = F.flatten(F.transform(F.slice(nodes, 1, 25), lambda n: F.concat(F.map_keys(outer(n)), F.flatten(F.transform(F.map_values(outer(n)), lambda v: F.map_keys(outer(v)))))))
-        keys = F.transform(keys, json_key)
-        flags = [F.arrays_overlap(keys, F.array(*map(F.lit, FIELD_GROUPS[g][1]))).cast("int") for g in groups]
-        return F.when(F.size(nodes) > 0, F.struct(sum(flags[1:], flags[0]).alias("hits"), F.size(nodes).alias("n"), F.lit(-arrays.index(root)).alias("order"), F.lit(root).alias("root"), sum((f * FIELD_GROUPS[g][0] for f, g in zip(flags, groups, strict=True)), F.lit(0.0)).alias("weight")))
-
-    top = F.transform(F.map_keys(F.coalesce(F.try_variant_get(doc, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))), json_key)
-    rows = df.select(key, url, listing, F.array_max(F.array_compact(F.array(*map(describe, arrays)))).alias("best"), p.alias("p"), F.arrays_overlap(top, F.array(*map(F.lit, COUNT_KEYS))).alias("counted"), (F.col(body).isNull() | F.trim(F.col(body)).isin("", "{}", "[]", "null")).alias("empty"))
+    p = F.lower(path(F.col(url)))
+    parsed = df.select(key, url, listing, F.try_parse_json(F.col(body)).alias("doc"), p.alias("p"), (F.col(body).isNull() | F.trim(F.col(body)).isin("", "{}", "[]", "null")).alias("empty"))
+    top = F.transform(keys(F.col("doc")), json_key)
+    rows = parsed.select(key, url, listing, "p", "empty", record_array(F.col("doc"), {g: names for g, (_, names) in FIELD_GROUPS.items()}).alias("best"), F.arrays_overlap(top, F.array(*map(F.lit, COUNT_KEYS))).alias("counted"))
+    weight = sum((F.when(F.array_contains("best.present", g), w).otherwise(0.0) for g, (w, _) in FIELD_GROUPS.items()), F.lit(0.0))
     own = F.coalesce(registrable_domain(F.col(url)) == registrable_domain(F.col(listing)), F.lit(False))
     add = lambda c, w: F.when(F.coalesce(c, F.lit(False)), w).otherwise(0.0)
-    score = F.lit(0.25) + add(_any(F.col("p"), EVENT_TERMS), 0.1) + F.when(F.col("best.n") >= 2, 0.15).when(F.col("best.n") == 1, 0.05).otherwise(0.0) + F.coalesce("best.weight", F.lit(0.0)) + add(F.col("counted"), 0.05)
+    score = F.lit(0.25) + add(_any(F.col("p"), EVENT_TERMS), 0.1) + F.when(F.col("best.size") >= 2, 0.15).when(F.col("best.size") == 1, 0.05).otherwise(0.0) + F.coalesce(weight, F.lit(0.0)) + add(F.col("counted"), 0.05)
     score = score - add(_any(F.col("p"), SUMMARY_TERMS) & (F.coalesce("best.hits", F.lit(-1)) < 3), 0.15) - add(F.col("empty"), 0.3)
     score = F.when(own, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)).otherwise(0.0)
-    tracked = is_telemetry(F.col(url), telemetry, ("analytics", "telemetry", "tracking", "tracker", "pixel", "beacon", "metrics"), ("/collect", "/pixel", "/beacon", "/track", "/telemetry", "/analytics", "/gtm"))
+    tracked = is_telemetry(F.col(url), telemetry, TELEMETRY_HOSTS, TELEMETRY_PATHS)
     kind = F.when(tracked, "third_party_telemetry").when(~own, "third_party_functional").when(score >= threshold, "first_party_event_candidate").otherwise("first_party_other")
-    return rows.select(key, kind.alias("kind"), F.when(tracked, 0.0).otherwise(score).alias("score"), F.when(own & ~tracked, F.col("best.root")).alias("root"))
+    return rows.select(key, kind.alias("kind"), F.when(tracked, 0.0).otherwise(score).alias("score"), F.when(own & ~tracked, F.col("best.path")).alias("root"))
 
 
 def at_least(limits: Mapping[str, float], at_most: Mapping[str, float] = {}) -> dict[str, Column]:
