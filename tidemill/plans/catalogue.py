@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidemill.plans import bindings, discovery, engagement, listing, onboarding, records, rules, timed, values, writes  # noqa: F401
+from tidemill.plans import bindings, discovery, engagement, inference, listing, onboarding, records, rules, timed, values, writes  # noqa: F401
 from tidemill.plans.registry import ORACLES, QUERIES  # noqa: F401
