@@ -1,6 +1,6 @@
 """Joins with rules, ranks, defaults and caches.
 
-Rule tables are configuration: small, and broadcast only after their rows are counted.
+Rule tables are broadcast only after their rows and bytes are measured.
 """
 
 from __future__ import annotations
@@ -12,19 +12,13 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import casefold, trimmed
 from tidemill.functions.urls import canonical_origin, canonical_url, is_origin_only
-
-MAX_RULES = 100_000
+from tidemill.operators.rule_index import light, text_matches
 
 # Order of rule types, and of kinds of URL matches.
 PRECEDENCE = ("source_mapping", "administrator_mapping", "website_mapping", "venue", "keyword")
 MATCHES = ("listing_url", "base_url", "page_under_origin")
 
 
-def small(df: DataFrame, most: int = MAX_RULES) -> DataFrame:
-    """df marked for broadcast if it is counted to have few rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def first_rule(rows: DataFrame, rules: DataFrame, key: str, fallback: str = "other") -> DataFrame:
     """key, category, rule_id and rule_type of the first rule that matches each row, or the fallback.
 
@@ -32,8 +26,9 @@ def first_rule(rows: DataFrame, rules: DataFrame, key: str, fallback: str = "oth
     rules: rule_id, rule_type, category, priority, website_id, source_value, pattern,
     is_regex, case_sensitive, is_active.  Order: type, higher priority, lower id.
 
-    Rules that compare a value exactly are equi-joins; only text rules meet every row, and
-    the best rule is a minimum of structs, merged map-side.
+    Rules that compare a value exactly are equi-joins; text rules are found through an index of
+    rare grams.  The best rule is a minimum of structs, merged map-side.  There is no bound on
+    the number of rules.
     """
     live = rules.where("is_active").withColumn("rank", F.array_position(F.array(*map(F.lit, PRECEDENCE)), F.col("rule_type")))
     live = live.where("rank > 0").withColumn("value", F.coalesce(trimmed(F.col("source_value")), F.lit("")))
@@ -45,17 +40,12 @@ def first_rule(rows: DataFrame, rules: DataFrame, key: str, fallback: str = "oth
         value = F.col("value") if strict else casefold(F.col("value"))
         mine = own.withColumn("join_value", F.col("source") if strict else casefold(F.col("source")))
         exact = same.where(F.col("rule_type").isin("source_mapping", "administrator_mapping") & (value != "")).select(value.alias("join_value"), order)
-        found.append(mine.join(small(exact), "join_value").select(key, "best"))
+        found.append(mine.join(light(exact), "join_value").select(key, "best"))
         site = same.where(F.col("rule_type") == "website_mapping").select(F.col("website_id"), value.alias("wanted"), order)
-        found.append(mine.join(small(site), "website_id").where("wanted = '' OR wanted = join_value").select(key, "best"))
-        for plain in (True, False):
-            texts = same.where(F.col("rule_type").isin("venue", "keyword") & F.col("pattern").isNotNull() & (F.col("pattern") != "") & (F.col("is_regex") != plain)).select("rule_type", "pattern", order)
-            text = F.when(F.col("rule_type") == "venue", F.col("venue")).otherwise(F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in ("title", "description", "source_category"))))
-            if plain:
-                hit = F.contains(text if strict else casefold(text), F.col("pattern") if strict else casefold(F.col("pattern")))
-            else:
-                hit = F.regexp_like(text, F.col("pattern") if strict else F.concat(F.lit("(?i)"), F.col("pattern")))
-            found.append(own.join(F.broadcast(texts.limit(MAX_RULES)), hit).select(key, "best"))
+        found.append(mine.join(light(site), "website_id").where("wanted = '' OR wanted = join_value").select(key, "best"))
+    both = F.array(F.struct(F.lit("venue").alias("field"), F.col("venue").alias("text")), F.struct(F.lit("keyword").alias("field"), F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in ("title", "description", "source_category"))).alias("text")))
+    texts = own.select(key, F.explode(both).alias("t")).select(key, "t.field", "t.text")
+    found.append(text_matches(texts, live.where(F.col("rule_type").isin("venue", "keyword")).select(F.col("rule_type").alias("field"), "pattern", "is_regex", "case_sensitive", order), key))
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
