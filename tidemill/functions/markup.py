@@ -90,7 +90,7 @@ def elements(every: Column) -> Column:
 
 def attribute(source: Column, name: str) -> Column:
     """The value of an attribute in a tag's source, quoted or not; null without one."""
-    pattern = rf"""(?is)^</?[a-zA-Z][^\s/>]*(?:[^<>"']++|"[^"]*+"|'[^']*+')*?[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    pattern = rf"""(?is)^</?[a-z][^\s/>]*+[\s/]*+(?:[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+[\s/]*+)*?(?<![^\s"'/]){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
     return let(F.regexp_extract(source, pattern, 1), lambda v: F.when(v != "", F.regexp_replace(v, r"""^["']|["']$""", "")))
 
 

@@ -76,20 +76,11 @@ def strip_tags(x: Column, by: str = "") -> Column:
 
 
 def html_text(x: Column) -> Column:
-    """Visible text of markup: scripts, styles, comments and tags out, common entities decoded, collapsed."""
-    bare = F.regexp_replace(x, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", " ")
-    out = F.regexp_replace(bare, r"<[^>]+>", " ")
-    # The common named entities; &amp; last, so nothing is decoded twice.
-    for name, sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("amp", "&")):
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
-    return F.nullif(collapsed(out), F.lit(""))
-
-
-def safe_markup(x: Column) -> Column:
-    """Markup without dangerous elements, event attributes and script URLs."""
-    out = F.regexp_replace(x, r"(?is)<(script|style|iframe|object|embed|form|input|button)\b[^>]*>.*?</\1\s*>|</?(?:script|style|iframe|object|embed|form|input|button)\b[^>]*>", "")
-    out = F.regexp_replace(out, r"""(?is)\s+on[a-z]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "")
-    return F.regexp_replace(out, r"""(?is)\s+(?:href|src)\s*=\s*(?:"\s*(?:javascript|data|vbscript|file|blob):[^"]*"|'\s*(?:javascript|data|vbscript|file|blob):[^']*'|(?:javascript|data|vbscript|file|blob):[^\s>]+)""", "")
+    """Visible text of markup: scripts, styles, comments and tags out, character references decoded once, collapsed."""
+    from tidemill.functions.sanitise import decoded
+
+    bare = F.regexp_replace(x, r"""(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)|<![^>]*>|</?[a-z](?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+>""", " ")
+    return F.nullif(collapsed(decoded(bare)), F.lit(""))
 
 
 def slug(x: Column) -> Column:

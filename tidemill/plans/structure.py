@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemill.functions.sanitise import sanitised
+from tidemill.functions.text import html_text
 from tidemill.operators import structure as S
 from tidemill.plans.registry import query
 from tidemill.sources.tables import table
@@ -30,3 +32,18 @@ def page_elements(spark, d):
 SELECT page_id, selector FROM s""")
 def page_containers(spark, d):
     return S.containers(table(spark, d, "pages"), "page_id", "html").select("page_id", "selector")
+
+
+# Of these pages only paragraphs and their bold beginnings are left open, until the article ends.
+_SAFE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?s)<(script|style)>.*?</(script|style)>', '', 'g'),
+'</article>', repeat('</b></p>', len(regexp_extract_all(html, '<b>')))), '</?(html|head|meta|title|body|nav|div|article|h1|footer)\b[^>]*>', '', 'g')"""
+
+
+@query(f"SELECT page_id, sha256(trim({_SAFE})) AS h FROM pages")
+def sanitised_pages(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(sanitised(F.col("html")), 256).alias("h"))
+
+
+@query(rf"SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace({_BODY}, '<![^>]*>', ' '), '<[^>]*>', ' ', 'g'), '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[\s\x{{85}}\x{{a0}}\x{{3000}}]+', ' ', 'g'))) AS h FROM pages")
+def page_texts(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(html_text(F.col("html")), 256).alias("h"))
