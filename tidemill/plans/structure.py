@@ -47,3 +47,20 @@ def sanitised_pages(spark, d):
 @query(rf"SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace({_BODY}, '<![^>]*>', ' '), '<[^>]*>', ' ', 'g'), '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[\s\x{{85}}\x{{a0}}\x{{3000}}]+', ' ', 'g'))) AS h FROM pages")
 def page_texts(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2(html_text(F.col("html")), 256).alias("h"))
+
+
+def _navigation(d_pages):
+    """The links of each page's navigation as cards."""
+    return S.sibling_groups(d_pages, "page_id", "html").where("tag = 'li'").select("page_id", "parent", "tag", "classes")
+
+
+@query(rf"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1)) AS t FROM pages),
+s AS (SELECT page_id, count(*) AS n, count(DISTINCT href) AS n_href, count(DISTINCT replace(replace(replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '&quot;', chr(34)), '&lt;', '<'), '&amp;', '&')) AS n_text, count(*) FILTER (length(trim(t)) BETWEEN 2 AND 300) AS fine FROM l GROUP BY 1 HAVING count(*) >= 3),
+b AS (SELECT *, 0.1 * 0.4 + 0.18 + 0.09 AS same, 0.1 * (1 / CAST(480 AS DOUBLE)) + 0.04 AS lost FROM s)
+SELECT page_id, 'canonical_url' AS role, 'a' AS selector, 'href' AS attribute, round(0.13 * 0.8 + same + 0.16 + 0.08 * n_href / n - lost - 0.15, 6) AS confidence FROM b WHERE n_href / n >= 0.5
+UNION ALL SELECT page_id, 'title', 'a', NULL, round(0.13 * 0.6 + same + 0.16 * fine / n + 0.08 * n_text / n - lost, 6) FROM b WHERE n_text / n >= 0.5 AND fine / n >= 0.5""")
+def inferred_navigation_fields(spark, d):
+    from tidemill.operators import fields as I
+
+    pages = table(spark, d, "pages")
+    return I.inferred_fields(pages, "page_id", "html", _navigation(pages), "url").select("page_id", "role", "selector", "attribute", "confidence")
