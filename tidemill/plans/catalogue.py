@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidemill.plans import bindings, discovery, engagement, geo_rules, inference, listing, onboarding, records, rules, structure, timed, values, writes  # noqa: F401
+from tidemill.plans import bindings, discovery, engagement, geo_rules, inference, listing, onboarding, records, rules, sinks, structure, timed, values, writes  # noqa: F401
 from tidemill.plans.registry import ORACLES, QUERIES  # noqa: F401
