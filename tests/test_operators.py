@@ -108,6 +108,23 @@ def test_fold_over_a_stream(spark, tmp_path):
     assert sorted((r["id"], r["allowed"]) for r in spark.table("folded").collect()) == [(0, True), (1, True), (2, True), (3, False), (4, True)]
 
 
+def test_stream_state_ends(spark, tmp_path):
+    """A replay gives the batch's answers, state goes when it can not matter any more, late rows come out apart."""
+    source, n = str(tmp_path / "in"), 60
+    e = spark.range(n).select(F.col("id").cast("int").alias("id"), (F.col("id") % 20).cast("string").alias("k"), F.timestamp_seconds(F.col("id") * 10 + 1_700_000_000).alias("at"))
+    e = e.unionByName(e.where("id >= 40").select((F.col("id") + 100).alias("id"), "k", F.expr("at + INTERVAL 2 SECONDS").alias("at")))
+    for low, high in ((0, 20), (20, 40), (40, 60)):
+        e.where((F.col("id") % 100 >= low) & (F.col("id") % 100 < high)).coalesce(1).write.mode("append").parquet(source)
+    spark.createDataFrame([(900, "19", 590 + 1_700_000_000 - 3)], "id int, k string, t long").select("id", "k", F.timestamp_seconds("t").alias("at")).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    q = S.fold_stream(stream, "k", "at", "id", S.cooldown, 5, keep=5, late=5).writeStream.format("memory").queryName("ending").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = {r["id"]: (r["allowed"], r["late"]) for r in spark.table("ending").collect()}
+    want = {r["id"]: (r["allowed"], False) for r in S.fold(e, "k", "at", "id", S.cooldown, 5).collect()}
+    assert got.pop(900) == (None, True) and got == want
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 21 and q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 3
+
+
 def test_windows_over_a_stream(spark, tmp_path):
     from tidemill.streaming.windows import counts
 

@@ -153,26 +153,47 @@ def fold(df: DataFrame, key: str, at: str, tie: str, step: Callable[..., Step],
     return rows.repartition("__k").sortWithinPartitions("__k", "__t", tie).mapInPandas(run, schema)
 
 
-def fold_stream(df: DataFrame, key: str, at: str, tie: str, step: Callable[..., Step], *args, value: str | None = None) -> DataFrame:
+def fold_stream(df: DataFrame, key: str, at: str, tie: str, step: Callable[..., Step], *args, value: str | None = None, keep: float | None = None, late: float = 0) -> DataFrame:
     """fold over a stream: rows of one micro-batch are ordered, and batches follow one another.
 
-    A row that comes after a later one of its key, from an earlier batch, is judged when it comes.
+    With ``keep``, a key's state ends once the watermark, ``late`` seconds behind the latest row,
+    is ``keep`` seconds past the key's last row: choose at least the step's own span, and no
+    answer changes.  A row that comes after a later one of its key, from an earlier batch, is
+    then no part of the fold: it comes out with ``late`` true and nothing else.  Rows behind the
+    watermark are left out and counted by Spark.  Without ``keep`` state is kept for ever, and such
+    a row is judged when it comes.
     """
-    rows = df.where(F.col(at).isNotNull()).select(F.col(key), F.col(at), F.col(tie), F.unix_micros(F.col(at).cast("timestamp")).alias("__t"), (F.col(value) if value else F.lit(None).cast("string")).alias("__v"))
+    source = df if keep is None else df.withWatermark(at, f"{late} seconds")
+    rows = source.where(F.col(at).isNotNull()).select(F.col(key), F.col(at), F.col(tie), F.unix_micros(F.col(at).cast("timestamp")).alias("__t"), (F.col(value) if value else F.lit(None).cast("string")).alias("__v"))
     schema = StructType([rows.schema[c] for c in (key, at, tie)]).add("allowed", "boolean").add("detail", "long")
+    schema = schema if keep is None else schema.add("late", "boolean")
 
     def run(_, batches: Iterator[pd.DataFrame], kept) -> Iterator[pd.DataFrame]:
-        one, state = step(*args), json.loads(kept.get[0]) if kept.exists else None
+        if kept.hasTimedOut:
+            kept.remove()
+            return
+        one = step(*args)
+        state, last = json.loads(kept.get[0]) if kept.exists else (None, None)
         b = pd.concat(list(batches)).sort_values(["__t", tie], kind="stable")
-        allowed, detail = [], []
+        allowed, detail, behind = [], [], []
         for t, v in zip(b["__t"], b["__v"], strict=True):
+            behind.append(keep is not None and last is not None and int(t) < last)
+            if behind[-1]:
+                allowed.append(None)
+                detail.append(None)
+                continue
             state, ok, n = one(state, int(t), _plain(v))
+            last = int(t)
             allowed.append(ok)
             detail.append(n)
-        kept.update((json.dumps(state),))
-        yield b[[key, at, tie]].assign(allowed=allowed, detail=detail)
-
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+        kept.update((json.dumps([state, last]),))
+        if keep is not None:
+            kept.setTimeoutTimestamp(max(last // 1000 + int(keep * 1000), kept.getCurrentWatermarkMs()) + 1)
+        out = b[[key, at, tie]].assign(allowed=pd.array(allowed, "boolean"), detail=pd.array(detail, "Int64"))
+        yield out if keep is None else out.assign(late=behind)
+
+    timeout = GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", timeout)
 
 
 def due(df: DataFrame, now: str, next_run: str = "next_run_at", paused: str = "paused", running: str = "running", heartbeat: str = "lock_heartbeat_at", stale: int = 600) -> DataFrame:
