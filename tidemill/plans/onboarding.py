@@ -67,14 +67,15 @@ def article_dates(spark, d):
     return P.dated_lines(table(spark, d, "orders").select("o_orderkey", text.alias("text"), day.alias("published")), "o_orderkey", "text", "published")
 
 
-@query("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, make_date(CAST(year(o_orderdate) AS BIGINT) + CASE WHEN CAST(o_orderdate AS DATE) > make_date(CAST(year(o_orderdate) AS BIGINT), 6, 15) THEN 1 ELSE 0 END, 6, 15) AS z FROM orders WHERE o_orderkey % 20 < 3), i AS (SELECT *, CAST(unnest(range(0, 61)) AS INTEGER) AS i FROM o)
-SELECT o_orderkey, CAST(a + 7 * i AS DATE) AS day FROM i WHERE o_orderkey % 20 = 0 AND CAST(a + 7 * i AS DATE) <= z UNION ALL SELECT o_orderkey, a FROM o WHERE o_orderkey % 20 = 1
-UNION ALL SELECT o_orderkey, m FROM (SELECT o_orderkey, z, CASE WHEN day(a + to_months(i)) = day(a) THEN CAST(a + to_months(i) AS DATE) ELSE make_date(CAST(year(a + to_months(i)) AS BIGINT), CAST(month(a + to_months(i)) AS BIGINT), 28) END AS m FROM i WHERE o_orderkey % 20 = 2) WHERE m <= z""")
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 20 AS r, CAST(o_orderdate AS DATE) AS a, make_date(CAST(year(o_orderdate) AS BIGINT) + CASE WHEN CAST(o_orderdate AS DATE) > make_date(CAST(year(o_orderdate) AS BIGINT), 6, 15) THEN 1 ELSE 0 END, 6, 15) AS z FROM orders),
+m AS (SELECT o_orderkey, a, z, i, CAST(date_trunc('month', a) + to_months(i) AS DATE) AS f FROM (SELECT *, CAST(unnest(range(0, 13)) AS INTEGER) AS i FROM o WHERE r BETWEEN 6 AND 9)),
+c AS (SELECT o_orderkey, z, f, a, bool_or(day(last_day(f)) < day(a)) OVER (PARTITION BY o_orderkey ORDER BY i) AS short FROM m)
+SELECT o_orderkey, CAST(unnest(generate_series(a, z, INTERVAL 7 DAY)) AS DATE) AS day FROM o WHERE r < 5 UNION ALL SELECT o_orderkey, CAST(unnest(generate_series(a, a + 90, INTERVAL 1 DAY)) AS DATE) FROM o WHERE r = 5
+UNION ALL SELECT o_orderkey, CAST(f + CASE WHEN short THEN 27 ELSE CAST(day(a) AS INTEGER) - 1 END AS DATE) AS d FROM c WHERE f + CASE WHEN short THEN 27 ELSE CAST(day(a) AS INTEGER) - 1 END <= z UNION ALL SELECT o_orderkey, a FROM o WHERE r > 9""")
 def prose_recurrence(spark, d):
-    k = F.col("o_orderkey")
-    text = F.when(k % 20 == 0, "Weekly until June 15").when(k % 20 == 1, "Just once").otherwise("Held monthly through Jun. 15 in the hall")
-    o = table(spark, d, "orders").where(k % 20 < 3)
-    return o.select(k, F.explode(P.text_recurrence(text, F.col("o_orderdate").cast("date"))).alias("day"))
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    text = F.when(k % 20 < 5, "Weekly until June 15").when(k % 20 == 5, F.concat(F.lit("Open daily thru "), F.date_format(F.date_add(day, 90), "MMM d"), F.lit(", all welcome"))).when(k % 20 < 10, "Held monthly through Jun. 15 in the hall").otherwise("Just once")
+    return table(spark, d, "orders").select(k, F.explode(P.text_recurrence(text, day)).alias("day"))
 
 
 @query("SELECT c_custkey, concat_ws(',', CASE WHEN c_mktsegment <> 'BUILDING' THEN 'not onboarded' END, CASE WHEN c_acctbal <= 0 THEN 'not active' END, CASE WHEN c_custkey % 9 = 0 THEN 'archived' END, CASE WHEN c_custkey % 7 = 0 THEN 'no city' WHEN c_nationkey % 2 = 0 THEN 'city not active' END, CASE WHEN c_custkey % 5 = 0 THEN 'no approved configuration' END, CASE WHEN c_custkey % 4 = 0 THEN 'no schedule' WHEN c_custkey % 4 = 1 THEN 'schedule disabled' END) AS reasons FROM customer")
@@ -95,23 +96,23 @@ def policy_decisions(spark, d):
     return N.decide(rows, "c_custkey", {"c_acctbal": 500}, {"c_nationkey": 20}, {"pattern not allowed": k % 3 == 0}).select("c_custkey", "decision", F.array_join("failed", ",").alias("failed"))
 
 
-@query("SELECT o_orderkey, least(3 + o_custkey % 3, 4) AS score, CAST(3 + o_custkey % 3 AS BIGINT) AS n FROM orders WHERE o_orderkey % 25 = 0")
+@query("SELECT o_orderkey, least(3 + o_custkey % 3, 4) AS score, CAST(3 + o_custkey % 3 AS BIGINT) AS n FROM orders")
 def html_card_groups(spark, d):
     k = F.col("o_orderkey")
     card = lambda link, day: F.concat(F.lit('<li class="b a">'), F.lit('<a href="/e">x</a>') if link else F.lit("x"), F.lit(" May 5, 2026" if day else ""), F.lit("</li>"))
     many = F.repeat(card(True, True), 3)
     rest = F.repeat(card(True, True), 1)
     extra = F.when(F.col("o_custkey") % 3 == 0, "").when(F.col("o_custkey") % 3 == 1, rest).otherwise(F.concat(rest, card(True, False)))
-    docs = table(spark, d, "orders").where(k % 25 == 0).select(k, F.concat(F.lit('<ul><li class="nav"><a href="/">y</a></li>'), many, extra, F.lit("</ul>")).alias("body"))
+    docs = table(spark, d, "orders").select(k, F.concat(F.lit('<ul><li class="nav"><a href="/">y</a></li>'), many, extra, F.lit("</ul>")).alias("body"))
     return N.html_groups(docs, "o_orderkey", "body").select("o_orderkey", F.col("score").cast("long").alias("score"), "n")
 
 
-@query("SELECT o_orderkey, CAST(i AS INTEGER) AS idx, 'Order ' || o_orderpriority AS title, 'http://s.example/e/' || o_orderkey AS canonical_url, CASE WHEN i = 1 THEN NULL ELSE 'Hall' END AS venue, strftime(o_orderdate, '%Y-%m-%d') AS start_datetime FROM orders, (VALUES (0), (1)) AS t(i) WHERE o_orderkey % 25 = 0")
+@query("SELECT o_orderkey, CAST(i AS INTEGER) AS idx, 'Order ' || o_orderpriority AS title, 'http://s.example/e/' || o_orderkey AS canonical_url, CASE WHEN i = 1 THEN NULL ELSE 'Hall' END AS venue, strftime(o_orderdate, '%Y-%m-%d') AS start_datetime FROM orders, (VALUES (0), (1)) AS t(i)")
 def html_cards(spark, d):
     from tidemill.sources.cards import cards
 
     k = F.col("o_orderkey")
     one = lambda hall: F.concat(F.lit('<div class="event-card x"><h3 class="event-title"><a href="/e/'), k.cast("string"), F.lit('">Order <b>'), F.col("o_orderpriority"), F.lit('</b></a></h3><time datetime="'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('">some day</time>' + ("<span class=venue>Hall</span>" if hall else "") + "<br></div>"))
-    docs = table(spark, d, "orders").where(k % 25 == 0).select(k, F.concat(F.lit('<div class="event-list"><p class="event-card">no</p>'), one(True), one(False), F.lit('</div><div class="event-card">outside</div>')).alias("html"), F.lit("http://s.example/list").alias("url"))
+    docs = table(spark, d, "orders").select(k, F.concat(F.lit('<div class="event-list"><p class="event-card">no</p>'), one(True), one(False), F.lit('</div><div class="event-card">outside</div>')).alias("html"), F.lit("http://s.example/list").alias("url"))
     found = cards(docs, "o_orderkey", "html", "url", "div.event-list > div.event-card", {"title": "h3.event-title", "canonical_url": "h3 a[href]@href", "venue": "span.venue, .none", "start_datetime": "time@datetime"})
     return found.drop("node_hash")

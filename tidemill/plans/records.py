@@ -9,18 +9,17 @@ from tidemill.plans.registry import query
 from tidemill.sources import records as X
 from tidemill.sources.tables import table
 
-_SOME = "o_orderkey % 10 = 0"
 
 
 def _packed(spark, d, one, root):
     """Documents of all orders of a customer: (o_custkey, body), with a text among the objects."""
-    o = table(spark, d, "orders").where(_SOME)
+    o = table(spark, d, "orders")
     items = F.array_sort(F.collect_list(F.struct("o_orderkey", F.to_json(one, {"ignoreNullFields": "false"}).alias("j"))))
     body = F.concat(F.lit('["not an object",'), F.array_join(F.transform(items, lambda x: x["j"]), ","), F.lit("]"))
     return o.groupBy("o_custkey").agg(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in root(body))).alias("body"))
 
 
-@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS external_source_id, 'Order ' || o_orderpriority AS title, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || CASE WHEN o_orderkey % 20 = 0 THEN '' ELSE 'T19:30:00' END AS start_datetime, CASE WHEN o_orderkey % 30 = 0 THEN NULL ELSE 'http://i/' || o_orderkey END AS image, 'Hall ' || o_custkey AS venue, concat_ws(', ', CASE WHEN o_orderkey % 40 = 0 THEN NULL ELSE 'Main 1' END, 'Town') AS address FROM orders WHERE {_SOME}")
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS external_source_id, 'Order ' || o_orderpriority AS title, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || CASE WHEN o_orderkey % 20 = 0 THEN '' ELSE 'T19:30:00' END AS start_datetime, CASE WHEN o_orderkey % 30 = 0 THEN NULL ELSE 'http://i/' || o_orderkey END AS image, 'Hall ' || o_custkey AS venue, concat_ws(', ', CASE WHEN o_orderkey % 40 = 0 THEN NULL ELSE 'Main 1' END, 'Town') AS address FROM orders")
 def json_calendar(spark, d):
     k = F.col("o_orderkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -33,65 +32,65 @@ def json_calendar(spark, d):
     return X.calendar(docs, "o_custkey", "body").select("external_source_id", "title", "start_datetime", "image", "venue", "address")
 
 
-@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS external_source_id, 'P ' || o_orderpriority AS title, '<p>' || o_orderstatus || '</p>' AS description, 'http://x/' || o_orderkey AS canonical_url FROM orders WHERE {_SOME}")
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS external_source_id, 'P ' || o_orderpriority AS title, '<p>' || o_orderstatus || '</p>' AS description, 'http://x/' || o_orderkey AS canonical_url FROM orders")
 def json_posts(spark, d):
     k = F.col("o_orderkey")
     one = F.struct(k.alias("id"), F.struct(F.concat(F.lit("P "), "o_orderpriority").alias("rendered")).alias("title"), F.struct(F.concat(F.lit("<p>"), "o_orderstatus", F.lit("</p>")).alias("rendered")).alias("content"), F.concat(F.lit("http://x/"), k.cast("string")).alias("link"))
     return X.posts(_packed(spark, d, one, lambda b: (b,)), "o_custkey", "body").select("external_source_id", "title", "description", "canonical_url")
 
 
-@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS external_source_id, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || CASE WHEN o_orderkey % 20 = 0 THEN '' ELSE 'T00:00:00' END AS start_datetime, CASE WHEN o_orderkey % 30 = 0 THEN 'plain.png' ELSE 'md' || o_orderkey END AS image, CASE WHEN o_orderkey % 40 = 0 THEN NULL ELSE 'Group ' || o_orderstatus END AS source_category FROM orders WHERE {_SOME}")
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS external_source_id, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || CASE WHEN o_orderkey % 20 = 0 THEN '' ELSE 'T00:00:00' END AS start_datetime, CASE WHEN o_orderkey % 30 = 0 THEN 'plain.png' ELSE 'md' || o_orderkey END AS image, CASE WHEN o_orderkey % 40 = 0 THEN NULL ELSE 'Group ' || o_orderstatus END AS source_category FROM orders")
 def json_offset_feed(spark, d):
     k = F.col("o_orderkey")
     image = F.when(k % 30 == 0, F.lit('"plain.png"')).otherwise(F.concat(F.lit('{"md": "md'), k.cast("string"), F.lit('", "lg": "", "sm": "small"}')))
     groups = F.when(k % 40 == 0, "[]").otherwise(F.concat(F.lit('[{"title": "Group '), F.col("o_orderstatus"), F.lit('"}]')))
     seconds = F.unix_date(F.col("o_orderdate").cast("date")).cast("long") * 86400
     text = F.concat(F.lit('{"id": null, "event_id": '), k.cast("string"), F.lit(', "date_ts": '), seconds.cast("string"), F.lit(', "all_day": '), (k % 20 == 0).cast("string"), F.lit(', "photo": '), image, F.lit(', "groups": '), groups, F.lit("}"))
-    o = table(spark, d, "orders").where(_SOME)
+    o = table(spark, d, "orders")
     docs = o.groupBy("o_custkey").agg(F.concat(F.lit('{"events": [1, '), F.array_join(F.array_sort(F.collect_list(text)), ","), F.lit("]}")).alias("body"))
     return X.offset_feed(docs, "o_custkey", "body").select("external_source_id", "start_datetime", "image", "source_category")
 
 
-@query(f"SELECT CASE WHEN o_orderkey % 20 = 0 THEN 'r' || o_orderkey ELSE CAST(o_orderkey AS VARCHAR) END AS external_source_id, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS start_datetime, CASE WHEN o_orderkey % 30 = 0 THEN NULL ELSE 'Place ' || o_orderstatus END AS venue, CASE WHEN o_orderkey % 40 = 0 THEN 'http://ok/' END AS image, 'A|' || o_orderpriority AS categories, 'A' AS source_category, 'Town' AS address FROM orders WHERE {_SOME}")
+@query(f"SELECT CASE WHEN o_orderkey % 20 = 0 THEN 'r' || o_orderkey ELSE CAST(o_orderkey AS VARCHAR) END AS external_source_id, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS start_datetime, CASE WHEN o_orderkey % 30 = 0 THEN NULL ELSE 'Place ' || o_orderstatus END AS venue, CASE WHEN o_orderkey % 40 = 0 THEN 'http://ok/' END AS image, 'A|' || o_orderpriority AS categories, 'A' AS source_category, 'Town' AS address FROM orders")
 def json_nested_docs(spark, d):
     k = F.col("o_orderkey")
     text = F.concat(
         F.when(k % 20 == 0, F.concat(F.lit('{"recid": "r'), k.cast("string"), F.lit('", "_id": "z"'))).otherwise(F.concat(F.lit('{"recid": "", "id": '), k.cast("string"))), F.lit(', "date": "'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('", "startDate": ""'),
         F.when(k % 30 == 0, ', "location": {"size": 3}').otherwise(F.concat(F.lit(', "location": [{"label": "Place '), F.col("o_orderstatus"), F.lit('"}]'))), F.lit(', "city": "Town", "media_raw": [{"url": "javascript:x", "src": '), F.when(k % 40 == 0, '" http://ok/ "').otherwise("false"), F.lit('}], "categories": [" A ", {"name": "A"}, 4, {"label": "'), F.col("o_orderpriority"), F.lit('"}]}'),
     )
-    o = table(spark, d, "orders").where(_SOME)
+    o = table(spark, d, "orders")
     docs = o.groupBy("o_custkey").agg(F.concat(F.lit('{"docs": {"count": 1, "docs": ["x", '), F.array_join(F.array_sort(F.collect_list(text)), ","), F.lit("]}}")).alias("body"))
     return X.nested_docs(docs, "o_custkey", "body").select("external_source_id", "start_datetime", "venue", "image", "categories", "source_category", "address")
 
 
-@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS external_source_id, o_orderpriority AS title, o_orderstatus AS venue FROM orders WHERE {_SOME}")
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS external_source_id, o_orderpriority AS title, o_orderstatus AS venue FROM orders")
 def json_hits(spark, d):
     one = F.struct(F.col("o_orderkey").cast("string").alias("objectID"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("venue"))
     return X.hits(_packed(spark, d, one, lambda b: ('{"nbHits": 1, "hits": ', b, "}")), "o_custkey", "body").select("external_source_id", "title", "venue")
 
 
-@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS external_source_id, o_orderpriority AS title FROM orders WHERE {_SOME}")
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS external_source_id, o_orderpriority AS title FROM orders")
 def script_records(spark, d):
     one = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"))
     docs = _packed(spark, d, one, lambda b: ('<html><script>var x = "</p>";</script><script type="application/json">{"a": {"events": ', b, '}}</script><script type="application/json">{broken</script></html>'))
     return X.script_json(docs, "o_custkey", "body", root="a.events").select("external_source_id", "title")
 
 
-@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS external_source_id, o_orderpriority AS title FROM orders WHERE {_SOME}")
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS external_source_id, o_orderpriority AS title FROM orders")
 def page_data_records(spark, d):
     one = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"))
     docs = _packed(spark, d, one, lambda b: ('<script id="__NEXT_DATA__" type="application/json">{"props": {"pageProps": {"events": ', b, "}}}</script>"))
     return X.page_data(docs, "o_custkey", "body", "props.pageProps.events").select("external_source_id", "title")
 
 
-@query(f"SELECT 'N ' || o_orderkey AS title, CASE WHEN o_orderkey % 20 = 0 THEN 'Hall' END AS venue, CASE WHEN o_orderkey % 20 = 0 THEN '1 St, Town' ELSE 'plain' END AS address, 'i' || o_orderkey AS image, CASE WHEN o_orderkey % 30 = 0 THEN 'http://offer/' ELSE 'http://e/' || o_orderkey END AS canonical_url FROM orders WHERE {_SOME}")
+@query(f"SELECT 'N ' || o_orderkey AS title, CASE WHEN o_orderkey % 20 = 0 THEN 'Hall' END AS venue, CASE WHEN o_orderkey % 20 = 0 THEN '1 St, Town' ELSE 'plain' END AS address, 'i' || o_orderkey AS image, CASE WHEN o_orderkey % 30 = 0 THEN 'http://offer/' ELSE 'http://e/' || o_orderkey END AS canonical_url FROM orders")
 def linked_data_records(spark, d):
     k = F.col("o_orderkey")
     node = F.concat(
         F.lit('{"@type": '), F.when(k % 20 == 0, '["Thing", "MusicEvent"]').otherwise('"event"'), F.lit(', "name": "N '), k.cast("string"), F.lit('", "image": '), F.when(k % 20 == 0, F.concat(F.lit('[{"url": "i'), k.cast("string"), F.lit('"}]'))).otherwise(F.concat(F.lit('"i'), k.cast("string"), F.lit('"'))),
         F.lit(', "location": '), F.when(k % 20 == 0, '{"name": "Hall", "address": {"streetAddress": "1 St", "addressLocality": "Town", "postalCode": ""}}').otherwise('{"address": "plain"}'), F.when(k % 30 != 0, F.concat(F.lit(', "url": "http://e/'), k.cast("string"), F.lit('"'))).otherwise(', "offers": {"url": "http://offer/"}'), F.lit("}"),
     )
-    o = table(spark, d, "orders").where(_SOME)
+    o = table(spark, d, "orders")
     docs = o.groupBy("o_custkey").agg(F.concat(F.lit('<script type="application/ld+json">{bad</script><SCRIPT type="application/ld+json">[{"@graph": [{"@type": "Organization", "name": "x"}, '), F.array_join(F.array_sort(F.collect_list(node)), ","), F.lit("]}]</SCRIPT>")).alias("body"))
     return X.linked_data(docs, "o_custkey", "body", offers_as_url=True).select("title", "venue", "address", "image", "canonical_url")
 
@@ -124,10 +123,10 @@ def json_props(spark, d):
     return e.select("event_id", X.value(F.col("v"), "k", "bigint").alias("k"), kind.alias("kind"), X.value(F.col("v"), "missing.x[0]").isNotNull().alias("other"))
 
 
-@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS external_source_id, 'Order ' || o_orderpriority AS title, CASE o_orderkey % 4 WHEN 2 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS start_date, CASE WHEN o_orderkey % 4 = 0 THEN '19:30:00' END AS start_time, 'http://site.example/e/' || o_orderkey AS canonical_url, CASE WHEN o_orderkey % 4 = 2 THEN 'date_range_ambiguous:missing_year,unparseable_start_date:May 1' ELSE '' END AS warnings FROM orders WHERE {_SOME}")
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS external_source_id, 'Order ' || o_orderpriority AS title, CASE o_orderkey % 4 WHEN 2 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS start_date, CASE WHEN o_orderkey % 4 = 0 THEN '19:30:00' END AS start_time, 'http://site.example/e/' || o_orderkey AS canonical_url, CASE WHEN o_orderkey % 4 = 2 THEN 'date_range_ambiguous:missing_year,unparseable_start_date:May 1' ELSE '' END AS warnings FROM orders")
 def normalized_candidates(spark, d):
     k = F.col("o_orderkey")
-    o = table(spark, d, "orders").where(_SOME)
+    o = table(spark, d, "orders")
     start = F.when(k % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'19:30:00".replace("19:30:00", "'19:30:00'").replace("'T''19:30:00'", "'T19:30:00'"))).when(k % 4 == 2, "May 1").otherwise(F.date_format("o_orderdate", "MMM d, yyyy"))
     raw = o.select(k.cast("string").alias("external_source_id"), F.concat(F.lit("  Order\t "), "o_orderpriority").alias("title"), start.alias("start_datetime"), F.concat(F.lit("e/"), k.cast("string")).alias("canonical_url"), F.lit("http://site.example/list?x=1").alias("page"))
     return normalize(raw, "page").select("external_source_id", "title", "start_date", "start_time", "canonical_url", F.array_join("warnings", ",").alias("warnings"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import dates as D
+from tidemill.functions.text import let
 from tidemill.functions.urls import absolute, with_param
 from tidemill.operators.relational import first_wins, until_stop
 from tidemill.sources.records import kind_of, value
@@ -71,18 +72,31 @@ def safe_headers(headers: Column, allowed: Sequence[str] = ("accept", "accept-la
     return F.map_filter(F.transform_keys(headers, lambda k, _: F.lower(k)), lambda k, _: k.isin(*allowed))
 
 
-def text_recurrence(text: Column, start: Column, most: int = 60) -> Column:
-    """Dates of prose like "weekly until May 3": steps of a day, a week or a month from the start; the start alone without such words."""
-    m = r"(?i)\b(daily|weekly|monthly)\b.*?\b(?:until|through|thru)\s+([A-Za-z]+)\.?\s+(\d{1,2})"
-    unit, month, day = (F.regexp_extract(text, m, n) for n in (1, 2, 3))
-    this = D.built_date(F.year(start), D.month_number(month), day.try_cast("int"))
-    end = F.when(this < start, F.add_months(this, 12)).otherwise(this)  # a day before the start is one of next year
-    steps = F.sequence(F.lit(0), F.lit(most))
-    dates = F.when(F.lower(unit) == "daily", F.transform(steps, lambda i: F.date_add(start, i.cast("int")))).when(F.lower(unit) == "weekly", F.transform(steps, lambda i: F.date_add(start, (i * 7).cast("int"))))
-    # A month without the day of the start takes its 28th.
-    monthly = F.transform(steps, lambda i: F.when(F.day(F.add_months(start, i.cast("int"))) == F.day(start), F.add_months(start, i.cast("int"))).otherwise(D.built_date(F.year(F.add_months(start, i.cast("int"))), F.month(F.add_months(start, i.cast("int"))), F.lit(28))))
-    dates = dates.when(F.lower(unit) == "monthly", monthly)
-    return F.when(end.isNotNull(), F.filter(dates, lambda d: d <= end)).otherwise(F.array(start))
+def text_recurrence(text: Column, start: Column, today: Column | None = None) -> Column:
+    """Dates of prose like "weekly until May 3": steps of a day, a week or a month from the start to the end, which is
+    less than a year away; the start alone without such words.
+
+    A month without the day takes its 28th, and so do all after it.  With ``today``, days before it
+    are left out, and the start stands alone if none is left.
+    """
+    m = r"(?is)^.*?\b(daily|weekly|monthly)\b.*?\b(?:until|through|thru)\s+([A-Za-z]+)\.?\s+(\d{1,2}).*$"
+    words = F.when(text.rlike(m), F.split(F.regexp_replace(text, m, "$1|$2|$3"), r"\|"))
+
+    def dates(w: Column, end: Column) -> Column:
+        unit, day = F.lower(F.get(w, 0)), F.day(start)
+        first = F.trunc(start, "MM")
+        months = F.transform(F.sequence(F.lit(0), F.months_between(F.trunc(end, "MM"), first).cast("int")), lambda i: F.add_months(first, i))
+        short = F.array_position(F.transform(months, lambda x: F.day(F.last_day(x)) < day), F.lit(True))  # 0: no month is too short
+        monthly = let(months, lambda ms: F.transform(ms, lambda x, i: F.date_add(x, F.when((short == 0) | (i + 1 < short), day - 1).otherwise(27))))
+        every = F.when(unit == "daily", F.sequence(start, end, F.expr("INTERVAL 1 DAY"))).when(unit == "weekly", F.sequence(start, end, F.expr("INTERVAL 7 DAY"))).otherwise(F.filter(monthly, lambda x: x <= end))
+        left = every if today is None else F.filter(every, lambda x: x >= today)
+        return F.when(end >= start, let(left, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(start)))).otherwise(F.array(start))
+
+    def ended(w: Column) -> Column:
+        this = D.built_date(F.year(start), D.month_number(F.get(w, 1)), F.get(w, 2).try_cast("int"))
+        return F.when(this < start, F.add_months(this, 12)).otherwise(this)  # a day before the start is one of next year
+
+    return let(words, lambda w: let(ended(w), lambda end: F.coalesce(dates(w, end), F.array(start))))
 
 
 def dated_lines(df: DataFrame, key: str, text: str, published: str) -> DataFrame:
