@@ -80,3 +80,14 @@ def test_articles_inside_comments_and_asides_are_no_main_text(aside):
 
 def test_a_slash_does_not_close_an_element():
     assert html_extraction.main_text(f"<article><p>{WORDS}</p></article><div class=comments /><p>{REMARK}</p></div>").count("remark") == 0
+
+
+def test_many_shards_in_few_tasks(spark, monkeypatch):
+    """Substring dedup takes its shards one after the other: the rows are the same."""
+    from tidemill.llm import substring_dedup
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = plain(substring_dedup.digests(docs))
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(substring_dedup, "MAX_TASKS", 2)
+    assert plain(substring_dedup.digests(docs)) == whole

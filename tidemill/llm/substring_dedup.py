@@ -27,7 +27,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -40,6 +40,7 @@ from tidemill.llm.textbatch import Words, mix, segment_hash, slices, texts_of, u
 
 SPAN, K = 50, 25
 SHARD_BYTES = 4 << 20
+MAX_TASKS = 4000  # of a shuffle, however many shards there are: a task takes its shards one after the other
 _CODES = 1_100_000  # characters that stand for words; hits are verified, so words may share one
 
 
@@ -69,6 +70,26 @@ def _emit_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], ["h", "doc_id", "s"])
 
 
+def _one_by_one(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """work for one shard after the other, over batches sorted by their second column, the shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for b in batches:
+            shard = b.column(1).to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else np.zeros(0, np.int64)
+            for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)], strict=True) if len(cuts) else ():
+                if held and shard[low] != now:
+                    yield from work(iter(held))
+                    held = []
+                now = shard[low]
+                held.append(b.slice(low, high - low))
+        if held:
+            yield from work(iter(held))
+
+    return run
+
+
 def _second(h: np.ndarray) -> np.ndarray:
     """An independent hash of each word, for a second hash of windows."""
     return mix(h ^ np.uint64(0xA0761D6478BD642F))
@@ -250,7 +271,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     copies = stored(first_of_copies(docs.select("a", "b", "doc_id"), ["a", "b"], "doc_id").select("doc_id", "a", "b").distinct(), "copies")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_BYTES))
-    shard = F.pmod(F.hash("doc_id"), F.lit(shards)).alias("s")
+    shard, tasks = F.pmod(F.hash("doc_id"), F.lit(shards)).alias("s"), min(shards, MAX_TASKS)
     late, row = few(copies), ["doc_id", "a", "b"]  # rows may share a doc_id: a row is known by its id and text
     fresh = docs.join(late, row, "left_anti").select("doc_id", shard, "text")
 
@@ -258,12 +279,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     recurring = stored(named.groupBy("h").agg(F.min("least").alias("x"), F.max("most").alias("y")).where("x < y").select("h"), "recurring")
     asked = named.select("h", "s").join(recurring, "h", "left_semi")
     to_shards = fresh.select("doc_id", "s", "text", F.lit(None).cast("long").alias("h")).unionByName(asked.select(F.lit(None).cast("long").alias("doc_id"), "s", F.lit(None).cast("string").alias("text"), "h"))
-    windows = stored(to_shards.repartition(shards, "s").mapInArrow(_emit_windows, "w long, v int, s int, doc_id long, start int, last long"), "windows")
+    windows = stored(to_shards.repartition(tasks, "s").sortWithinPartitions("s").mapInArrow(_one_by_one(_emit_windows), "w long, v int, s int, doc_id long, start int, last long"), "windows")
     discard(named, recurring)
     owners = windows.groupBy("w", "v").agg(F.min("doc_id").alias("owner"), F.max("last").alias("most")).where("owner < most").select("w", "v", "owner")
     phrases = windows.join(owners, ["w", "v"]).where("last > owner").select("doc_id", "s", F.lit(None).cast("string").alias("text"), "start", "owner", "w")
     dealt = fresh.select("doc_id", "s", "text", F.lit(None).cast("int").alias("start"), F.lit(None).cast("long").alias("owner"), F.lit(None).cast("long").alias("w")).unionByName(phrases)
-    first = dealt.repartition(shards, "s").mapInArrow(_reduce, schema)
+    first = dealt.repartition(tasks, "s").sortWithinPartitions("s").mapInArrow(_one_by_one(_reduce), schema)
     rest = docs.join(late, row, "left_semi").select("doc_id", "text").mapInArrow(_copies, schema)
     out = first.unionByName(rest).unionByName(nameless.mapInArrow(_whole, schema))
     return out.withColumn("doc_id", F.col("doc_id").cast(key_type))
