@@ -39,7 +39,7 @@ from tidemill.llm.bytemap import byte_symbols
 from tidemill.llm.tables import looked_up, stored
 from tidemill.llm.textbatch import slices, utf8
 
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 5 << 20
 NONE, A_END, B_END, BOTH = b".ab|"
 _GROUP = re.compile(rb"[^|]*\|")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
