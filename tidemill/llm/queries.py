@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import conversation_repair, decontamination, html_extraction, jaccard_join, language_model, license_scans, quality_rules, secret_scans, sentencepiece_sampling, substring_dedup, token_alignment, token_counts, toxicity
-from tidemill.llm.tables import table
+from tidemill.llm.tables import lean, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,6 +49,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean(spark)
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
