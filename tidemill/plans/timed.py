@@ -119,9 +119,9 @@ def recurrence_expand(spark, d):
     return parents.select("o_orderkey", F.explode(F.when(F.col("o_orderkey") % 2 == 0, weekly).otherwise(monthly)).alias("day"))
 
 
-@query("""SELECT o_orderkey, CAST(CAST(a + 7 * i AS DATE) AS VARCHAR) AS start_date, CASE WHEN i = 2 THEN '20:30:00' ELSE '19:00:00' END AS start_time, i = 2 AS detached FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(unnest(range(0, 6)) AS INTEGER) AS i FROM orders WHERE o_orderkey % 50 = 0) WHERE i <> 3 AND CAST(a + 7 * i AS DATE) >= a""")
+@query("""SELECT o_orderkey, CAST(CAST(a + 7 * i AS DATE) AS VARCHAR) AS start_date, CASE WHEN i = 2 THEN '20:30:00' ELSE '19:00:00' END AS start_time, i = 2 AS detached FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(unnest(range(0, 6)) AS INTEGER) AS i FROM orders) WHERE i <> 3 AND CAST(a + 7 * i AS DATE) >= a""")
 def recurrence_rules(spark, d):
-    o = table(spark, d, "orders").where(F.col("o_orderkey") % 50 == 0)
+    o = table(spark, d, "orders")
     day = lambda n: F.date_format(F.date_add(F.col("o_orderdate").cast("date"), n), "yyyy-MM-dd")
     spec = F.to_json(F.struct(F.lit("bounded_expand").alias("mode"), F.lit("FREQ=WEEKLY;COUNT=6").alias("rrule"), F.array(day(21)).alias("exdate"), F.array(F.struct(F.concat(day(14), F.lit("T20:30:00")).alias("start"), F.concat(day(14), F.lit("T19:00:00")).alias("recurrence_id"))).alias("occurrences")))
     parents = o.select("o_orderkey", spec.alias("spec"), F.concat(day(0), F.lit("T19:00:00")).alias("start"), F.concat(day(0), F.lit("T21:00:00")).alias("end"))

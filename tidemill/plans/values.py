@@ -13,10 +13,10 @@ from tidemill.plans.registry import query
 from tidemill.sources.tables import table
 
 
-@query(r"SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '[\s ]+', ' ', 'g'))) AS collapsed, sha256(replace(lower(trim(regexp_replace(coalesce(text, ''), '[\s ]+', ' ', 'g'))), 'ß', 'ss')) AS folded, trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '[\s ]+', ' ', 'g'))) AS collapsed, sha256(replace(lower(trim(regexp_replace(coalesce(text, ''), '[\s ]+', ' ', 'g'))), 'ß', 'ss')) AS folded, sha256(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '-')) AS slug FROM documents")
 def text_keys(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.sha2(T.collapsed(F.coalesce(t, F.lit(""))), 256).alias("collapsed"), F.sha2(T.normalized_title(t), 256).alias("folded"), T.slug(F.left(t, F.lit(60))).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.collapsed(F.coalesce(t, F.lit(""))), 256).alias("collapsed"), F.sha2(T.normalized_title(t), 256).alias("folded"), F.sha2(T.slug(F.coalesce(t, F.lit(""))), 256).alias("slug"))
 
 
 _VARIANTS = "SELECT page_id, CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN upper(substring(url, 1, 5)) || substring(url, 6, 2000) WHEN 2 THEN regexp_replace(url, '^(https?://[^/?#]+)', 'http://Example.ORG:80') WHEN 3 THEN ' ' || regexp_replace(url, '[?#].*$', '') || '//' WHEN 4 THEN 'garbage ' || page_id WHEN 5 THEN 'https://me:pw@host.example.co.uk:443/a/' || page_id || '/?b=2&a=&b=1#x' WHEN 6 THEN 'https://10.0.0.' || (page_id % 200) || ':8443/p' ELSE '' END AS url FROM pages"
@@ -150,9 +150,9 @@ def scalar_forms(spark, d):
     return spark.sql(_TEXTS).select("p_partkey", D.has_year(t).alias("has_year"), D.is_all_day(t).alias("all_day"), D.looks_dated(t).alias("dated"), T.without_formula(t).alias("clean"), F.array_join(T.name_tokens(c), ",").alias("tokens"), T.stable_class(c).alias("stable"), T.json_key(c).alias("key"), T.percent(F.col("share")).alias("percent"))
 
 
-@query("SELECT event_id, CAST(ts AS DATE) AS day, CASE WHEN event_id % 3 = 0 THEN NULL ELSE strftime(ts, '%H:%M:%S') END AS time, strftime(ts, '%a, %b ') || CAST(day(ts) AS VARCHAR) AS shown, event_id % 2 = 0 AS dst FROM events WHERE event_id % 3 < 2")
+@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(ts AS DATE) END AS day, CASE WHEN event_id % 3 = 1 THEN strftime(ts, '%H:%M:%S') END AS time, strftime(ts, '%a, %b ') || CAST(day(ts) AS VARCHAR) AS shown, event_id % 2 = 0 AS dst FROM events")
 def temporal_forms(spark, d):
     k, ts = F.col("event_id"), F.col("ts")
-    shown = F.when(k % 3 == 0, F.date_format(ts, "yyyy-MM-dd")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
-    e = table(spark, d, "events").where(k % 3 < 2).select(k, ts, D.temporal(shown).alias("x"))
+    shown = F.when(k % 3 == 0, F.date_format(ts, "yyyy-MM-dd")).when(k % 3 == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+02:00'")).otherwise("tomorrow")
+    e = table(spark, d, "events").select(k, ts, D.temporal(shown).alias("x"))
     return e.select(k, "x.day", "x.time", D.human_date(ts).alias("shown"), F.when(k % 2 == 0, D.observes_dst("Europe/Berlin")).otherwise(D.observes_dst("Asia/Tokyo")).alias("dst"))
