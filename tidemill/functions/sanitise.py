@@ -17,7 +17,7 @@ from tidemill.functions.text import let, trimmed
 # Elements that go with their content, elements that stay, and schemes that are not safe.
 DANGEROUS = ("script", "style", "iframe", "frame", "frameset", "form", "object", "embed")
 SAFE = ("p", "br", "a", "strong", "em", "b", "i", "ul", "ol", "li")
-UNSAFE_SCHEMES = ("javascript:", "data:", "vbscript:")
+UNSAFE_SCHEMES = ("javascript:", "data:", "vbscript:", "file:", "blob:")
 ADDRESSES = ("href", "src", "xlink:href", "action", "formaction", "background", "poster")
 # Named character references.
 NAMED = {

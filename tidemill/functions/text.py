@@ -83,6 +83,13 @@ def html_text(x: Column) -> Column:
     return F.nullif(collapsed(decoded(bare)), F.lit(""))
 
 
+def safe_markup(x: Column) -> Column:
+    """Markup without dangerous elements, event attributes and script URLs; null for none."""
+    from tidemill.functions.sanitise import sanitised
+
+    return sanitised(x)
+
+
 def slug(x: Column) -> Column:
     """Lower-case letters and digits, other runs as one hyphen, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", "-"), "^-|-$", "")
