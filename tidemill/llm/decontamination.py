@@ -68,8 +68,9 @@ _NUMBER = "|".join(sorted(NUMBERS, key=len, reverse=True))
 _NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?!(?:{'|'.join([*OPENERS, *(n.capitalize() for n in NUMBERS)])})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}\p{{L}}*"
 _FIRST = "".join(sorted({n[0] for n in NUMBERS}))
 _COUNT = rf"(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}{_FIRST.upper()}])(?i:{_NUMBER})(?![\p{{L}}\p{{N}}])"
-_NAMES = rf"{_NAME}(?: {_NAME})*"
-_COUNTS = rf"\d+|(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}{_FIRST.upper()}])(?i:{_NUMBER})(?:[ -](?i:{_NUMBER})(?![\p{{L}}\p{{N}}]))*(?![\p{{L}}\p{{N}}])"
+# Possessive repeats: Java walks a greedy repeat of a group by recursion, and some thousand names in a row overflow its stack.
+_NAMES = rf"{_NAME}(?: {_NAME})*+"
+_COUNTS = rf"\d+|(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}{_FIRST.upper()}])(?i:{_NUMBER})(?:[ -](?i:{_NUMBER})(?![\p{{L}}\p{{N}}]))*+(?![\p{{L}}\p{{N}}])"
 _UNIT = rf"(?i)(?<=0)([ -]?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 
 
