@@ -55,7 +55,8 @@ def fold(key: str = "doc_id") -> Column:
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of texts, each text's followed by END, and how many each text has, END included."""
-    cells = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    # Lowered before the cast: Arrow reads the wrong bytes of a slice that was cast to large strings.
+    cells = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()))
     flat, row = cells.flatten(), pc.list_parent_indices(cells).to_numpy()
     real = pc.not_equal(flat, "")
     flat, row = flat.filter(real), row[real.to_numpy(zero_copy_only=False)]
