@@ -10,8 +10,9 @@ training  in ``ROUNDS`` rounds; a round takes the training documents of its own
           task steps through its texts in numpy from the round's common start, and Spark
           averages the parameters, weighted by tokens.  Every training document is read by
           exactly one round
-scores    different contexts of a slice are gathered; products with all vectors, a batch of
-          contexts at a time, are normalised to log-probabilities that sum to one.  A word
+scores    are normalised to log-probabilities that sum to one: the sums over all symbols after
+          every two symbols are a product of two matrices, made once for each worker (for few
+          contexts they are taken directly).  A word
           without a vector shares the probability of "all other words" by its count, unseen
           words together as one word
 
@@ -129,6 +130,7 @@ class Model:
     vectors: np.ndarray  # (size + 1, DIM)
     bias: np.ndarray  # (size,)
     places: np.ndarray  # (PLACES, DIM, DIM)
+    table: np.ndarray | None = None  # norms of all pairs before, made by the tasks that need many
 
     @property
     def size(self) -> int:
@@ -146,24 +148,50 @@ class Model:
         """What each symbol at each place adds to the predicted vector."""
         return np.einsum("md,pde->pme", self.vectors, self.places)
 
+    def _norm(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Log of the sum over all symbols after each pair of symbols before."""
+        adds, targets = self.heads(), self.vectors[:-1].T
+        out = np.empty(len(one), np.float64)
+        for low in range(0, len(one), 512):
+            at = slice(low, low + 512)
+            z = (adds[0][one[at]] + adds[1][two[at]]) @ targets + self.bias
+            most = z.max(1)
+            out[at] = most + np.log(np.exp(z - most[:, None]).sum(1))
+        return out
+
+    def _table(self) -> np.ndarray:
+        """_norm of all pairs: exp(a + b) is exp(a) exp(b), so the sums are one product of matrices; nan where 32 bits are too few."""
+        adds, targets, n = self.heads(), self.vectors[:-1].T, self.size + 1
+        out = np.empty((n, n), np.float32)
+        for b in range(0, n, 1024):
+            far = adds[1][b : b + 1024] @ targets
+            most = far.max(1)
+            far = np.exp(far - most[:, None]).T
+            for a in range(0, n, 512):
+                near = adds[0][a : a + 512] @ targets + self.bias
+                top = near.max(1)
+                sums = np.exp(near - top[:, None]) @ far
+                out[a : a + 512, b : b + 1024] = np.log(np.where(sums > 1e-20, sums, np.nan)) + top[:, None] + most
+        return out
+
     def log_probabilities(self, before: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log-probability of each symbol after its two symbols before (nearest first)."""
-        code = before[:, 0] * (self.size + 1) + before[:, 1]
-        order = np.argsort(code, kind="stable")
-        sorted_code = code[order]
-        head = np.flatnonzero(np.concatenate(([True], sorted_code[1:] != sorted_code[:-1])))
-        different, edge = sorted_code[head], np.append(head, len(code))
-        adds, targets = self.heads(), np.ascontiguousarray(self.vectors[:-1].T)
-        out = np.empty(len(code), np.float64)
-        for low in range(0, len(different), 512):
-            some = different[low : low + 512]
-            z = (adds[0][some // (self.size + 1)] + adds[1][some % (self.size + 1)]) @ targets + self.bias
-            most = z.max(1)
-            norm = most + np.log(np.exp(z - most[:, None]).sum(1))
-            a, b = edge[low], edge[low + len(some)]
-            own = np.repeat(np.arange(len(some)), np.diff(edge[low : low + len(some) + 1]))
-            at = order[a:b]
-            out[at] = z[own, symbols[at]] - norm[own]
+        one, two = before[:, 0], before[:, 1]
+        if self.table is None:
+            different, each = np.unique(one * (self.size + 1) + two, return_inverse=True)
+            if len(different) > 8 * self.size:
+                self.table = self._table()  # stays with the broadcast model for later tasks of the worker
+            else:
+                norm = self._norm(different // (self.size + 1), different % (self.size + 1))[each]
+        if self.table is not None:
+            norm = self.table[one, two].astype(np.float64)
+            lost = np.flatnonzero(np.isnan(norm))
+            norm[lost] = self._norm(one[lost], two[lost])
+        adds = self.heads()
+        out = -norm
+        for low in range(0, len(out), 1 << 15):
+            at = slice(low, low + (1 << 15))
+            out[at] += np.einsum("nd,nd->n", adds[0][one[at]] + adds[1][two[at]], self.vectors[symbols[at]]) + self.bias[symbols[at]]
         return out
 
 
