@@ -10,15 +10,18 @@ A document is the set of its ``K``-word shingles; two link when
 3. Answers of hubs: each list of the index has its smallest set as hub; every set is
    compared with the smallest hub of its lists, one comparison for each set.  Links of
    hubs already make most components.
-4. Skipping: a list whose sets are in one component is done.  The others are cut into
-   blocks of about ``BLOCK`` sets of like size and position.  From the bounds of two
-   blocks follows the largest overlap that any of their sets can have by size and
-   position; block pairs that cannot reach a link are skipped as a whole, before any
-   set of theirs is looked at.  Each block pair left is a task of its own, so a long
-   list is spread over the cluster.  Inside, only pairs of two components are left, and
-   of these the answers of the hub rule out more: with d = 1 - Jaccard, a metric,
-   d(s, t) >= |d(s, hub) - d(t, hub)|, so a set's answer is derived from the answers of
-   a similar set instead of being computed.
+4. Skipping: a list whose sets are in one component is done.  A pair that can link meets
+   in the list of the first shingle of both, so a list whose sets all have the same list
+   before it is done too, and a pair that has one of the last ``EARLIER`` lists before this
+   one in common is left to that list: near copies, which share most of their prefixes,
+   make about one row and not one for each list.  The other lists are cut into blocks of
+   about ``BLOCK`` sets of like size and position.  From the bounds of two blocks follows
+   the largest overlap that any of their sets can have by size and position; block pairs
+   that cannot reach a link are skipped as a whole, before any set of theirs is looked at.
+   Each block pair left is a task of its own, so a long list is spread over the cluster.
+   Inside, only pairs of two components are left, and of these the answers of the hub rule
+   out more: with d = 1 - Jaccard, a metric, d(s, t) >= |d(s, hub) - d(t, hub)|, so a
+   set's answer is derived from the answers of a similar set instead of being computed.
 5. Sketches: bit i of a set's sketch is the parity of its shingles with hash i.  Two
    sketches differ in at most as many bits as the sets differ in shingles, so pairs
    with more differing bits than a link allows are ruled out, exactly, before any
@@ -47,7 +50,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.components import components
@@ -58,6 +61,7 @@ K = 4
 PERCENT = 85
 SKETCH = ["s0", "s1", "s2", "s3"]  # columns of 64 bits
 BLOCK = 128
+EARLIER = 8  # lists before a list, by which pairs are known that meet in an earlier one
 MAX_BROADCAST_TOKENS = 2_000_000  # of 8 bytes
 FOLD_BITS = 2  # bits of the long sketch for each shingle, at least
 HOT_FROM = 32
@@ -196,11 +200,28 @@ def _compared(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     return out
 
 
+def _first_met(lists: DataFrame, sketches: DataFrame) -> DataFrame:
+    """lists (h, doc, pos, c, d), with n, sketches and ``earlier``, the lists before h in the set's order; without lists whose pairs all meet in one earlier list.
+
+    All sets have their shingles in one order, so what two sets have in common before h they
+    have before any later shingle.
+    """
+    order = Window.partitionBy("doc").orderBy("pos")
+    lists = stored(lists.withColumn("last", F.lag("h").over(order)), "open")
+    ends = lists.groupBy("h").agg(F.min("last").alias("x"), F.max("last").alias("y"), F.bool_or(F.col("last").isNull()).alias("starts"))
+    wanted = stored(ends.where("starts OR x < y").select("h"), "first-lists")
+    out = lists.drop("last").join(few(wanted), "h", "left_semi").withColumn("earlier", F.collect_list("h").over(order.rowsBetween(-EARLIER, -1)))
+    out = stored(out.join(sketches.withColumnRenamed("doc_id", "doc"), "doc"), "first-met")
+    discard(lists, wanted)
+    return out
+
+
 def _block_pairs(left: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of two components in one list that sizes, positions, sketches and hub answers allow.
 
-    left: h, doc, n, pos, c (component), d (distance to the list's hub or null) and the
-    sketch columns of all sets of the open lists.
+    left: h, doc, n, pos, c (component), d (distance to the list's hub or null), earlier
+    (the lists just before h in the set's order) and the sketch columns of all sets of the
+    open lists.
     """
     width = max(1e-3, -math.log(rule.percent / 100) * 1.0001)  # sizes of a link are in one band or in neighbours
     band = left.withColumn("g", F.floor(F.log(F.col("n")) / width).cast("int")).withColumn("q", F.expr(f"cast(400 * pos / (n * {100 - rule.percent} + 100) as int)"))
@@ -217,7 +238,7 @@ def _block_pairs(left: DataFrame, rule: Rule) -> DataFrame:
     parts = bounds.select("h", "g", "q", "parts")
     member = stored(band.join(parts, ["h", "g", "q"]).withColumn("s", F.expr("cast(pmod(xxhash64(doc), parts) as int)")).drop("parts"), "members")
     key = ["h", "xg", "xq", "xs", "yg", "yq", "ys"]
-    names = ["doc", "n", "pos", "c", "d", *SKETCH]
+    names = ["doc", "n", "pos", "c", "d", *SKETCH, "earlier"]
 
     def side(p: str) -> DataFrame:
         own = member.select("h", *(F.col(c).alias(p + c) for c in ("g", "q", "s")), F.struct(*names).alias(p))
@@ -225,7 +246,7 @@ def _block_pairs(left: DataFrame, rule: Rule) -> DataFrame:
 
     far = f"coalesce(abs(x.d - y.d) > {1 - rule.percent / 100 + 1e-9}, false)"
     one_block = "(xg <> yg OR xq <> yq OR xs <> ys OR x.doc < y.doc)"
-    pairs = side("x").join(side("y"), key).where(f"{one_block} AND x.c <> y.c AND {rule.fits('x.n', 'x.pos', 'y.n', 'y.pos')} AND NOT {far} AND {rule.near('x', 'y')}")
+    pairs = side("x").join(side("y"), key).where(f"{one_block} AND x.c <> y.c AND {rule.fits('x.n', 'x.pos', 'y.n', 'y.pos')} AND NOT {far} AND {rule.near('x', 'y')} AND NOT arrays_overlap(x.earlier, y.earlier)")
     out = stored(pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct(), "pairs")
     discard(bounds, blocks, member)
     return out
@@ -268,7 +289,7 @@ def _join(docs: DataFrame, rule: Rule) -> DataFrame:
     placed = lists.join(own, "doc", "left").join(known, ["hub", "doc"], "left").select("h", "doc", "n", "pos", F.coalesce("component", "doc").alias("c"), F.when(F.col("doc") == F.col("hub"), 0.0).otherwise(F.col("d")).alias("d"))
     placed = stored(placed, "placed")
     open_lists = stored(placed.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h"), "open-lists")
-    left = stored(placed.join(open_lists, "h", "left_semi").drop("n").join(sketches.withColumnRenamed("doc_id", "doc"), "doc"), "open")
+    left = _first_met(placed.join(open_lists, "h", "left_semi").drop("n"), sketches)
     discard(lists, placed, open_lists)
     found = _block_pairs(left, rule)
     pairs = stored(found.join(answers.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
