@@ -201,18 +201,18 @@ def _compared(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _first_met(lists: DataFrame, sketches: DataFrame) -> DataFrame:
-    """lists (h, doc, pos, c, d), with n, sketches and ``earlier``, the lists before h in the set's order; without lists whose pairs all meet in one earlier list.
+    """lists (h, doc, pos, c, d, last) with n, sketches and ``earlier``, but no lists whose pairs all meet in one earlier list.
 
-    All sets have their shingles in one order, so what two sets have in common before h they
+    last is the list before h in the set's order, earlier the last ones of those kept.  All
+    sets have their shingles in one order, so what two sets have in common before h they
     have before any later shingle.
     """
     order = Window.partitionBy("doc").orderBy("pos")
-    lists = stored(lists.withColumn("last", F.lag("h").over(order)), "open")
     ends = lists.groupBy("h").agg(F.min("last").alias("x"), F.max("last").alias("y"), F.bool_or(F.col("last").isNull()).alias("starts"))
     wanted = stored(ends.where("starts OR x < y").select("h"), "first-lists")
     out = lists.drop("last").join(few(wanted), "h", "left_semi").withColumn("earlier", F.collect_list("h").over(order.rowsBetween(-EARLIER, -1)))
     out = stored(out.join(sketches.withColumnRenamed("doc_id", "doc"), "doc"), "first-met")
-    discard(lists, wanted)
+    discard(wanted)
     return out
 
 
@@ -289,8 +289,10 @@ def _join(docs: DataFrame, rule: Rule) -> DataFrame:
     placed = lists.join(own, "doc", "left").join(known, ["hub", "doc"], "left").select("h", "doc", "n", "pos", F.coalesce("component", "doc").alias("c"), F.when(F.col("doc") == F.col("hub"), 0.0).otherwise(F.col("d")).alias("d"))
     placed = stored(placed, "placed")
     open_lists = stored(placed.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h"), "open-lists")
-    left = _first_met(placed.join(open_lists, "h", "left_semi").drop("n"), sketches)
+    opened = stored(placed.join(open_lists, "h", "left_semi").drop("n").withColumn("last", F.lag("h").over(Window.partitionBy("doc").orderBy("pos"))), "open")
     discard(lists, placed, open_lists)
+    left = _first_met(opened, sketches)
+    discard(opened)
     found = _block_pairs(left, rule)
     pairs = stored(found.join(answers.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     discard(left, found)
