@@ -179,6 +179,18 @@ def test_geographic_filter(spark):
     assert one(spark, last_outcome(F.split("a", ",")), a="geographic:included,x,geographic:excluded") == "excluded"
 
 
+def test_prose_ends_on_a_leap_day(spark):
+    from tidemill.sources import pages as P
+
+    starts = {"1995-12-01": "1996-02-29", "1996-01-05": "1996-02-29", "1996-03-01": "1997-02-28", "1995-01-15": None, "1994-12-01": None, "1995-03-01": "1996-02-29"}
+    df = spark.createDataFrame([(d, "Open daily thru Feb 29, all welcome") for d in starts], "d string, t string")
+    got = {r["d"]: r["x"] for r in df.select("d", P.text_recurrence(F.col("t"), F.col("d").cast("date")).alias("x")).collect()}
+    for d, end in starts.items():
+        first = date.fromisoformat(d)
+        n = (date.fromisoformat(end) - first).days if end else 0  # without such a day within a year the start stands alone
+        assert got[d] == [first + timedelta(days=i) for i in range(n + 1)], d
+
+
 def test_recurrence(spark):
     def days(spec, start, end=None, reference="2026-01-01", bounds=None):
         df = spark.createDataFrame([(1, json.dumps(spec), start, end)], "k int, spec string, start string, end string")

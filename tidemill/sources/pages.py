@@ -93,8 +93,9 @@ def text_recurrence(text: Column, start: Column, today: Column | None = None) ->
         return F.when(end >= start, let(left, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(start)))).otherwise(F.array(start))
 
     def ended(w: Column) -> Column:
-        this = D.built_date(F.year(start), D.month_number(F.get(w, 1)), F.get(w, 2).try_cast("int"))
-        return F.when(this < start, F.add_months(this, 12)).otherwise(this)  # a day before the start is one of next year
+        at = lambda years: D.built_date(F.year(start) + years, D.month_number(F.get(w, 1)), F.get(w, 2).try_cast("int"))
+        leap = F.when(at(1) < F.add_months(start, 12), at(1))  # 29 February may stand in the next year only
+        return let(at(0), lambda this: F.when(this >= start, this).when(this < start, F.add_months(this, 12)).otherwise(leap))  # a day before the start is one of next year
 
     return let(words, lambda w: let(ended(w), lambda end: F.coalesce(dates(w, end), F.array(start))))
 
