@@ -75,6 +75,59 @@ def test_words_of_places(spark):
     assert {(r["i"], r["filter_id"]) for r in G.word_matches(rows, rule_df, "i").collect()} == {(1, 1), (1, 3), (1, 6), (2, 2)}
 
 
+def test_pairs_of_places_and_filters(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["paris", "rome", "47401", "oslo", "st 4"]
+    rows = [(i, rng.choice([None, "", " ".join(rng.sample(words, 2)).upper()]), rng.choice([None, 95.0, 90.0, -89.5, rng.uniform(-90, 90)]), rng.choice([None, 180.0, -180.0, 380.0, 1e7, rng.uniform(-180, 180)])) for i in range(120)]
+    kinds = [("localities", "word", "Paris"), ("localities", "word", "rome"), ("postal", "prefix", "474"), ("address_contains", "contains", "T 4"), ("localities", "word", " ")]
+    filters, rules = [(f, rng.choice(["all", "any", None]), "keep") for f in range(60)], []
+    for f, _, _ in filters:
+        for grp, kind, term in rng.sample(kinds, rng.choice([0, 0, 1, 2, 5])):
+            rules.append((f, grp, kind, term, None, None, None, None, None))
+        for _ in range(rng.choice([0, 1, 1, 2, 6])):
+            a, b = rng.choice([95.0, 90.0, rng.uniform(-90, 90)]), rng.uniform(-180, 180)
+            rules.append(rng.choice([(f, "radius", "radius", None, a, b, rng.choice([None, -1.0, 0.0, 900.0, 9000.0, 20_100.0]), None, None), (f, "bounding_box", "box", None, a, b, None, a + 40, b + 90)]))
+    texts, numbers = "filter_id int, grp string, kind string, term string", "lat double, lon double, km double, lat2 double, lon2 double"
+    tables = [spark.createDataFrame(rows, "i int, text string, lat double, lon double"), spark.createDataFrame(filters, "filter_id int, mode string, missing string"), spark.createDataFrame(rules, f"{texts}, {numbers}")]
+
+    def km(a, b, c, e):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(e - b) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(min(1.0, math.sqrt(h)))
+
+    def hit(row, rule):
+        (_, text, lat, lon), (_, _, kind, term, a, b, r, c, e) = row, rule
+        if kind in G.TEXT_KINDS:
+            marks = {"word": r"(?<!\w){}(?!\w)", "prefix": r"(?<![a-z0-9\-]){}", "contains": "{}"}[kind]
+            return text is not None and term.strip() != "" and re.search(marks.format(re.escape(term.lower())), text.lower()) is not None
+        if lat is None or lon is None or abs(lat) > 90 or kind == "radius" and r is None:
+            return False
+        return km(lat, lon, a, b) <= r if kind == "radius" else a <= lat <= c and b <= lon <= e
+
+    want = {}
+    for row in rows:
+        for f, mode, _ in filters:
+            own = [r for r in rules if r[0] == f]
+            known = row[2] is not None and row[3] is not None
+            judged = {r[1] for r in own if r[2] in G.TEXT_KINDS or known}
+            found = sorted({r[1] for r in own if hit(row, r)})
+            if found and (mode != "all" or len(found) == len(judged)):
+                want[row[0], f] = found
+    got = lambda **k: {(r["i"], r["filter_id"]): r["matched"] for r in G.included_pairs(*tables, "i", **k).collect()}
+    assert got() == want and len(want) > 300
+    assert got(joined=",") == {k: ",".join(v) for k, v in want.items()}
+    assert G.included_pairs(*tables, "i").count() == len(want)  # each pair once
+    assert G.included_pairs(tables[0], tables[1], tables[2].limit(0), "i").count() == 0
+    beyond = spark.createDataFrame([(1, "radius", "radius", None, 95.0, 0.0, 9500.0, None, None)], tables[2].schema)  # as from 85 N, 180 E
+    assert G.place_matches(spark.createDataFrame([(1, -0.2, 180.0), (2, -2.0, 180.0)], "i int, lat double, lon double"), beyond, "i").select("i").collect() == [(1,)]
+    few = spark.createDataFrame([(1, "localities", "word", "paris", *[None] * 5), (1, "radius", "radius", None, 0.0, 0.0, 9000.0, None, None)], tables[2].schema)
+    assert "filter_id" not in "".join(re.findall(r"hashpartitioning\(i#.*", G.included_pairs(tables[0], tables[1], few, "i")._jdf.queryExecution().executedPlan().toString()))  # pairs stay where they are made
+    monkeypatch.setattr(G, "NAMES", 2)
+    assert got() == want
+    monkeypatch.setattr(G, "NAMES", 8)
+    monkeypatch.setattr(G, "light", lambda df, *a: df)
+    assert got() == want
+
+
 def test_nodes_are_bounded(spark):
     deep = json.dumps({"a": {"b": [{"c": [[[1]]]}, 2]}})
     wide = json.dumps({"list": [{"k": i} for i in range(3000)], "more": {f"x{i:04d}": i for i in range(6000)}})

@@ -47,7 +47,7 @@ z AS (SELECT *, CAST(r AS INT) + CAST(x AS INT) + CAST(w AS INT) + CAST(s AS INT
 
 @query(f"WITH {_SQL} SELECT c_custkey, k AS filter_id, matched FROM z WHERE n > 0 AND (k % 2 = 1 OR n = n_text + n_place)")
 def geo_rule_pairs(spark, d):
-    return G.included_pairs(_places(spark, d), _filters(spark, d), _rules(spark, d), "c_custkey").withColumn("matched", F.array_join("matched", ","))
+    return G.included_pairs(_places(spark, d), _filters(spark, d), _rules(spark, d), "c_custkey", joined=",")
 
 
 @query(f"""WITH {_SQL}, q AS (SELECT *, has_r OR has_b OR has_w OR has_p AS any_rule, (blank AND NOT known) OR (n_text = 0 AND NOT known) AS lost FROM z WHERE k = c_custkey % 90 + 1)
